@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from parcelforge.llm import quality_rules, url_filter
+from parcelforge.llm import quality_rules, simhash, url_filter
 
 QUERIES = {
+    "op1_simhash_near_dedup": simhash.query,
     "op4_quality_rules": quality_rules.query,
     "op7_url_filters": url_filter.query,
 }
