@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from parcelforge.llm import license_scan, quality_rules, simhash, url_filter
+from parcelforge.llm import license_scan, piecewise_hash, quality_rules, simhash, url_filter
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
+    "op2_document_fingerprints": piecewise_hash.query,
     "op3_license_scan": license_scan.query,
     "op4_quality_rules": quality_rules.query,
     "op7_url_filters": url_filter.query,
