@@ -11,6 +11,7 @@ lowest threshold; extra columns pass through :func:`keep` whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -238,8 +239,16 @@ def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, **options) -> list[Rule]:
     """Learns from at most ``max_labelled`` rows of ``docs`` that have labels (doc_id, quality 0 or 1)."""
-    some = labelled(docs, labels, max_labelled).select("doc_id", "quality", _measured(F.col("text").cast("string").cast("binary")).alias("_pf_stats")).select("doc_id", "quality", "_pf_stats.*")
-    got = some.where(~base_failed()).select("doc_id", "quality", *(share(f).alias(f) for f in FEATURES)).toPandas()
+    some = labelled(docs, labels, max_labelled).select("doc_id", "quality", F.col("text").cast("string").cast("binary").alias("data"))
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            yield pd.concat([x[["doc_id", "quality"]], pd.DataFrame([measure(d) for d in x["data"]], columns=COUNTS, dtype="int64", index=x.index)], axis=1)
+
+    # Not a column function: Spark would move it below the join and count over every text.
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in some.schema.fields[:2])
+    got = some.mapInPandas(count, f"{kinds}, " + ", ".join(f"{c} bigint" for c in COUNTS))
+    got = got.where(~base_failed()).select("doc_id", "quality", *(share(f).alias(f) for f in FEATURES)).toPandas()
     got = got.sort_values(["doc_id", *FEATURES], kind="stable").head(2 * max_labelled)
     return learn({f: got[f].to_numpy(float) for f in FEATURES}, got["quality"].to_numpy() == 0, **options) if len(got) else []
 
