@@ -32,9 +32,15 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: a cut of the lineage that survives lost executors."""
+def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: a cut of the lineage that survives lost executors.
+
+    narrow: the rows are a few numbers each and cheap to make; one file for each core is written at most, rather than
+    one for each shuffle partition.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    if narrow:
+        df = df.coalesce(spark.sparkContext.defaultParallelism)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path

@@ -201,11 +201,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """(doc_id, fingerprint, component_id) of every row; component_id: the smallest doc_id that can be reached."""
     marked = materialize(fingerprints(docs, key, text, size), "simhash-docs")
     # One row for each fingerprint, with its smallest document.
-    fps = materialize(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-fps")
+    fps = materialize(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-fps", True)
     roots = components(link(replicate(fps, max_distance), max_distance).distinct())
-    rooted = materialize(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-roots")
-    least = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-least")
-    of = materialize(rooted.join(least, "root").select("fp", "component_id"), "simhash-of")
+    rooted = materialize(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-roots", True)
+    least = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-least", True)
+    of = materialize(rooted.join(least, "root").select("fp", "component_id"), "simhash-of", True)
     return marked.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
