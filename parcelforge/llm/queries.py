@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from parcelforge.llm import license_scan, piecewise_hash, quality_rules, simhash, token_binary, url_filter
+from parcelforge.llm import license_scan, piecewise_hash, quality_rules, simhash, token_binary, url_filter, warc
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
     "op2_document_fingerprints": piecewise_hash.query,
     "op3_license_scan": license_scan.query,
     "op4_quality_rules": quality_rules.query,
+    "op5_warc": warc.query,
     "op7_url_filters": url_filter.query,
     "op9_token_binary": token_binary.query,
 }
 
-ORACLE_SQL = {"op7_url_filters": url_filter.SQL}
+ORACLE_SQL = {"op5_warc": warc.SQL, "op7_url_filters": url_filter.SQL}
