@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parcelforge.llm import license_scan, piecewise_hash, quality_rules, simhash, token_binary, url_filter, warc
+from parcelforge.llm import license_scan, line_dedup, piecewise_hash, quality_rules, simhash, token_binary, url_filter, warc
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_license_scan": license_scan.query,
     "op4_quality_rules": quality_rules.query,
     "op5_warc": warc.query,
+    "op6_line_dedup": line_dedup.query,
     "op7_url_filters": url_filter.query,
     "op9_token_binary": token_binary.query,
 }

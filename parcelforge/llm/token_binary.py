@@ -21,6 +21,7 @@ named here, so extra columns cannot clash.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -59,34 +60,49 @@ class Encoder:
     """
 
     #: White space that the fast way can't treat: next to a space, or of other kinds than space and line feed.
-    _ODD = re.compile("  |\n |\x20\n|[^\x00-\x08\x0e-\x1b\x21-\x7e\x20\n¡-ɏ]")
+    _ODD = re.compile("  |\n |\x20\n|[^\x01-\x08\x0e-\x1b\x21-\x7e\x20\n¡-ɏ]")
 
     def __init__(self, tokenizer_json: str) -> None:
+        # A worker has one core; the library's threads would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was known before the last time that ``known`` was full
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         kind = type(self.tokenizer.pre_tokenizer).__name__
         self.by_space = kind == "ByteLevel" and self.tokenizer.normalizer is None and self.tokenizer.post_processor is None and "add_prefix_space=False" in repr(self.tokenizer.pre_tokenizer)
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        if not self.by_space or self._ODD.search(text) or any(t in text for t in self.added):
-            return self._library([text])[0]
-        first, *rest = text.split(" ")
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, parts: list[list[str]]) -> None:
+        """Makes all parts known, in one call of the library."""
+        if len(self.known) > MAX_KNOWN:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = [w for w in dict.fromkeys(w for ws in parts for w in ws) if w not in known]
+        found = [older.get(w) for w in new]
+        unmet = [w for w, f in zip(new, found) if f is None]
+        known.update((w, f) for w, f in zip(new, found) if f is not None)
+        known.update(zip(unmet, self._library(unmet)))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Of each text, its ids."""
+        fast = [k for k, x in enumerate(texts) if self.by_space and not self._ODD.search(x) and not any(t in x for t in self.added)]
+        out: list[bytes] = [b""] * len(texts)
+        chosen = set(fast)
+        slow = [k for k in range(len(texts)) if k not in chosen]
+        for k, ids in zip(slow, self._library([texts[k] for k in slow])):
+            out[k] = ids
+        # With its space, each part but the first; an empty first part has no ids.
+        split = [texts[k].replace(" ", "\0 ").split("\0") for k in fast]
+        self._learn(split)
         known = self.known
-        parts = [known.get(w) for w in rest]
-        if None in parts:
-            if len(known) > MAX_KNOWN:
-                known.clear()
-                parts = [None] * len(rest)
-            new = list(dict.fromkeys(w for w, p in zip(rest, parts) if p is None))
-            known.update(zip(new, self._library([" " + w for w in new])))
-            parts = [known[w] for w in rest]
-        return b"".join(self._library([first]) + parts) if first else b"".join(parts)
+        for k, parts in zip(fast, split):
+            out[k] = b"".join([known[w] for w in parts])
+        return out
 
 
 _encoders: dict[int, Encoder] = {}
@@ -114,7 +130,7 @@ def count_ids(texts: DataFrame, tokenizer_json, size: int, end_id: int) -> np.nd
             column = batch.column(0)
             counts[end_id] += len(column)
             for k in range(0, len(column), 64):
-                ids = b"".join(code.encode(x.as_py()) for x in column.slice(k, 64))
+                ids = b"".join(code.encode(column.slice(k, 64).to_pylist()))
                 counts += np.bincount(np.frombuffer(ids, "<u4"), minlength=size)
         met = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(counts[met])], names=["id", "n"])
@@ -211,12 +227,12 @@ def write(docs: DataFrame, path: str, tokenizer_json: str, key: str = "doc_id",
         code, (_, ranks) = encoder(shipped.value), tables.value
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for k in range(0, len(batch), 256):
-                some = batch.slice(k, 256)
+            for k in range(0, len(batch), 64):
+                some = batch.slice(k, 64)
                 doc_ids = [NO_ID if d is None else d for d in some.column(0).to_pylist()]
                 packed, sizes = [], []
-                for x in some.column(1):
-                    ids = np.frombuffer(code.encode(x.as_py()) + end, "<u4")
+                for x in code.encode(some.column(1).to_pylist()):
+                    ids = np.frombuffer(x + end, "<u4")
                     sizes.append(len(ids))
                     packed.append(pack(ranks[ids]))
                 yield pa.RecordBatch.from_arrays(
