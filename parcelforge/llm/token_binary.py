@@ -11,8 +11,8 @@ A file is a sequence of blocks, each ended by a line feed::
     doc_id i64 x documents | ids of each document u64 x documents | control bytes | data bytes | 0x0A
 
 All numbers are little-endian.  Files are written by Spark's own writer, so they go to whatever store the shared
-folder is in, appear only when their task has been committed, and survive lost executors.  Two passes encode the
-texts: one counts ids, one writes them; that costs less than keeping the ids between the passes.
+folder is in, appear only when their task has been committed, and survive lost executors.  Texts are encoded once;
+their ids are kept, compressed, until they have been counted and written by rank.
 
 Defined results: a null or empty text has the end id alone; documents without id come first; documents of one id
 follow each other in the order of their ids' bytes; an empty table gives no files' rows; the result's columns are
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelforge.llm.common import materialize, new_path
+from parcelforge.llm.common import discard, materialize, new_path
 
 MAGIC = b"PFTOK1"
 _HEAD = struct.Struct("<6sIIQQQ")
@@ -52,56 +52,82 @@ LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)
 
 
 class Encoder:
-    """Texts to ids with the tokenizers library, as little-endian u32 bytes; pieces met before are not encoded anew.
+    """Texts to ids with the tokenizers library, as little-endian u32 bytes; parts met before are not encoded anew.
 
     The byte-level pre-tokeniser never joins what stands before a space with what stands after it, as long as the
     space is not next to other white space; so the parts between such spaces are encoded by themselves and kept.
-    Other texts, and those that hold text of an added token, go to the library whole.
+    A part is cut by the pre-tokeniser's pattern, and each piece goes to the library's model.  Texts of other
+    characters than those the pattern's classes are sure about, those that hold an added token, and all texts of
+    other kinds of tokenizers go to the library whole.
     """
 
-    #: White space that the fast way can't treat: next to a space, or of other kinds than space and line feed.
-    _ODD = re.compile("  |\n |\x20\n|[^\x01-\x08\x0e-\x1b\x21-\x7e\x20\n¡-ɏ]")
+    #: What the fast way can't treat: white space next to a space, and other characters than these.
+    _ODD = re.compile("  |\n |\x20\n|[^\x01-\x08\x0e-\x1b\x21-\x7e\x20\n\xa1-\u024f]")
+    #: Fixed value: the byte-level pattern.
+    _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
     def __init__(self, tokenizer_json: str) -> None:
         # A worker has one core; the library's threads would only wait for each other.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}  # what was known before the last time that ``known`` was full
+        self.model = self.tokenizer.model
+        self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was known before the last time that ``parts`` was full
+        self.pieces: dict[str, bytes] = {}
+        self.cut = regex.compile(self._PATTERN).findall
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        kind = type(self.tokenizer.pre_tokenizer).__name__
-        self.by_space = kind == "ByteLevel" and self.tokenizer.normalizer is None and self.tokenizer.post_processor is None and "add_prefix_space=False" in repr(self.tokenizer.pre_tokenizer)
+        said = repr(self.tokenizer.pre_tokenizer)
+        self.by_space = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and "add_prefix_space=False" in said and "use_regex=True" in said and self.tokenizer.normalizer is None and self.tokenizer.post_processor is None
+        # A byte's character: itself where it is printable Latin-1, otherwise the next one from U+0100 on.
+        plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        others = [b for b in range(256) if b not in plain]
+        self.shown = {b: 0x100 + k for k, b in enumerate(others)}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, parts: list[list[str]]) -> None:
-        """Makes all parts known, in one call of the library."""
-        if len(self.known) > MAX_KNOWN:
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        new = [w for w in dict.fromkeys(w for ws in parts for w in ws) if w not in known]
-        found = [older.get(w) for w in new]
-        unmet = [w for w, f in zip(new, found) if f is None]
-        known.update((w, f) for w, f in zip(new, found) if f is not None)
-        known.update(zip(unmet, self._library(unmet)))
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _piece(self, piece: str) -> bytes:
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+
+    def _part(self, part: str) -> bytes:
+        pieces, out = self.pieces, []
+        for p in self.cut(part):
+            ids = pieces.get(p)
+            if ids is None:
+                if len(pieces) > MAX_KNOWN:
+                    pieces.clear()
+                ids = pieces[p] = self._piece(p)
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text, its ids."""
-        fast = [k for k, x in enumerate(texts) if self.by_space and not self._ODD.search(x) and not any(t in x for t in self.added)]
+        fast = {k for k, x in enumerate(texts) if self.by_space and not self._ODD.search(x) and not any(t in x for t in self.added)}
+        slow = [k for k in range(len(texts)) if k not in fast]
         out: list[bytes] = [b""] * len(texts)
-        chosen = set(fast)
-        slow = [k for k in range(len(texts)) if k not in chosen]
         for k, ids in zip(slow, self._library([texts[k] for k in slow])):
             out[k] = ids
-        # With its space, each part but the first; an empty first part has no ids.
-        split = [texts[k].replace(" ", "\0 ").split("\0") for k in fast]
-        self._learn(split)
-        known = self.known
-        for k, parts in zip(fast, split):
-            out[k] = b"".join([known[w] for w in parts])
+        if len(self.parts) > MAX_KNOWN:
+            self.older, self.parts = self.parts, {}
+        known = self.parts
+        for k in fast:
+            # Each part with the space before it; an empty first part has no ids.
+            parts = texts[k].replace(" ", "\0 ").split("\0")
+            ids = [known.get(p) for p in parts]
+            if None in ids:
+                older = self.older
+                for j, p in enumerate(parts):
+                    if ids[j] is None:
+                        got = known.get(p)
+                        if got is None:
+                            got = older.get(p)
+                            known[p] = got = self._part(p) if got is None else got
+                        ids[j] = got
+            out[k] = b"".join(ids)
         return out
 
 
@@ -121,21 +147,45 @@ def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
-def count_ids(texts: DataFrame, tokenizer_json, size: int, end_id: int) -> np.ndarray:
+def encoded(texts: DataFrame, tokenizer_json, size: int, end_id: int) -> DataFrame:
+    """(docs, sizes, ids): a row for some documents, their ids with the end id, compressed."""
+    kind = "<u2" if size <= 1 << 16 else "<u4"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        code, press = encoder(tokenizer_json.value), zstandard.ZstdCompressor(level=1)
+        end = np.array([end_id], "<u4").tobytes()
+        for batch in batches:
+            for k in range(0, len(batch), 64):
+                some = batch.slice(k, 64)
+                docs = np.array([NO_ID if d is None else d for d in some.column(0).to_pylist()], "<i8")
+                ids = code.encode(some.column(1).to_pylist())
+                sizes = np.array([len(x) // 4 + 1 for x in ids], "<i8")
+                joined = np.frombuffer(b"".join(y for x in ids for y in (x, end)), "<u4").astype(kind)
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (docs.tobytes(), sizes.tobytes(), press.compress(joined.tobytes()))], names=["docs", "sizes", "ids"])
+
+    return texts.mapInArrow(run, "docs binary, sizes binary, ids binary")
+
+
+def _ids(x: bytes, size: int) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.decompress(x), "<u2" if size <= 1 << 16 else "<u4")
+
+
+def count_ids(coded: DataFrame, size: int) -> np.ndarray:
     """How often each id occurs over all documents, end ids included: at most ``size`` numbers reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, counts = encoder(tokenizer_json.value), np.zeros(size, np.int64)
+        counts = np.zeros(size, np.int64)
         for batch in batches:
-            column = batch.column(0)
-            counts[end_id] += len(column)
-            for k in range(0, len(column), 64):
-                ids = b"".join(code.encode(column.slice(k, 64).to_pylist()))
-                counts += np.bincount(np.frombuffer(ids, "<u4"), minlength=size)
+            for x in batch.column(0):
+                counts += np.bincount(_ids(x.as_py(), size), minlength=size)
         met = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(counts[met])], names=["id", "n"])
 
-    rows = texts.select("text").mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = coded.select("ids").mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(size, np.int64)
     counts[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return counts
@@ -212,7 +262,8 @@ def write(docs: DataFrame, path: str, tokenizer_json: str, key: str = "doc_id",
         raise ValueError(f"more than {MAX_VOCABULARY} ids")
     shipped = spark.sparkContext.broadcast(tokenizer_json)
     texts = _texts(docs, key, text)
-    counts = count_ids(texts, shipped, size, end_id)
+    made = materialize(encoded(texts, shipped, size, end_id), "token-ids")
+    counts = count_ids(made, size)
     order = np.argsort(-counts, kind="stable").astype(np.uint32)
     rank = np.empty(size, np.uint32)
     rank[order] = np.arange(size, dtype=np.uint32)
@@ -223,24 +274,18 @@ def write(docs: DataFrame, path: str, tokenizer_json: str, key: str = "doc_id",
     cuts = texts.select(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
     cuts = sorted(set(cuts or []))
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, (_, ranks) = encoder(shipped.value), tables.value
-        end = np.array([end_id], "<u4").tobytes()
+    def rank_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = tables.value[1]
         for batch in batches:
-            for k in range(0, len(batch), 64):
-                some = batch.slice(k, 64)
-                doc_ids = [NO_ID if d is None else d for d in some.column(0).to_pylist()]
-                packed, sizes = [], []
-                for x in code.encode(some.column(1).to_pylist()):
-                    ids = np.frombuffer(x + end, "<u4")
-                    sizes.append(len(ids))
-                    packed.append(pack(ranks[ids]))
+            for docs, sizes, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                doc_ids, counts = np.frombuffer(docs, "<i8"), np.frombuffer(sizes, "<i8")
+                packed = [pack(x) for x in np.split(ranks[_ids(ids, size)], np.cumsum(counts)[:-1])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([bisect_right(cuts, d) for d in doc_ids], pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())],
+                    [pa.array([bisect_right(cuts, d) for d in doc_ids.tolist()], pa.int32()), pa.array(doc_ids), pa.array(counts), pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())],
                     names=["part", "doc_id", "n", "control", "data"],
                 )
 
-    coded = texts.mapInArrow(encode, "part int, doc_id bigint, n bigint, control binary, data binary")
+    coded = made.mapInArrow(rank_all, "part int, doc_id bigint, n bigint, control binary, data binary")
     dealt = coded.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("doc_id", "n", "control", "data")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,8 +307,9 @@ def write(docs: DataFrame, path: str, tokenizer_json: str, key: str = "doc_id",
             yield out()
 
     # The text writer ends each row with the line feed that ends a block; a file holds one block.
-    made = dealt.mapInArrow(assemble, "block binary").select(F.expr("substring(block, 1, length(block) - 1)").cast("string").alias("value"))
-    made.write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
+    rows = dealt.mapInArrow(assemble, "block binary").select(F.expr("substring(block, 1, length(block) - 1)").cast("string").alias("value"))
+    rows.write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
+    discard(made)
 
 
 def read(spark, path: str) -> DataFrame:
