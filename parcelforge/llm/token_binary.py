@@ -22,7 +22,6 @@ named here, so extra columns cannot clash.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from bisect import bisect_right
@@ -31,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +40,8 @@ MAGIC = b"PFTOK1"
 _HEAD = struct.Struct("<6sIIQQQ")
 #: A file holds about this many bytes of documents at most (or one document).
 BLOCK_BYTES = 16 << 20
+#: Texts are encoded in groups of about this many bytes.
+GROUP_BYTES = 4 << 20
 #: The known pieces that a worker keeps; it starts anew beyond that.
 MAX_KNOWN = 300_000
 #: A table of a whole vocabulary goes to the driver and to each executor; this bounds it.
@@ -62,7 +64,7 @@ class Encoder:
     """
 
     #: What the fast way can't treat: white space next to a space, and other characters than these.
-    _ODD = re.compile("  |\n |\x20\n|[^\x01-\x08\x0e-\x1b\x21-\x7e\x20\n\xa1-\u024f]")
+    _ODD = r"  |\n | \n|[^\x01-\x08\x0e-\x1b\x21-\x7e \n\x{a1}-\x{24f}]"
     #: Fixed value: the byte-level pattern.
     _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -85,50 +87,71 @@ class Encoder:
         plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         others = [b for b in range(256) if b not in plain]
         self.shown = {b: 0x100 + k for k, b in enumerate(others)}
+        self.packed = [struct.pack("<I", k) for k in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _piece(self, piece: str) -> bytes:
-        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))
-        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        """The ids of what the pattern doesn't cut."""
+        if piece.isascii() and piece.isprintable():
+            shown = piece.replace(" ", "\u0120")
+        else:
+            shown = piece.encode().decode("latin-1").translate(self.shown)
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return b"".join([self.packed[i] for i in ids])
 
     def _part(self, part: str) -> bytes:
-        pieces, out = self.pieces, []
-        for p in self.cut(part):
-            ids = pieces.get(p)
+        # One word, perhaps with a mark behind it, needs no pattern: it has nothing to cut but that mark.
+        if part[1:].isalpha() and part[0] == " ":
+            return self._piece(part)
+        pieces = [part[:-1], part[-1]] if part[1:-1].isalpha() and part[0] == " " and part[-1] in ",.;:!?" else self.cut(part)
+        known, out = self.pieces, []
+        for p in pieces:
+            ids = known.get(p)
             if ids is None:
-                if len(pieces) > MAX_KNOWN:
-                    pieces.clear()
-                ids = pieces[p] = self._piece(p)
+                if len(known) > MAX_KNOWN:
+                    known.clear()
+                ids = known[p] = self._piece(p)
             out.append(ids)
         return b"".join(out)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Of each text, its ids."""
-        fast = {k for k, x in enumerate(texts) if self.by_space and not self._ODD.search(x) and not any(t in x for t in self.added)}
-        slow = [k for k in range(len(texts)) if k not in fast]
-        out: list[bytes] = [b""] * len(texts)
-        for k, ids in zip(slow, self._library([texts[k] for k in slow])):
-            out[k] = ids
+    def _known(self, parts: list[str]) -> list[bytes]:
         if len(self.parts) > MAX_KNOWN:
             self.older, self.parts = self.parts, {}
-        known = self.parts
-        for k in fast:
-            # Each part with the space before it; an empty first part has no ids.
-            parts = texts[k].replace(" ", "\0 ").split("\0")
-            ids = [known.get(p) for p in parts]
-            if None in ids:
-                older = self.older
-                for j, p in enumerate(parts):
-                    if ids[j] is None:
-                        got = known.get(p)
-                        if got is None:
-                            got = older.get(p)
-                            known[p] = got = self._part(p) if got is None else got
-                        ids[j] = got
-            out[k] = b"".join(ids)
-        return out
+        known, older = self.parts, self.older
+        ids = list(map(known.get, parts))
+        for j, got in enumerate(ids):
+            if got is None:
+                got = older.get(parts[j])
+                known[parts[j]] = ids[j] = self._part(parts[j]) if got is None else got
+        return ids
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after the other, and how many each has.
+
+        Equal parts of these texts are looked up once; what is left is gathered by numpy.
+        """
+        odd = pc.match_substring_regex(texts, self._ODD) if self.by_space else pa.array([True] * len(texts))
+        for t in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, t))
+        odd = odd.to_numpy(zero_copy_only=False)
+        whole = self._library(texts.filter(pa.array(odd)).to_pylist())
+        # Each part with the space before it; an empty first part has no ids.  Odd texts are one part, put in below.
+        split = pc.split_pattern(pc.replace_substring(pc.if_else(pa.array(odd), "", texts), " ", "\0 "), "\0")
+        coded = split.flatten().dictionary_encode()
+        parts = self._known(coded.dictionary.to_pylist())
+        first = len(parts)
+        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        index[ends[odd] - 1] = first + np.arange(len(whole))
+        flat = np.frombuffer(b"".join(parts + whole), "<u4")
+        sizes = np.array([len(x) // 4 for x in parts + whole], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        own = sizes[index]
+        upto = np.cumsum(own)
+        ids = flat[np.repeat(starts[index] - (upto - own), own) + np.arange(upto[-1] if len(upto) else 0)]
+        return ids, np.diff(upto[ends - 1], prepend=0)
 
 
 _encoders: dict[int, Encoder] = {}
@@ -155,15 +178,18 @@ def encoded(texts: DataFrame, tokenizer_json, size: int, end_id: int) -> DataFra
         import zstandard
 
         code, press = encoder(tokenizer_json.value), zstandard.ZstdCompressor(level=1)
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for k in range(0, len(batch), 64):
-                some = batch.slice(k, 64)
+            lengths = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            group = (np.cumsum(lengths) - lengths) // GROUP_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(batch)]
+            for low, high in zip(cuts, cuts[1:]):
+                if low == high:
+                    continue
+                some = batch.slice(low, high - low)
                 docs = np.array([NO_ID if d is None else d for d in some.column(0).to_pylist()], "<i8")
-                ids = code.encode(some.column(1).to_pylist())
-                sizes = np.array([len(x) // 4 + 1 for x in ids], "<i8")
-                joined = np.frombuffer(b"".join(y for x in ids for y in (x, end)), "<u4").astype(kind)
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (docs.tobytes(), sizes.tobytes(), press.compress(joined.tobytes()))], names=["docs", "sizes", "ids"])
+                ids, sizes = code.encode(some.column(1))
+                ids = np.insert(ids, np.cumsum(sizes), end_id).astype(kind)
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (docs.tobytes(), (sizes + 1).astype("<i8").tobytes(), press.compress(ids.tobytes()))], names=["docs", "sizes", "ids"])
 
     return texts.mapInArrow(run, "docs binary, sizes binary, ids binary")
 
