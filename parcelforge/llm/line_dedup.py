@@ -87,7 +87,8 @@ def dedup(docs: DataFrame, window: int = 2, min_words: int = 50) -> DataFrame:
     """``docs`` with the cleaned ``text``, and ``_pf_gone``, ``_pf_gone_words`` (null where nothing was deleted)."""
     lost = materialize(repeats(docs, window, min_words), "line-gone", True)
     keyed = lost.select(F.col("doc").alias("_pf_doc"), F.col("th").alias("_pf_th"), F.col("gone").alias("_pf_gone"), F.col("gone_words").alias("_pf_gone_words"))
-    both = docs.join(keyed, (F.col("doc_id") == F.col("_pf_doc")) & (F.xxhash64("text") == F.col("_pf_th")), "left").drop("_pf_doc", "_pf_th")
+    # Sorted at every size: whether the positions are few enough to be broadcast is no matter of this plan.
+    both = docs.join(keyed.hint("merge"), (F.col("doc_id") == F.col("_pf_doc")) & (F.xxhash64("text") == F.col("_pf_th")), "left").drop("_pf_doc", "_pf_th")
     parts = F.split("text", "\n")
     # A helper column, so that the text is split once.
     split = both.withColumn("_pf_lines", F.when(F.col("_pf_gone").isNotNull(), parts))
