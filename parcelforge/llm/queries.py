@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from parcelforge.llm import license_scan, line_dedup, piecewise_hash, quality_rules, simhash, token_binary, url_filter, warc
+from parcelforge.llm import (
+    license_scan,
+    line_dedup,
+    mixing,
+    piecewise_hash,
+    quality_rules,
+    sentencepiece_codec,
+    simhash,
+    token_binary,
+    url_filter,
+    warc,
+)
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
@@ -12,7 +23,9 @@ QUERIES = {
     "op5_warc": warc.query,
     "op6_line_dedup": line_dedup.query,
     "op7_url_filters": url_filter.query,
+    "op8_mixing": mixing.query,
     "op9_token_binary": token_binary.query,
+    "op10_sentencepiece": sentencepiece_codec.query,
 }
 
 ORACLE_SQL = {"op5_warc": warc.SQL, "op7_url_filters": url_filter.SQL}
