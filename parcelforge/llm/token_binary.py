@@ -41,7 +41,7 @@ _HEAD = struct.Struct("<6sIIQQQ")
 #: A file holds about this many bytes of documents at most (or one document).
 BLOCK_BYTES = 16 << 20
 #: Texts are encoded in groups of about this many bytes.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 8 << 20
 #: The known pieces that a worker keeps; it starts anew beyond that.
 MAX_KNOWN = 300_000
 #: A table of a whole vocabulary goes to the driver and to each executor; this bounds it.
@@ -142,15 +142,17 @@ class Encoder:
         coded = split.flatten().dictionary_encode()
         parts = self._known(coded.dictionary.to_pylist())
         first = len(parts)
-        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        index = coded.indices.to_numpy(zero_copy_only=False).copy()
         ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
         index[ends[odd] - 1] = first + np.arange(len(whole))
         flat = np.frombuffer(b"".join(parts + whole), "<u4")
-        sizes = np.array([len(x) // 4 for x in parts + whole], np.int64)
-        starts = np.cumsum(sizes) - sizes
+        # Places fit 32 bits: a group has fewer ids than bytes, unless one text alone is larger.
+        kind = np.int32 if texts.nbytes < 1 << 30 else np.int64
+        sizes = np.array([len(x) // 4 for x in parts + whole], kind)
+        starts = np.cumsum(sizes, dtype=kind) - sizes
         own = sizes[index]
-        upto = np.cumsum(own)
-        ids = flat[np.repeat(starts[index] - (upto - own), own) + np.arange(upto[-1] if len(upto) else 0)]
+        upto = np.cumsum(own, dtype=kind)
+        ids = flat[np.repeat(starts[index] - (upto - own), own) + np.arange(upto[-1] if len(upto) else 0, dtype=kind)]
         return ids, np.diff(upto[ends - 1], prepend=0)
 
 
@@ -217,27 +219,44 @@ def count_ids(coded: DataFrame, size: int) -> np.ndarray:
     return counts
 
 
-def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes of ranks; the last control byte is filled up with zero bits."""
-    ranks = ranks.astype("<u4")
-    extra = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    codes[: len(ranks)] = extra
-    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    used = np.arange(4) <= extra[:, None]
-    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[used].tobytes()
-
-
-def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The ``n`` ranks of :func:`pack`: lengths by table lookup, values by gathering bytes."""
-    size = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n].astype(np.int64)
-    starts = np.cumsum(size) - size
-    padded = np.frombuffer(data + b"\0\0\0", np.uint8)
-    out = padded[starts].astype(np.uint32)
+def padded(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each id stands when every document's ids are filled up to a multiple of four, and where documents end."""
+    wide = -(-counts // 4) * 4
+    ends = np.cumsum(wide)
+    shift = ends - wide - (np.cumsum(counts) - counts)
+    return np.arange(int(counts.sum())) + np.repeat(shift, counts), ends
+
+
+def pack(ranks: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Control bytes and data bytes of each document; its last control byte is filled up with zero bits."""
+    ranks = np.ascontiguousarray(ranks, "<u4")
+    extra = (ranks > 0xFF).astype(np.uint8)
+    extra += ranks > 0xFFFF
+    extra += ranks > 0xFFFFFF
+    at, ends = padded(counts)
+    codes = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    codes[at] = extra
+    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8).tobytes()
+    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= extra[:, None]].tobytes()
+    upto = np.cumsum(extra, dtype=np.int64)[np.cumsum(counts) - 1] + np.cumsum(counts)
+    return _cut(control, ends // 4), _cut(data, upto)
+
+
+def _cut(data: bytes, ends: np.ndarray) -> list[bytes]:
+    ends = ends.tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def unpack(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
+    """The ranks of documents of :func:`pack`: lengths by table lookup, values by gathering bytes."""
+    size = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[padded(counts)[0]]
+    starts = np.cumsum(size, dtype=np.int64) - size
+    raw = np.frombuffer(data, np.uint8)
+    out = raw[starts].astype(np.uint32)
     for k in range(1, 4):
         more = np.flatnonzero(size > k)
         if len(more):
-            out[more] |= padded[starts[more] + k].astype(np.uint32) << np.uint32(8 * k)
+            out[more] |= raw[starts[more] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
@@ -264,14 +283,7 @@ def blocks(content: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]
         control = content[(at := at + 8 * n_docs) : at + n_control]
         data = content[(at := at + n_control) : at + n_data]
         at += n_data + 1
-        ranks = np.empty(n_ids, np.uint32)
-        c = d = k = 0
-        for n in counts.tolist():
-            own = control[c : c + -(-n // 4)]
-            length = int(LENGTHS[np.frombuffer(own, np.uint8)].ravel()[:n].sum())
-            ranks[k : k + n] = unpack(own, data[d : d + length], n)
-            c, d, k = c + len(own), d + length, k + n
-        yield docs, counts, table[ranks]
+        yield docs, counts, table[unpack(control, data, counts)]
 
 
 #: Stands for a null doc_id in files.
@@ -305,9 +317,9 @@ def write(docs: DataFrame, path: str, tokenizer_json: str, key: str = "doc_id",
         for batch in batches:
             for docs, sizes, ids in zip(*(c.to_pylist() for c in batch.columns)):
                 doc_ids, counts = np.frombuffer(docs, "<i8"), np.frombuffer(sizes, "<i8")
-                packed = [pack(x) for x in np.split(ranks[_ids(ids, size)], np.cumsum(counts)[:-1])]
+                control, data = pack(ranks[_ids(ids, size)], counts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([bisect_right(cuts, d) for d in doc_ids.tolist()], pa.int32()), pa.array(doc_ids), pa.array(counts), pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())],
+                    [pa.array([bisect_right(cuts, d) for d in doc_ids.tolist()], pa.int32()), pa.array(doc_ids), pa.array(counts), pa.array(control, pa.binary()), pa.array(data, pa.binary())],
                     names=["part", "doc_id", "n", "control", "data"],
                 )
 
