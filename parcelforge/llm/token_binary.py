@@ -173,7 +173,8 @@ def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def encoded(texts: DataFrame, tokenizer_json, size: int, end_id: int) -> DataFrame:
-    """(docs, sizes, ids): a row for some documents, their ids with the end id, compressed."""
+    """(docs, sizes, ids, met, times): a row for some documents: their ids with the end id, compressed, and the
+    different ids with how often each occurs."""
     kind = "<u2" if size <= 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,9 +192,12 @@ def encoded(texts: DataFrame, tokenizer_json, size: int, end_id: int) -> DataFra
                 docs = np.array([NO_ID if d is None else d for d in some.column(0).to_pylist()], "<i8")
                 ids, sizes = code.encode(some.column(1))
                 ids = np.insert(ids, np.cumsum(sizes), end_id).astype(kind)
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (docs.tobytes(), (sizes + 1).astype("<i8").tobytes(), press.compress(ids.tobytes()))], names=["docs", "sizes", "ids"])
+                times = np.bincount(ids, minlength=size)
+                met = np.flatnonzero(times)
+                blobs = docs.tobytes(), (sizes + 1).astype("<i8").tobytes(), press.compress(ids.tobytes()), met.astype("<i4").tobytes(), times[met].astype("<i8").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in blobs], names=["docs", "sizes", "ids", "met", "times"])
 
-    return texts.mapInArrow(run, "docs binary, sizes binary, ids binary")
+    return texts.mapInArrow(run, "docs binary, sizes binary, ids binary, met binary, times binary")
 
 
 def _ids(x: bytes, size: int) -> np.ndarray:
@@ -208,12 +212,12 @@ def count_ids(coded: DataFrame, size: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                counts += np.bincount(_ids(x.as_py(), size), minlength=size)
+            for met, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts[np.frombuffer(met, "<i4")] += np.frombuffer(times, "<i8")
         met = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(counts[met])], names=["id", "n"])
 
-    rows = coded.select("ids").mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = coded.select("met", "times").mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(size, np.int64)
     counts[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return counts
@@ -237,7 +241,8 @@ def pack(ranks: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes
     codes = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
     codes[at] = extra
     control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8).tobytes()
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= extra[:, None]].tobytes()
+    width = int(extra.max(initial=0)) + 1
+    data = ranks.view(np.uint8).reshape(-1, 4)[:, :width][np.arange(width) <= extra[:, None]].tobytes()
     upto = np.cumsum(extra, dtype=np.int64)[np.cumsum(counts) - 1] + np.cumsum(counts)
     return _cut(control, ends // 4), _cut(data, upto)
 
@@ -323,7 +328,7 @@ def write(docs: DataFrame, path: str, tokenizer_json: str, key: str = "doc_id",
                     names=["part", "doc_id", "n", "control", "data"],
                 )
 
-    coded = made.mapInArrow(rank_all, "part int, doc_id bigint, n bigint, control binary, data binary")
+    coded = made.select("docs", "sizes", "ids").mapInArrow(rank_all, "part int, doc_id bigint, n bigint, control binary, data binary")
     dealt = coded.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("doc_id", "n", "control", "data")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
