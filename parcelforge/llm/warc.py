@@ -42,7 +42,7 @@ def plan(pages: DataFrame, least: int = 1000, key: str = "page_id", payload: str
     large = own.where((F.col("bytes") >= least) & F.col("page_id").isNotNull())
     first = materialize(large.groupBy("digest", "bytes").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-shared", True)
     # Both sides are stored tables: a payload that a third of the pages share is split by Spark.
-    return large.join(first, ["digest", "bytes"]).where("page_id <> last").select("page_id", F.col("last").alias("refers_to")).distinct()
+    return large.join(first.hint("merge"), ["digest", "bytes"]).where("page_id <> last").select("page_id", F.col("last").alias("refers_to")).distinct()
 
 
 def write(pages: DataFrame, path: str, least: int = 1000, key: str = "page_id", url: str = "url", payload: str = "html") -> None:
@@ -50,7 +50,7 @@ def write(pages: DataFrame, path: str, least: int = 1000, key: str = "page_id",
     revisits = materialize(plan(pages, least, key, payload), "warc-revisits", True)
     body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
     narrow = pages.select(F.col(key).cast("bigint").alias("page_id"), F.coalesce(F.regexp_replace(F.col(url).cast("string"), r"[\r\n]", " "), F.lit("")).alias("url"), body.alias("body"))
-    all_ = narrow.join(revisits, "page_id", "left")
+    all_ = narrow.join(revisits.hint("merge"), "page_id", "left")
     again = F.col("refers_to").isNotNull()
     digest = F.sha1(F.encode("body", "UTF-8"))
     kept = F.when(again, F.lit("")).otherwise(F.col("body"))
@@ -159,8 +159,8 @@ def reachable(cands: DataFrame) -> DataFrame:
     many = entries.count()
     while True:
         # Offsets that are entered, and those that a jump from them enters; then jumps twice as far.
-        more = entries.join(jump, ["file", "offset"]).select("file", F.col("leave").alias("offset"))
-        grown = materialize(entries.unionByName(more.join(jump, ["file", "offset"], "left_semi")).distinct(), "warc-entry", True)
+        more = entries.join(jump.hint("merge"), ["file", "offset"]).select("file", F.col("leave").alias("offset"))
+        grown = materialize(entries.unionByName(more.join(jump.hint("merge"), ["file", "offset"], "left_semi")).distinct(), "warc-entry", True)
         now = grown.count()
         discard(entries)
         entries = grown
@@ -169,7 +169,7 @@ def reachable(cands: DataFrame) -> DataFrame:
             break
         many = now
         far = jump.select("file", F.col("offset").alias("leave"), F.col("leave").alias("further"))
-        further = materialize(jump.join(far, ["file", "leave"], "left").select("file", "offset", F.coalesce("further", "leave").alias("leave")), "warc-jump", True)
+        further = materialize(jump.join(far.hint("merge"), ["file", "leave"], "left").select("file", "offset", F.coalesce("further", "leave").alias("leave")), "warc-jump", True)
         discard(jump)
         jump = further
 
@@ -183,7 +183,7 @@ def reachable(cands: DataFrame) -> DataFrame:
                 todo.append(following[at])
         return x[x["offset"].isin(met)][["file", "split", "seq"]]
 
-    marked = links.join(entries.withColumn("entered", F.lit(True)), ["file", "offset"], "left").withColumn("entered", F.coalesce("entered", F.lit(False)))
+    marked = links.join(entries.withColumn("entered", F.lit(True)).hint("merge"), ["file", "offset"], "left").withColumn("entered", F.coalesce("entered", F.lit(False)))
     return marked.groupBy("file", "split").applyInPandas(walk, "file string, split bigint, seq bigint")
 
 
@@ -191,7 +191,8 @@ def read(spark, path: str) -> DataFrame:
     """The records of the archives: type, record_id, refers_to, uri, digest (of the header), payload_bytes, sha1."""
     found = materialize(placed(candidates(spark, path)), "warc-candidates")
     met = materialize(reachable(found), "warc-reached", True)
-    records = found.join(met, ["file", "split", "seq"])
+    # A stored table is small in its files, as they repeat names, and large in memory: it must not be broadcast.
+    records = found.join(met.hint("merge"), ["file", "split", "seq"])
     broken = materialize(records.where("sha1 is null").select("file", "offset", "head", "length", "successor"), "warc-broken", True)
     if not broken.isEmpty():
         records = records.join(_mended(spark, path, found, broken), ["file", "offset"], "left").withColumn("sha1", F.coalesce("sha1", "mended")).drop("mended")
@@ -234,7 +235,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     # A revisit has no payload of its own: it is looked up in the response it refers to.
     own = records.select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("far_bytes"), F.col("sha1").alias("far_sha1")).where(records["type"] == "response")
     done = records.where("type = 'response'").select("page_id", "payload_bytes", F.col("sha1").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
-    again = records.where("type = 'revisit'").join(own, "refers_to").select("page_id", F.col("far_bytes").alias("payload_bytes"), F.col("far_sha1").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+    again = records.where("type = 'revisit'").join(own.hint("merge"), "refers_to").select("page_id", F.col("far_bytes").alias("payload_bytes"), F.col("far_sha1").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
     return done.unionByName(again)
 
 
