@@ -3,9 +3,10 @@
 A text's lines that hold a word are hashed (128 bits).  Of every ``window`` successive lines the one of the smallest
 hash is a fingerprint, and so is every line of ``min_words`` words or more; hence any repeated run of ``min_words``
 words that spans ``window`` lines, or one long line, holds a fingerprint.  With the window of 2 that is every such
-run.  Each fingerprint is joined with its first occurrence (by doc_id, then text hash, then position), carrying the
-hashes of the ``window`` - 1 lines on either side; the match is extended both ways as far as they agree, which closes
-the gaps between fingerprints.  Successive lines so covered form a run; runs of at least ``min_words`` words are
+run.  Each fingerprint is joined with its first occurrence (by doc_id, then text hash, then position), and extended
+both ways: by 1 to ``window`` - 1 lines before or after it, each such extension being joined with its own first
+occurrence.  No line of a repeated run is further from a fingerprint of that run, so the whole run is covered,
+wherever its parts stood first.  Successive lines so covered form a run; runs of at least ``min_words`` words are
 deleted, as what they repeat stands earlier.
 
 Only hashes travel: a hot line meets one row, its first occurrence, and both sides of that join are stored tables
@@ -55,28 +56,33 @@ def fingerprints(docs: DataFrame, window: int, min_words: int) -> DataFrame:
     return chosen.select("doc", "th", "k", line["h"].alias("h"), line["g"].alias("g"), line["n"].alias("n"), line["pos"].alias("pos"), before.alias("before"), after.alias("after"))
 
 
-def _agree(a: str, b: str) -> Column:
-    """Of the lines beside two matched lines, those that agree from the nearest on."""
-    pairs = F.arrays_zip(F.col(a).alias("x"), F.col(b).alias("y"))
-    same = F.transform(pairs, lambda p: F.coalesce((p["x"]["h"] == p["y"]["h"]) & (p["x"]["g"] == p["y"]["g"]), F.lit(False)))
-    upto = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same).cast("bigint"))
-    return F.slice(a, F.lit(1), upto.cast("int"))
+def _keyed(marks: DataFrame, window: int) -> DataFrame:
+    """(doc, th, k, kh, kg, lines): each fingerprint alone, and with 1 to ``window`` - 1 lines before or after it; the
+    key is a hash of those lines, ``lines`` their (k, n, pos)."""
+    row = lambda x, k: F.struct(k.cast("int").alias("k"), x["n"].alias("n"), x["pos"].alias("pos"))
+    own = F.array(F.struct(F.col("k").cast("int").alias("k"), "n", "pos"))
+
+    def entry(e: int, side: str | None) -> Column:
+        if side is None:
+            return F.struct(F.xxhash64(F.lit(0), "h").alias("kh"), F.xxhash64(F.lit(0), "g").alias("kg"), own.alias("lines"))
+        sign = -1 if side == "before" else 1
+        near = F.slice(side, 1, e)
+        lines = F.concat(own, F.transform(near, lambda x, i: row(x, F.col("k") + sign * (i + 1))))
+        key = lambda c: F.xxhash64(F.lit(sign * e), c, F.transform(near, lambda x: x[c]))
+        return F.when(F.size(side) >= e, F.struct(key("h").alias("kh"), key("g").alias("kg"), lines.alias("lines")))
+
+    entries = [entry(0, None)] + [entry(e, side) for side in ("before", "after") for e in range(1, window)]
+    return marks.select("doc", "th", "k", F.explode(F.array_compact(F.array(*entries))).alias("e")).select("doc", "th", "k", "e.*")
 
 
 def repeats(docs: DataFrame, window: int = 2, min_words: int = 50) -> DataFrame:
     """(doc, th, gone: places of lines to delete, gone_words) of the documents that lose lines."""
     marks = materialize(fingerprints(docs, window, min_words), "line-marks")
-    bare = ["before", "after"]
-    side = lambda c: F.transform(c, lambda x: F.struct(x["h"], x["g"])).alias(c)
-    first = marks.groupBy("h", "g").agg(F.min(F.struct("doc", "th", "k", *(side(c) for c in bare))).alias("first"), F.count("*").alias("met")).where("met > 1")
-    first = materialize(first.select("h", "g", *(F.col("first")[c].alias(f"first_{c}") for c in ("doc", "th", "k", *bare))), "line-first", True)
-    met = marks.join(first, ["h", "g"]).where("struct(doc, th, k) > struct(first_doc, first_th, first_k)")
-    own = F.array(F.struct("h", "g", "n", "pos"))
-    back, on = _agree("before", "first_before"), _agree("after", "first_after")
-    # (k, n, pos) of all lines of the extended match.
-    row = lambda x, k: F.struct(k.cast("int").alias("k"), x["n"].alias("n"), x["pos"].alias("pos"))
-    covered = F.concat(F.transform(back, lambda x, i: row(x, F.col("k") - 1 - i)), F.transform(own, lambda x, i: row(x, F.col("k") + i)), F.transform(on, lambda x, i: row(x, F.col("k") + 1 + i)))
-    lines = met.select("doc", "th", F.explode(covered).alias("c")).select("doc", "th", "c.*").distinct()
+    keyed = _keyed(marks, window)
+    first = keyed.groupBy("kh", "kg").agg(F.min(F.struct("doc", "th", "k")).alias("first"), F.count("*").alias("met")).where("met > 1")
+    first = materialize(first.select("kh", "kg", *(F.col("first")[c].alias(f"first_{c}") for c in ("doc", "th", "k"))), "line-first", True)
+    met = keyed.join(first.hint("merge"), ["kh", "kg"]).where("struct(doc, th, k) > struct(first_doc, first_th, first_k)")
+    lines = met.select("doc", "th", F.explode("lines").alias("c")).select("doc", "th", "c.*").distinct()
     # Successive lines: equal differences of place and rank.  A window holds one document.
     run = F.col("k") - F.row_number().over(Window.partitionBy("doc", "th").orderBy("k"))
     runs = lines.withColumn("run", run).groupBy("doc", "th", "run").agg(F.sum("n").alias("w"), F.collect_list("pos").alias("ps")).where(F.col("w") >= min_words)
