@@ -43,7 +43,7 @@ BLOCK_BYTES = 16 << 20
 #: Texts are encoded in groups of about this many bytes.
 GROUP_BYTES = 8 << 20
 #: The known pieces that a worker keeps; it starts anew beyond that.
-MAX_KNOWN = 300_000
+MAX_KNOWN = 400_000
 #: A table of a whole vocabulary goes to the driver and to each executor; this bounds it.
 MAX_VOCABULARY = 1 << 22
 
@@ -78,7 +78,6 @@ class Encoder:
         self.model = self.tokenizer.model
         self.parts: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # what was known before the last time that ``parts`` was full
-        self.pieces: dict[str, bytes] = {}
         self.cut = regex.compile(self._PATTERN).findall
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         said = repr(self.tokenizer.pre_tokenizer)
@@ -106,13 +105,14 @@ class Encoder:
         if part[1:].isalpha() and part[0] == " ":
             return self._piece(part)
         pieces = [part[:-1], part[-1]] if part[1:-1].isalpha() and part[0] == " " and part[-1] in ",.;:!?" else self.cut(part)
-        known, out = self.pieces, []
+        if len(pieces) == 1:
+            return self._piece(part)
+        known, older, out = self.parts, self.older, []
         for p in pieces:
             ids = known.get(p)
             if ids is None:
-                if len(known) > MAX_KNOWN:
-                    known.clear()
-                ids = known[p] = self._piece(p)
+                ids = older.get(p)
+                known[p] = ids = self._piece(p) if ids is None else ids
             out.append(ids)
         return b"".join(out)
 
