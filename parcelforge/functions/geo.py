@@ -39,7 +39,12 @@ class Box:
     """The corner columns of a box: ``Box("p_")`` has p_x1, p_y1, p_x2, p_y2."""
 
     def __init__(self, prefix: str = "") -> None:
-        self.x1, self.y1, self.x2, self.y2 = (F.col(f"{prefix}{c}") for c in ("x1", "y1", "x2", "y2"))
+        self.prefix = prefix  # columns are made on use: a module may hold a box before there is a session
+
+    x1 = property(lambda self: F.col(f"{self.prefix}x1"))
+    y1 = property(lambda self: F.col(f"{self.prefix}y1"))
+    x2 = property(lambda self: F.col(f"{self.prefix}x2"))
+    y2 = property(lambda self: F.col(f"{self.prefix}y2"))
 
     @property
     def area(self) -> Column:
