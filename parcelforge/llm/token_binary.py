@@ -28,10 +28,9 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from parcelforge.llm.common import discard, materialize, new_path
@@ -375,11 +374,19 @@ def read(spark, path: str) -> DataFrame:
                     begun += int(counts.sum())
 
     found = materialize(files.mapInArrow(decode, "path string, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint"), "token-index")
-    # One number for each file; files are of bounded size, and named in the order of their partitions.
-    sums = found.groupBy("path").agg(F.sum("n_tokens").alias("n")).toPandas().sort_values("path")
-    before = pd.DataFrame({"path": sums["path"], "before": sums["n"].cumsum() - sums["n"]})
-    ahead = spark.createDataFrame([(p, int(b)) for p, b in zip(before["path"], before["before"])], "path string, before bigint")
-    return found.join(F.broadcast(ahead), "path").select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    # Files are named by partition, then by their place in it: two running sums, one within a partition and one over
+    # the partitions, of which there are as many as the session has shuffle partitions.
+    part = F.regexp_extract("path", r"part-(\d+)", 1).cast("bigint")
+    sums = found.groupBy("path").agg(F.sum("n_tokens").alias("n")).withColumn("part", part)
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    inner = sums.select("path", "part", F.coalesce(F.sum("n").over(_over(earlier, "path", "part")), F.lit(0)).alias("inner"))
+    outer = sums.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(_over(earlier, "part")), F.lit(0)).alias("outer"))
+    ahead = inner.join(outer, "part").select("path", (F.col("inner") + F.col("outer")).alias("before"))
+    return found.join(ahead, "path").select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def _over(rows: WindowSpec, order: str, *by: str) -> WindowSpec:
+    return rows.partitionBy(*by).orderBy(order)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelforge.llm.common import discard, materialize, new_path
@@ -129,12 +129,10 @@ def placed(found: DataFrame) -> DataFrame:
     Splits of a file follow each other, so that a split begins where the bytes of those before it end; the first
     piece of a file stands before its first magic and is empty in an archive.
     """
-    from pyspark.sql import Window
-
-    # As many rows as there are splits.
+    # As many rows as there are splits; a window holds those of one file.
     sums = found.groupBy("file", "split").agg(F.sum(F.col("size") + len(_MAGIC)).alias("bytes"))
     begin = sums.select("file", "split", F.coalesce(F.sum("bytes").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("begin"))
-    out = found.join(F.broadcast(begin), ["file", "split"]).withColumn("offset", F.col("begin") + F.col("at") - len(_MAGIC))
+    out = found.join(begin.hint("merge"), ["file", "split"]).withColumn("offset", F.col("begin") + F.col("at") - len(_MAGIC))
     return out.withColumn("successor", F.col("offset") + len(_MAGIC) + F.col("head") + F.col("length") + 4).drop("begin")
 
 
@@ -201,8 +199,6 @@ def read(spark, path: str) -> DataFrame:
 
 def _mended(spark, path: str, found: DataFrame, broken: DataFrame) -> DataFrame:
     """(file, offset, sha1) of records whose payload holds the magic: their pieces are read again and joined."""
-    from pyspark.sql import Window
-
     # The last broken record at or before a piece owns it, if it reaches that far.
     marks = found.select("file", "split", "seq", "offset").join(broken.select("file", "offset", "head", "length", "successor"), ["file", "offset"], "left")
     w = Window.partitionBy("file").orderBy("offset")
