@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelforge.functions.text import key
@@ -60,21 +60,29 @@ def compare(a: Column, b: Column) -> Column:
     return F.when(x.isNotNull() & y.isNotNull(), numeric).when(s == t, 1.0).when(spaced & filled, both).otherwise(0.0)
 
 
-def attribute_similarity(a, b) -> Column:
-    """Of two maps of text: mean likeness over equal field names, then over one field of each meaning that is left;
-    0.5 where nothing can be compared."""
+def attribute_similarity(df: DataFrame, a: str, b: str, name: str = "attribute") -> DataFrame:
+    """Adds the likeness of two maps of text: the mean over equal field names, then over one field of each meaning
+    that is left; 0.5 where nothing can be compared.
+
+    Each step is a projection of its own, so that maps and keys are made once for a row.
+    """
     view = lambda m: F.transform_keys(F.map_filter(m, lambda k, v: v.isNotNull() & ~k.startswith("_")), lambda k, v: key(k))
-    a, b = view(F.col(a) if isinstance(a, str) else a), view(F.col(b) if isinstance(b, str) else b)
-    shared = F.array_intersect(F.map_keys(a), F.map_keys(b))
-    scores = F.transform(shared, lambda k: compare(F.element_at(a, k), F.element_at(b, k)))
-    for names in GROUPS.values():
-        plain = F.array(*(F.lit(n.replace("_", "")) for n in names))
-        free = lambda m: F.filter(plain, lambda k: F.map_contains_key(m, k) & ~F.array_contains(shared, k))  # noqa: B023, E731
-        ka, kb = F.get(free(a), F.lit(0)), F.get(free(b), F.lit(0))
-        met = ka.isNotNull() & kb.isNotNull()
-        scores = F.concat(scores, F.when(met, F.array(compare(F.try_element_at(a, ka), F.try_element_at(b, kb)))).otherwise(F.array().cast("array<double>")))
-    total = F.aggregate(scores, F.lit(0.0), lambda x, y: x + y)
-    return F.when(F.size(scores) > 0, F.least(F.lit(1.0), total / F.size(scores))).otherwise(0.5)
+    out = df.withColumns({"_sa": view(a), "_sb": view(b)})
+    out = out.withColumns({"_ka": F.map_keys("_sa"), "_kb": F.map_keys("_sb")})
+    out = out.withColumn("_both", F.array_intersect("_ka", "_kb"))
+    out = out.withColumns({"_ka": F.array_except("_ka", "_both"), "_kb": F.array_except("_kb", "_both")})
+    first = {}
+    for n, names in enumerate(GROUPS.values()):
+        plain = F.array(*(F.lit(x.replace("_", "")) for x in names))
+        first |= {f"_a{n}": F.get(F.array_intersect(plain, "_ka"), F.lit(0)), f"_b{n}": F.get(F.array_intersect(plain, "_kb"), F.lit(0))}
+    out = out.withColumns(first)
+    pair = lambda x, y: F.struct(F.try_element_at("_sa", x).alias("p"), F.try_element_at("_sb", y).alias("q"))
+    groups = [F.when(F.col(f"_a{n}").isNotNull() & F.col(f"_b{n}").isNotNull(), pair(F.col(f"_a{n}"), F.col(f"_b{n}"))) for n in range(len(GROUPS))]
+    out = out.withColumn("_pairs", F.concat(F.transform("_both", lambda k: pair(k, k)), F.array_compact(F.array(*groups))))
+    out = out.withColumn("_scores", F.transform("_pairs", lambda x: compare(x["p"], x["q"])))
+    mean = F.aggregate("_scores", F.lit(0.0), lambda x, y: x + y) / F.size("_scores")
+    out = out.withColumn(name, F.when(F.size("_scores") > 0, F.least(F.lit(1.0), mean)).otherwise(0.5))
+    return out.drop("_sa", "_sb", "_ka", "_kb", "_both", "_pairs", "_scores", *first)
 
 
 def overall(signals: dict[str, Column], config: MatchConfig) -> Column:

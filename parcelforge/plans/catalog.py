@@ -149,7 +149,8 @@ def attribute_similarity(spark, d):
     i = Inputs(spark, d)
     a = F.create_map(F.lit("parcel_id"), F.col("a_parcel"), F.lit("owner_name"), F.col("a_owner"), F.lit("land_use"), F.col("a_land_use"), F.lit("area_sqm"), F.col("a_area").cast("string"), F.lit("_source"), F.lit("x"))
     b = F.create_map(F.lit("structure_id"), F.col("b_structure"), F.lit("land_use"), F.col("b_land_use"), F.lit("Area_SqM"), F.col("b_area").cast("string"))
-    return i.pairs.select("a_id", "b_id", F.round(scoring.attribute_similarity(a, b), 4).alias("similarity"))
+    pairs = scoring.attribute_similarity(i.pairs.select("a_id", "b_id", a.alias("a"), b.alias("b")), "a", "b")
+    return pairs.select("a_id", "b_id", F.round("attribute", 4).alias("similarity"))
 
 
 @query

@@ -60,7 +60,7 @@ def test_ranks(spark, scores, roles, gap):
 def test_attribute_similarity(spark):
     def score(a, b):
         df = spark.createDataFrame([(a, b)], "a map<string,string>, b map<string,string>")
-        return df.select(scoring.attribute_similarity("a", "b").alias("x")).first().x
+        return scoring.attribute_similarity(df, "a", "b").first().attribute
 
     assert score({"parcel_id": "P1", "owner": "Ann Lee", "area": "100"}, {"parcel_no": "P1", "owner_name": "ann lee", "area": "99"}) > 0.9
     assert score({"parcel_id": "P1", "owner": "x"}, {"id": "Q", "name": "y"}) < 0.1
