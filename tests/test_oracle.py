@@ -3,12 +3,15 @@
 import duckdb
 import pytest
 
-from parcelforge.plans import catalog, oracle
+from parcelforge.plans import catalog, catalog_more, oracle, oracle_more
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+QUERIES, SQL = catalog_more.QUERIES, oracle.SQL | oracle_more.SQL
+
+
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
@@ -25,16 +28,16 @@ def rows(df):
     return columns, sorted(tuple(map(show, r)) for r in clean.values.tolist())
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    got = rows(catalog.QUERIES[name](spark, DATA).toPandas())
+    got = rows(QUERIES[name](spark, DATA).toPandas())
     assert got[1]
-    if name in oracle.SQL:
-        assert got == rows(duck.sql(oracle.SQL[name]).df())
+    if name in SQL:
+        assert got == rows(duck.sql(SQL[name]).df())
 
 
 def test_only_vectors_lack_a_text():
-    assert set(catalog.QUERIES) - set(oracle.SQL) == {"hashed_embedding_search"}
+    assert set(QUERIES) - set(SQL) == {"hashed_embedding_search"}
 
 
 def test_grid_size_does_not_matter(spark):
