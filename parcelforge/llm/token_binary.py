@@ -84,7 +84,9 @@ class Encoder:
         # A byte's character: itself where it is printable Latin-1, otherwise the next one from U+0100 on.
         plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         others = [b for b in range(256) if b not in plain]
-        self.shown = {b: 0x100 + k for k, b in enumerate(others)}
+        byte = {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(others)}
+        # Of each character that the fast way takes, its bytes as the model's vocabulary spells them.
+        self.shown = {chr(c): "".join(byte[b] for b in chr(c).encode()) for c in range(0x250)}.__getitem__
         self.packed = [struct.pack("<I", k) for k in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -92,12 +94,8 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         """The ids of what the pattern doesn't cut."""
-        if piece.isascii() and piece.isprintable():
-            shown = piece.replace(" ", "\u0120")
-        else:
-            shown = piece.encode().decode("latin-1").translate(self.shown)
-        ids = [t.id for t in self.model.tokenize(shown)]
-        return b"".join([self.packed[i] for i in ids])
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize("".join(map(self.shown, piece)))])
 
     def _part(self, part: str) -> bytes:
         # One word, perhaps with a mark behind it, needs no pattern: it has nothing to cut but that mark.
@@ -120,10 +118,11 @@ class Encoder:
             self.older, self.parts = self.parts, {}
         known, older = self.parts, self.older
         ids = list(map(known.get, parts))
-        for j, got in enumerate(ids):
-            if got is None:
-                got = older.get(parts[j])
-                known[parts[j]] = ids[j] = self._part(parts[j]) if got is None else got
+        part, was = self._part, older.get
+        for j in [j for j, got in enumerate(ids) if got is None]:
+            p = parts[j]
+            got = was(p)
+            known[p] = ids[j] = part(p) if got is None else got
         return ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
