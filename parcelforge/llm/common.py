@@ -19,12 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where it is unset on a local master (tests) a temporary folder is chosen and set.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="parcelforge-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="parcelforge-shared-"))
+        at = sc.getCheckpointDir()
     return at.rstrip("/")
 
 
