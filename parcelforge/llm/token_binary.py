@@ -40,9 +40,9 @@ _HEAD = struct.Struct("<6sIIQQQ")
 #: A file holds about this many bytes of documents at most (or one document).
 BLOCK_BYTES = 16 << 20
 #: Texts are encoded in groups of about this many bytes.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 6 << 20
 #: The known pieces that a worker keeps; it starts anew beyond that.
-MAX_KNOWN = 400_000
+MAX_KNOWN = 300_000
 #: A table of a whole vocabulary goes to the driver and to each executor; this bounds it.
 MAX_VOCABULARY = 1 << 22
 
