@@ -366,6 +366,36 @@ def test_viterbi_finds_the_best_sum():
             assert sum(model.exact[w[s:e]][1] if w[s:e] in model.exact else model.worst - 10 for s, e in spans) == pytest.approx(best(w))
 
 
+def unigram(data):
+    """The model with its type switched to unigram: the trainer's field 3 set to 1."""
+
+    def number(n):
+        out = b""
+        while n > 0x7F:
+            out, n = out + bytes([n & 0x7F | 0x80]), n >> 7
+        return out + bytes([n])
+
+    def message(parts):
+        return b"".join(number(k << 3) + number(v) if isinstance(v, int) else number(k << 3 | 2) + number(len(v)) + v for k, v in parts)
+
+    fields = list(sentencepiece_codec.fields(data))
+    trainer = [(k, v) for k, v in sentencepiece_codec.fields(dict(fields)[2]) if k != 3 and not (isinstance(v, bytes) and len(v) == 4)]
+    return message([(k, message([*trainer, (3, 1)]) if k == 2 else v) for k, v in fields])
+
+
+def test_viterbi_equals_the_best_of_the_library_lattice():
+    import sentencepiece
+
+    model = unigram(sentencepiece_codec._model())
+    lib, codec = sentencepiece.SentencePieceProcessor(model_proto=model), sentencepiece_codec.Codec(model)
+    assert codec.algorithm == "viterbi"
+    rng = random.Random(11)
+    words = ["the", "hested", "international"] + ["".join(rng.choices("etaoinshr", k=rng.randint(1, 12))) for _ in range(200)]
+    score = lambda ids: sum(lib.get_score(i) for i in ids)
+    for w, ids in zip(words, codec.encode(words)):
+        assert score(ids.tolist()) == max(map(score, lib.nbest_encode_as_ids(w, 4)))  # of one path it takes the quick way
+
+
 def test_long_words_equal_short_ones(monkeypatch):
     codec = sentencepiece_codec.Codec(sentencepiece_codec._model())
     words = ["▁international", "▁aaaaaaaaaaaa", "▁hetherthe", "bbbb", "▁", "▁▁▁▁▁"]
