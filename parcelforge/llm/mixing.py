@@ -116,6 +116,16 @@ def stage(docs: DataFrame, weights: dict[str, float] | None = None, **options) -
     return out.repartitionByRange("_pf_slot", "_pf_rank").sortWithinPartitions("_pf_slot", "_pf_rank").select(*docs.columns)
 
 
+def placed(docs: DataFrame, weights: dict[str, float] | None = None, **options) -> DataFrame:
+    """``docs`` with their places in the schedule as ``block``, ``slot``, ``rank_in_source`` and ``in_target``.
+
+    The schedule is a function of the documents, so that it is the one whose order :func:`stage` gave them, however they
+    were stored in between.
+    """
+    named = {"_pf_block": "block", "_pf_slot": "slot", "_pf_rank": "rank_in_source", "_pf_in_target": "in_target"}
+    return mix(docs, weights, **options).withColumnsRenamed(named)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
     return mix(docs).select("doc_id", "source", F.col("_pf_block").alias("block"), F.col("_pf_slot").alias("slot"), F.col("_pf_rank").alias("rank_in_source"), F.col("_pf_in_target").alias("in_target"))

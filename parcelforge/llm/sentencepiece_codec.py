@@ -332,9 +332,12 @@ class Codec:
         return text[1:] if m.prefix and text.startswith(" ") else text
 
 
-def with_ids(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text", algorithm: str | None = None, ids: bool = True) -> DataFrame:
-    """(doc_id, ids, n_tokens, ids_crc32, round_trip) of every row; round_trip: decoding gives the text again."""
-    narrow = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+def with_ids(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text", algorithm: str | None = None, ids: bool = True, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ids, n_tokens, ids_crc32, round_trip) of every row; round_trip: decoding gives the text again.
+
+    also: columns of ``docs`` that are returned as well.
+    """
+    narrow = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *also)
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # the model file: as large as its vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,10 +355,13 @@ def with_ids(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "te
                     if ids:
                         columns.append(pa.array([x.astype(np.int32) for x in coded], pa.list_(pa.int32())))
                         names.append("ids")
+                    columns += [batch.column(2 + j).slice(low, k + 1 - low) for j in range(len(also))]
+                    names += also
                     yield pa.RecordBatch.from_arrays(columns, names=names)
                     size, low = 0, k + 1
 
-    return narrow.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, round_trip boolean" + (", ids array<int>" if ids else ""))
+    more = "".join(f", `{c}` {narrow.schema[c].dataType.simpleString()}" for c in also)
+    return narrow.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, round_trip boolean" + (", ids array<int>" if ids else "") + more)
 
 
 def decoded(coded: DataFrame, model: bytes) -> DataFrame:
@@ -382,6 +388,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     return with_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), _model(), ids=False)
 
 
-def stage(docs: DataFrame) -> DataFrame:
-    """doc_id, ids, n_tokens, ids_crc32 and round_trip of the pipeline's documents."""
-    return with_ids(docs, _model())
+def stage(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ids, n_tokens, ids_crc32, round_trip and the columns ``also`` of the pipeline's documents."""
+    return with_ids(docs, _model(), also=also)
