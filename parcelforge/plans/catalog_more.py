@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parcelforge.functions import geo, poly, scoring, text
-from parcelforge.operators import attributes, cascade, merge
+from parcelforge.operators import analysis, attributes, cascade, matching, merge
 from parcelforge.plans import fixtures as fx
 from parcelforge.plans.catalog import QUERIES, Inputs, query
 
@@ -118,3 +118,25 @@ def attribute_key_diff(spark, d):
     base = F.array(F.lit("page"), F.lit("ref"), F.lit("k"))
     show = lambda a: F.array_join(F.array_sort(a), ",")
     return e.select("event_id", show(F.array_except("keys", base)).alias("added"), show(F.array_except(base, F.col("keys"))).alias("removed"), F.size(F.array_union("keys", base)).alias("all_keys"))
+
+
+@query
+def candidate_pairs_left_all(spark, d):
+    """Over all structures; candidate_pairs_left takes a third of them."""
+    i = Inputs(spark, d)
+    return matching.left_candidates(i.parcels, i.structures).select("a_id", "b_id", F.round("distance", 4).alias("distance"), "relationship")
+
+
+@query
+def unmatched_parcels_all(spark, d):
+    """Against all structures; unmatched_parcels takes a third of them."""
+    i = Inputs(spark, d)
+    return analysis.only(i.parcels, i.structures).select("a_id")
+
+
+@query
+def merge_unified_all(spark, d):
+    """All unified records over an earlier state; merge_unified takes those of an even length of record_id."""
+    i = Inputs(spark, d)
+    old = i.records.where("a_id % 2 = 0").select("record_id", F.lit("OLD").alias("status"))
+    return merge.upsert(old, i.unified.select("record_id", "status"), "record_id")

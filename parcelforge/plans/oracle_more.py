@@ -30,6 +30,9 @@ FINAL = {
     "explanation_text": f"select a_id, b_id, concat_ws('; ', {_SAY('overlap', 'spatial')}, {_SAY('area', 'area')}, {_SAY('position', 'centroid')}, {_SAY('attributes', 'attribute')}) as reasons, case status when 'matched' then 'HIGH' when 'unmatched' then 'UNMATCHED' else 'REVIEW_REQUIRED' end as category from scored",
     "combined_layers": "select 'parcels' as layer, a_id as id, round(a_x1, 6) as x, round(a_y1, 6) as y from parcels union all select 'assets', id, round(x, 6), round(y, 6) from assets",
     "attribute_key_diff": f"select event_id, array_to_string(list_sort(list_filter({_KEYS}, lambda k: k not in ('page', 'ref', 'k'))), ',') as added, array_to_string(list_sort(list_filter(['page', 'ref', 'k'], lambda k: not list_contains({_KEYS}, k))), ',') as removed, len(list_distinct(list_concat({_KEYS}, ['page', 'ref', 'k']))) as all_keys from events",
+    "candidate_pairs_left_all": "select p.a_id, q.b_id, round(q.distance, 4) as distance, q.relationship from parcels p left join pairs q using (a_id)",
+    "unmatched_parcels_all": f"select a_id from parcels where a_id not in (select a_id from near_ where {oracle._TOUCH})",
+    "merge_unified_all": "select record_id, 'OLD' as status from records where a_id % 2 = 0 and record_id not in (select record_id from unified) union all select record_id, status from unified",
 }
 
 def _with(final: str) -> str:
