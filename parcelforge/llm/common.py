@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes that separate words: space and 0x09-0x0D (what ``bytes.split()`` takes as well).
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
@@ -55,6 +56,27 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def quoted(name: str) -> Column:
+    """The column of this very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns, made longer until ``df`` has none of them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns but maps, which settles ties between rows that are not the same."""
+    return F.xxhash64(F.lit(0), *(quoted(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()))
+
+
 def pieces(data: bytes) -> Iterator[bytes]:
     """``data`` in pieces that end at a space byte, so that no word is cut.
 
