@@ -15,8 +15,8 @@ folder is in, appear only when their task has been committed, and survive lost e
 their ids are kept, compressed, until they have been counted and written by rank.
 
 Defined results: a null or empty text has the end id alone; documents without id come first; documents of one id
-follow each other in the order of their ids' bytes; an empty table gives no files' rows; the result's columns are
-named here, so extra columns cannot clash.
+follow each other by a hash of their texts; an empty table gives no files' rows; the result's columns are named here,
+so extra columns cannot clash.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from parcelforge.llm.common import discard, materialize, new_path
+from parcelforge.llm.common import discard, materialize, new_path, quoted
 
 MAGIC = b"PFTOK1"
 _HEAD = struct.Struct("<6sIIQQQ")
@@ -167,11 +168,13 @@ def encoder(tokenizer_json: str) -> Encoder:
 
 
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    """(doc_id, tie, text); tie: a hash of the text that a double holds exactly."""
+    own = F.coalesce(quoted(text).cast("string"), F.lit(""))
+    return docs.select(F.coalesce(quoted(key).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.shiftrightunsigned(F.xxhash64(own), 11).alias("tie"), own.alias("text"))
 
 
 def encoded(texts: DataFrame, tokenizer_json, size: int, end_id: int) -> DataFrame:
-    """(docs, sizes, ids, met, times): a row for some documents: their ids with the end id, compressed, and the
+    """(docs, ties, sizes, ids, met, times): a row for some documents: their ids with the end id, compressed, and the
     different ids with how often each occurs."""
     kind = "<u2" if size <= 1 << 16 else "<u4"
 
@@ -180,22 +183,22 @@ def encoded(texts: DataFrame, tokenizer_json, size: int, end_id: int) -> DataFra
 
         code, press = encoder(tokenizer_json.value), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            lengths = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            lengths = pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False)
             group = (np.cumsum(lengths) - lengths) // GROUP_BYTES
             cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(batch)]
             for low, high in zip(cuts, cuts[1:]):
                 if low == high:
                     continue
                 some = batch.slice(low, high - low)
-                docs = np.array([NO_ID if d is None else d for d in some.column(0).to_pylist()], "<i8")
-                ids, sizes = code.encode(some.column(1))
+                docs, ties = (some.column(k).to_numpy(zero_copy_only=False).astype("<i8") for k in range(2))
+                ids, sizes = code.encode(some.column(2))
                 ids = np.insert(ids, np.cumsum(sizes), end_id).astype(kind)
                 times = np.bincount(ids, minlength=size)
                 met = np.flatnonzero(times)
-                blobs = docs.tobytes(), (sizes + 1).astype("<i8").tobytes(), press.compress(ids.tobytes()), met.astype("<i4").tobytes(), times[met].astype("<i8").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in blobs], names=["docs", "sizes", "ids", "met", "times"])
+                blobs = docs.tobytes(), ties.tobytes(), (sizes + 1).astype("<i8").tobytes(), press.compress(ids.tobytes()), met.astype("<i4").tobytes(), times[met].astype("<i8").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in blobs], names=["docs", "ties", "sizes", "ids", "met", "times"])
 
-    return texts.mapInArrow(run, "docs binary, sizes binary, ids binary, met binary, times binary")
+    return texts.mapInArrow(run, "docs binary, ties binary, sizes binary, ids binary, met binary, times binary")
 
 
 def _ids(x: bytes, size: int) -> np.ndarray:
@@ -293,6 +296,27 @@ def blocks(content: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]
 NO_ID = -(1 << 63)
 
 
+def ranges(texts: DataFrame, parts: int) -> list[tuple[int, int]]:
+    """Where to cut (doc_id, tie) into about equal numbers of documents, from ids and hashes alone.
+
+    An id that is met by several cuts is cut by its texts' hashes; a text that is met by several has as many equal cuts.
+    """
+    if parts < 2:
+        return []
+    share = lambda k: [i / k for i in range(1, k)]
+    ids = texts.select(F.percentile_approx("doc_id", share(parts), 100 * parts)).first()[0] or []
+    met = Counter(ids)
+    cuts = [(i, -1) for i in met]
+    hot = {i: n + 1 for i, n in met.items() if n > 1}
+    if hot:
+        # At most as many rows as there are cuts.
+        of = texts.where(F.col("doc_id").isin(list(hot))).groupBy("doc_id").agg(F.percentile_approx("tie", share(parts), 100 * parts).alias("ties"))
+        for r in of.collect():
+            n = hot[r.doc_id]
+            cuts += [(r.doc_id, r.ties[i * (parts - 1) // n]) for i in range(1, n)]
+    return sorted(cuts)
+
+
 def write(docs: DataFrame, path: str, tokenizer_json: str, key: str = "doc_id", text: str = "text", end_id: int = 0) -> None:
     """Writes the ids of all documents, each followed by ``end_id``, to files in ascending order of ``key``."""
     from tokenizers import Tokenizer
@@ -310,24 +334,27 @@ def write(docs: DataFrame, path: str, tokenizer_json: str, key: str = "doc_id",
     rank[order] = np.arange(size, dtype=np.uint32)
     tables = spark.sparkContext.broadcast((order, rank))
 
-    # Ranges of about equal numbers of documents, from the ids alone: texts need not be encoded to find them.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = texts.select(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
-    cuts = sorted(set(cuts or []))
+    cuts = ranges(texts, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def rank_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = tables.value[1]
+        ranks, turn = tables.value[1], 0
         for batch in batches:
-            for docs, sizes, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                doc_ids, counts = np.frombuffer(docs, "<i8"), np.frombuffer(sizes, "<i8")
+            for docs, ties, sizes, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                doc_ids, tie, counts = (np.frombuffer(x, "<i8") for x in (docs, ties, sizes))
                 control, data = pack(ranks[_ids(ids, size)], counts)
+                parts = []
+                for at in zip(doc_ids.tolist(), tie.tolist()):
+                    low, high = bisect_left(cuts, at), bisect_right(cuts, at)
+                    # Equal cuts: documents of one id and text, which take turns.
+                    parts.append(high if high - low < 2 else low + 1 + turn % (high - low))
+                    turn += 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([bisect_right(cuts, d) for d in doc_ids.tolist()], pa.int32()), pa.array(doc_ids), pa.array(counts), pa.array(control, pa.binary()), pa.array(data, pa.binary())],
-                    names=["part", "doc_id", "n", "control", "data"],
+                    [pa.array(parts, pa.int32()), pa.array(doc_ids), pa.array(tie), pa.array(counts), pa.array(control, pa.binary()), pa.array(data, pa.binary())],
+                    names=["part", "doc_id", "tie", "n", "control", "data"],
                 )
 
-    coded = made.select("docs", "sizes", "ids").mapInArrow(rank_all, "part int, doc_id bigint, n bigint, control binary, data binary")
-    dealt = coded.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("doc_id", "n", "control", "data")
+    coded = made.select("docs", "ties", "sizes", "ids").mapInArrow(rank_all, "part int, doc_id bigint, tie bigint, n bigint, control binary, data binary")
+    dealt = coded.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("doc_id", "tie", "n", "control", "data")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], [], []]
@@ -337,7 +364,7 @@ def write(docs: DataFrame, path: str, tokenizer_json: str, key: str = "doc_id",
             return pa.RecordBatch.from_arrays([pa.array([block(order, *held)], pa.binary())], names=["block"])
 
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
+            for row in zip(*(batch.column(k).to_pylist() for k in (1, 3, 4, 5))):
                 for to, x in zip(held, row):
                     to.append(x)
                 weight += len(row[2]) + len(row[3]) + 16
@@ -373,12 +400,12 @@ def read(spark, path: str) -> DataFrame:
                     begun += int(counts.sum())
 
     found = materialize(files.mapInArrow(decode, "path string, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint"), "token-index")
-    # Files are named by partition, then by their place in it: two running sums, one within a partition and one over
-    # the partitions, of which there are as many as the session has shuffle partitions.
-    part = F.regexp_extract("path", r"part-(\d+)", 1).cast("bigint")
-    sums = found.groupBy("path").agg(F.sum("n_tokens").alias("n")).withColumn("part", part)
+    # Files are named by partition, then by their place in it, both numbers: two running sums, one within a partition and
+    # one over the partitions, of which there are as many as the session has shuffle partitions.
+    number = lambda pattern: F.regexp_extract("path", pattern, 1).cast("bigint")
+    sums = found.groupBy("path").agg(F.sum("n_tokens").alias("n")).withColumns({"part": number(r"part-(\d+)[^/]*$"), "file": number(r"-c(\d+)\.[^/]*$")})
     earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
-    inner = sums.select("path", "part", F.coalesce(F.sum("n").over(_over(earlier, "path", "part")), F.lit(0)).alias("inner"))
+    inner = sums.select("path", "part", F.coalesce(F.sum("n").over(_over(earlier, "file", "part")), F.lit(0)).alias("inner"))
     outer = sums.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(_over(earlier, "part")), F.lit(0)).alias("outer"))
     ahead = inner.join(outer, "part").select("path", (F.col("inner") + F.col("outer")).alias("before"))
     return found.join(ahead, "path").select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
