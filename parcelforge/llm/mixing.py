@@ -2,51 +2,64 @@
 
 Each source's documents form blocks.  With weight w (its share of slots), block i of a source may run from
 floor(i / w) and must have run by ceil((i + 1) / w).  Earliest deadline first over one hyperperiod gives each slot a
-source; the weights are multiples of 1 / ``slots``, so the schedule repeats.  At any slot each source's blocks differ
-from its share by less than one block, as long as no source has run out.
+source.  Weights are exact fractions; the hyperperiod is their common denominator, after which the schedule repeats.
+At any slot each source's blocks differ from its share by less than one block, as long as no source has run out.
+
+Where the common denominator is above ``MOST_SLOTS`` (or above 16 times the number of sources, if that is more), the
+weights are rounded to multiples of one in so many, largest remainders first, none to nothing.
 
 All documents are kept.  When a source has run out its slots stay empty and the others go on; ``in_target`` says
 which documents come before that.  Only the sources' counts and one hyperperiod go to the driver.  Places within a
 source come from counts of hash buckets, so that no source, however large, has to be sorted by one task.
 
-Defined results: a null source is a source of its own; repeated rows and documents of one id follow each other in
-an undefined order; documents without id have a place as well; an empty table gives an empty result; extra columns
-pass through whatever their names.
+Defined results: a null source is a source of its own; documents of a source are ordered by a hash of id and content,
+so that ties are settled and only rows that are the same in all columns are interchangeable; documents without id
+have a place as well; an empty table gives an empty result; extra columns pass through whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Mapping
 from fractions import Fraction
+from math import isqrt, lcm
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelforge.llm.common import materialize
+from parcelforge.llm.common import materialize, quoted, row_hash, unused
 
-#: Slots of a hyperperiod: weights are rounded to multiples of 1 / SLOTS.
-SLOTS = 1000
+#: Slots of a hyperperiod, at most, unless there are very many sources: the schedule of one goes to the driver.
+MOST_SLOTS = 1 << 18
 #: Documents of a source that a task ranks at once, about.
 BUCKET = 2048
+#: The columns that :func:`mix` adds.
+PLACES = ("block", "slot", "rank_in_source", "in_target")
 
 
-def shares(counts: dict[str, int], weights: dict[str, float] | None, slots: int) -> dict[str, int]:
-    """Slots of each source in a hyperperiod, at least one; the largest remainders are rounded up.
+def shares(counts: Mapping[str, int], weights: Mapping[str, float] | None = None, most_slots: int = MOST_SLOTS) -> tuple[dict[str, int], int]:
+    """Slots of each source in a hyperperiod, and the hyperperiod's slots: weights exact where these are few enough.
 
-    Without ``weights`` they are the square roots of the counts, which evens out large and small sources.
+    Without ``weights`` they are the whole square roots of the counts, which evens out large and small sources.
     """
-    if len(counts) > slots:
-        raise ValueError(f"{len(counts)} sources need as many slots; there are {slots}")
     names = sorted(counts)
-    raw = {s: (weights[s] if weights is not None else counts[s] ** 0.5) for s in names}
-    if any(not w > 0 for w in raw.values()):
+    raw = {s: Fraction(isqrt(counts[s])) if weights is None else Fraction(str(weights[s])) for s in names}
+    if any(w <= 0 for w in raw.values()):
         raise ValueError("weights must be above 0")
-    total, free = sum(raw.values()), slots - len(names)
-    exact = {s: raw[s] / total * free for s in names}
-    out = {s: 1 + int(exact[s]) for s in names}
-    for s in sorted(names, key=lambda s: (int(exact[s]) - exact[s], names.index(s)))[: slots - sum(out.values())]:
+    total = sum(raw.values())
+    exact = {s: w / total for s, w in raw.items()}
+    slots = lcm(*(w.denominator for w in exact.values()))
+    most = max(most_slots, 16 * len(names))
+    if slots > most:
+        slots = most
+    out = {s: max(1, int(exact[s] * slots)) for s in names}
+    # What is left goes to the largest remainders; what is too much comes from the largest sources.
+    for s in sorted(names, key=lambda s: int(exact[s] * slots) - exact[s] * slots)[: max(0, slots - sum(out.values()))]:
         out[s] += 1
-    return out
+    while (over := sum(out.values()) - slots) > 0:
+        s = max(names, key=lambda s: out[s])
+        out[s] -= min(over, max(1, out[s] // 2))
+    return out, slots
 
 
 def schedule(share: dict[str, int], slots: int) -> dict[str, list[int]]:
@@ -77,55 +90,51 @@ def schedule(share: dict[str, int], slots: int) -> dict[str, list[int]]:
     return out
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, *, block: int = 100, slots: int = SLOTS, seed: int = 8, key: str = "doc_id", source: str = "source") -> DataFrame:
-    """``docs`` with ``_pf_block``, ``_pf_slot`` (of the block), ``_pf_rank`` (within its source) and ``_pf_in_target``."""
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, *, block: int = 100, most_slots: int = MOST_SLOTS, seed: int = 8, key: str = "doc_id", source: str = "source", names: tuple[str, ...] = PLACES) -> DataFrame:
+    """``docs`` with the number of their block in its source, the block's slot, their rank within the source, and whether
+    that is before the first empty slot; under ``names``, in place of columns of those names."""
     spark = docs.sparkSession
+    kept = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
+    code, h, own_rank, bucket, number = unused(docs, "pf_source", "pf_h", "pf_own", "pf_bucket", "pf_number")
+    blocks_of, share_of, ahead_of, at_slot = unused(docs, "pf_buckets", "pf_share", "pf_ahead", "pf_slot")
     # A key that is never null, so that the join below needs no other partitioning than the window.
-    code = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
-    named = docs.withColumns({"_pf_source": code, "_pf_h": F.xxhash64(F.col(key).cast("string"), F.lit(seed))})
+    named = docs.withColumns({code: F.coalesce(F.concat(F.lit("="), quoted(source).cast("string")), F.lit("")), h: F.xxhash64(quoted(key).cast("string"), F.lit(seed), row_hash(docs))})
     # One row for each source.
-    counts = {r["_pf_source"]: r["n"] for r in named.groupBy("_pf_source").agg(F.count("*").alias("n")).collect()}
+    counts = {r[0]: r[1] for r in named.groupBy(code).agg(F.count("*")).collect()}
     if not counts:
-        return named.select(*docs.columns, *(F.lit(None).cast(t).alias(c) for c, t in (("_pf_block", "bigint"), ("_pf_slot", "bigint"), ("_pf_rank", "bigint"), ("_pf_in_target", "boolean"))))
-    share = shares(counts, weights and {"" if s is None else f"={s}": w for s, w in weights.items()}, slots)
+        kinds = zip(names, ("bigint", "bigint", "bigint", "boolean"))
+        return docs.select(*map(quoted, kept), *(F.lit(None).cast(t).alias(c) for c, t in kinds))
+    share, slots = shares(counts, weights and {"" if s is None else f"={s}": w for s, w in weights.items()}, most_slots)
     places = schedule(share, slots)
     # The first slot that a source leaves empty.
-    blocks = {s: -(-n // block) for s, n in counts.items()}
     slot_of = lambda s, i: i // share[s] * slots + places[s][i % share[s]]
-    first_gap = min(slot_of(s, blocks[s]) for s in counts)
+    first_gap = min(slot_of(s, -(-n // block)) for s, n in counts.items())
     # A source's buckets are ranges of the hash, as many as its size asks for; a bucket starts where those before it end.
-    sizes = spark.createDataFrame([(s, -(-n // BUCKET)) for s, n in counts.items()], "_pf_s string, _pf_buckets bigint")
-    dealt = named.join(F.broadcast(sizes), F.col("_pf_source") == F.col("_pf_s")).drop("_pf_s")
-    at = F.floor((F.shiftrightunsigned("_pf_h", 1).cast("double") / float(1 << 63)) * F.col("_pf_buckets"))
-    bucketed = dealt.withColumn("_pf_bucket", F.least(at, F.col("_pf_buckets") - 1)).drop("_pf_buckets")
-    held = materialize(bucketed.groupBy("_pf_source", "_pf_bucket").agg(F.count("*").alias("n")), "mix-buckets", True)
-    ahead = held.select("_pf_source", "_pf_bucket", F.coalesce(F.sum("n").over(Window.partitionBy("_pf_source").orderBy("_pf_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_pf_ahead"))
-    own = F.row_number().over(Window.partitionBy("_pf_source", "_pf_bucket").orderBy("_pf_h", key)) - 1
-    ranked = bucketed.withColumn("_pf_own", own).join(ahead.hint("merge"), ["_pf_source", "_pf_bucket"]).withColumn("_pf_rank", F.col("_pf_ahead") + F.col("_pf_own"))
-    table = spark.createDataFrame([(s, share[s], places[s]) for s in places], "_pf_name string, _pf_share int, _pf_places array<int>")
-    i = F.col("_pf_rank").cast("bigint")
-    placed = ranked.withColumn("_pf_block", F.floor(i / block)).join(F.broadcast(table), F.col("_pf_source") == F.col("_pf_name"))
-    slot = F.floor(F.col("_pf_block") / F.col("_pf_share")) * slots + F.get("_pf_places", (F.col("_pf_block") % F.col("_pf_share")).cast("int"))
-    out = placed.withColumn("_pf_slot", slot.cast("bigint")).withColumn("_pf_in_target", F.col("_pf_slot") < first_gap)
-    return out.select(*docs.columns, "_pf_block", "_pf_slot", F.col("_pf_rank").cast("bigint").alias("_pf_rank"), "_pf_in_target")
-
-
-def stage(docs: DataFrame, weights: dict[str, float] | None = None, **options) -> DataFrame:
+    order = {s: k for k, s in enumerate(sorted(counts))}
+    sizes = spark.createDataFrame([(s, order[s], -(-n // BUCKET), share[s]) for s, n in counts.items()], f"{code} string, {number} bigint, {blocks_of} bigint, {share_of} bigint")
+    dealt = named.join(F.broadcast(sizes), code)
+    at = F.floor((F.shiftrightunsigned(h, 1).cast("double") / float(1 << 63)) * F.col(blocks_of))
+    bucketed = dealt.withColumn(bucket, F.least(at, F.col(blocks_of) - 1)).drop(blocks_of)
+    held = materialize(bucketed.groupBy(code, bucket).agg(F.count("*").alias("n")), "mix-buckets", True)
+    ahead = held.select(code, bucket, F.coalesce(F.sum("n").over(Window.partitionBy(code).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(ahead_of))
+    own = F.row_number().over(Window.partitionBy(code, bucket).orderBy(h, quoted(key).cast("string"))) - 1
+    rank = (F.col(ahead_of) + F.col(own_rank)).cast("bigint")
+    ranked = bucketed.withColumn(own_rank, own).join(ahead.hint("merge"), [code, bucket]).withColumn(own_rank, rank)
+    # A row for each slot of a hyperperiod, found by the source's number and the block's place in its share.
+    table = spark.createDataFrame([(order[s] << 32 | i, t) for s, ts in places.items() for i, t in enumerate(ts)], f"{number} bigint, {at_slot} bigint")
+    in_source = F.floor(F.col(own_rank) / block)
+    placed = ranked.withColumn(number, F.shiftleft(number, 32) + in_source % F.col(share_of)).join(F.broadcast(table), number)
+    slot = F.floor(in_source / F.col(share_of)) * slots + F.col(at_slot)
+    values = in_source.cast("bigint"), slot.cast("bigint"), F.col(own_rank), slot < first_gap
+    return placed.select(*map(quoted, kept), *(v.alias(n) for v, n in zip(values, names)))
+
+
+def stage(docs: DataFrame, weights: Mapping[str | None, float] | None = None, **options) -> DataFrame:
     """The rows of ``docs`` in the order of the schedule, over all partitions and within each."""
-    out = mix(docs, weights, **options)
-    return out.repartitionByRange("_pf_slot", "_pf_rank").sortWithinPartitions("_pf_slot", "_pf_rank").select(*docs.columns)
-
-
-def placed(docs: DataFrame, weights: dict[str, float] | None = None, **options) -> DataFrame:
-    """``docs`` with their places in the schedule as ``block``, ``slot``, ``rank_in_source`` and ``in_target``.
-
-    The schedule is a function of the documents, so that it is the one whose order :func:`stage` gave them, however they
-    were stored in between.
-    """
-    named = {"_pf_block": "block", "_pf_slot": "slot", "_pf_rank": "rank_in_source", "_pf_in_target": "in_target"}
-    return mix(docs, weights, **options).withColumnsRenamed(named)
+    names = tuple(unused(docs, *(f"pf_{n}" for n in PLACES)))
+    out = mix(docs, weights, names=names, **options)
+    return out.repartitionByRange(names[1], names[2]).sortWithinPartitions(names[1], names[2]).select(*map(quoted, docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
-    return mix(docs).select("doc_id", "source", F.col("_pf_block").alias("block"), F.col("_pf_slot").alias("slot"), F.col("_pf_rank").alias("rank_in_source"), F.col("_pf_in_target").alias("in_target"))
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source"))

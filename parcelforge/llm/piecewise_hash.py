@@ -2,17 +2,24 @@
 
 A rolling hash over the last seven bytes cuts a text where it meets a trigger; each chunk gives a 12-bit symbol.  A
 fingerprint is ``block size : symbols at that size : symbols at twice the size``; fingerprints of equal or adjacent
-block sizes are compared by the edit distance (insertions and deletions) of their symbols.  The block size is
-3 * 2^k, the smallest that expects at most 64 chunks, doubled while there are more than 128 of them.
+block sizes are compared by the edit distance (insertions and deletions) of their symbols.
+
+The block size is 3 * 2^k, the smallest that expects at most 64 chunks; it follows from the length alone, so that a text
+and its edited form are compatible whatever they hold.  A chunk has a quarter of the block size at least and four times
+as much at most: triggers closer than that are passed over, and a stretch without any is cut by length, counted from
+the cut before.  So texts that repeat themselves, whose few windows are all triggers or none, have as many symbols as
+others (8 to 256 at the block size), and a cut depends on the text since the last trigger only.
 
 Defined results: a null text counts as empty; an empty text has the fingerprint ``3::``, like itself (1) and
-unlike any other (0); rows without id come first in the order; documents of one id follow each other by text;
-a single document is its own successor; an empty table gives an empty result.
+unlike any other (0); rows without id come first in the order; documents of one id follow each other by a hash of
+their texts; a single document is its own successor; an empty table gives an empty result; the result's columns are
+named here, so extra columns cannot clash.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelforge.llm.common import materialize
+from parcelforge.llm.common import materialize, quoted
 
 WINDOW, LEAST_BLOCK, CHUNKS = 7, 3, 64
 #: Bytes that are hashed at once; bounds what a long text needs.
@@ -32,8 +39,8 @@ _SYMBOLS = [a + b for a in _BASE64 for b in _BASE64]
 _POWERS = [np.uint32(pow(0x01000193, k, 1 << 32)) for k in range(WINDOW)]
 
 
-def triggers(data: bytes, block: int) -> np.ndarray:
-    """Ends of chunks (exclusive) at ``block``, and whether they also end one at twice the size."""
+def triggers(data: bytes, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places behind a trigger at ``block``, and of those the ones that are triggers at twice the size as well."""
     found = []
     for at in range(0, len(data), STEP):
         b = np.frombuffer(data[max(0, at - WINDOW + 1) : at + STEP], np.uint8).astype(np.uint32)
@@ -46,15 +53,23 @@ def triggers(data: bytes, block: int) -> np.ndarray:
         h ^= h >> np.uint32(15)
         ends = np.flatnonzero(h % np.uint32(block) == block - 1)
         found.append(np.stack([ends + at + 1, h[ends] % np.uint32(2 * block) == 2 * block - 1]))
-    return np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    return both[0], both[0][both[1] > 0]
+
 
+def cuts(ends: list[int], size: int, block: int) -> list[int]:
+    """Ends of the chunks of a text of so many bytes, which has triggers at ``ends``."""
+    least, most, at, out = max(1, block // 4), 4 * block, 0, []
+    while at < size:
+        k = bisect_left(ends, at + least)
+        at = min(ends[k] if k < len(ends) else size, at + most, size)
+        out.append(at)
+    return out
 
-def symbols(data: bytes, ends: np.ndarray) -> str:
-    cuts = ends.tolist()
-    if not cuts or cuts[-1] < len(data):
-        cuts.append(len(data))
+
+def symbols(data: bytes, ends: np.ndarray, block: int) -> str:
     start, out = 0, []
-    for end in cuts:
+    for end in cuts(ends.tolist(), len(data), block):
         out.append(_SYMBOLS[xxhash.xxh32_intdigest(data[start:end]) >> 20])
         start = end
     return "".join(out)
@@ -67,11 +82,8 @@ def fingerprint(data: bytes) -> str:
         return f"{block}::"
     while block * CHUNKS < len(data):
         block *= 2
-    found = triggers(data, block)
-    while found.shape[1] > 2 * CHUNKS and block < 1 << 30:
-        block *= 2
-        found = triggers(data, block)
-    return f"{block}:{symbols(data, found[0])}:{symbols(data, found[0][found[1] > 0])}"
+    once, twice = triggers(data, block)
+    return f"{block}:{symbols(data, once, block)}:{symbols(data, twice, 2 * block)}"
 
 
 def common(a: list[str], b: list[str]) -> int:
@@ -131,8 +143,9 @@ def against_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     text of a range are kept, and the last meets the first of the next range (after the last range: the first).
     """
     spark = docs.sparkSession
-    narrow = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("data"))
-    ranged = narrow.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "data")
+    # The hash spreads documents of one id over ranges as well.
+    named = docs.select(quoted(key).cast("bigint").alias("doc_id"), F.coalesce(quoted(text).cast("string"), F.lit("")).alias("data"))
+    ranged = named.withColumn("tie", F.xxhash64("data")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     schema = "place int, side string, doc_id bigint, data string, " + _DDL
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +176,7 @@ def against_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     places = sorted(r.place for r in done.where("side = 'first'").select("place").collect())
     after = spark.createDataFrame(list(zip(places, places[1:] + places[:1])), "place int, next int")
     firsts = done.where("side = 'first'").select(F.col("place").alias("next"), F.col("data").alias("following"))
-    edges = done.where("side = 'last'").select("place", "doc_id", "data").join(after, "place").join(firsts, "next").select("doc_id", "data", "following")
+    edges = done.where("side = 'last'").select("place", "doc_id", "data").join(after, "place").join(firsts.hint("merge"), "next").select("doc_id", "data", "following")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
