@@ -4,7 +4,7 @@
 covering; :func:`verdict` turns the list into one ordered Spark conditional expression.
 
 Defined results: a null text has no words and fails the base rule, as an empty one does; documents without labels
-take no part in learning; several labels of one document count as the lowest; without labels of both kinds the
+take no part in learning; several labels of one id count as the lowest, for all documents of that id; without labels of both kinds the
 learned list is empty and the base rule alone decides; ties between conditions go to the first feature and the
 lowest threshold; extra columns pass through :func:`keep` whatever their names.
 """
@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parcelforge.llm.common import quoted, unused
+
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 CONTINUATION = bytes(range(0x80, 0xC0))
@@ -40,7 +42,7 @@ FEATURES = {
     "distinct_share": ("n_distinct", "n_words"),
     "line_words": ("n_words", "n_lines"),
 }
-#: Labelled rows the list is fitted on, at most: those of the smallest xxhash64(doc_id).
+#: Labelled rows the list is fitted on, at most: those of the smallest xxhash64(doc_id), then doc_id and text hash.
 MAX_LABELLED = 20_000
 
 _rng = np.random.default_rng(20)
@@ -112,7 +114,7 @@ def _measured(texts: pd.Series) -> pd.DataFrame:
 
 def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id`` and the COUNTS of every row."""
-    return docs.select(F.col(key).alias("doc_id"), _measured(F.col(text).cast("string").cast("binary")).alias("_pf_stats")).select("doc_id", "_pf_stats.*")
+    return docs.select(quoted(key).alias("doc_id"), _measured(quoted(text).cast("string").cast("binary")).alias("_pf_stats")).select("doc_id", "_pf_stats.*")
 
 
 def base_failed(at: dict[str, str] | None = None) -> Column:
@@ -227,9 +229,9 @@ def verdict(rules: list[Rule], at: dict[str, str] | None = None) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, quality and text of at most ``max_labelled`` labelled documents: those of the smallest hash.
+    """doc_id, quality and text of the documents of at most ``max_labelled`` labelled ids: those of the smallest hash.
 
-    The ids are so few that they can be broadcast; texts are not shuffled.
+    The ids are so few that they can be broadcast; texts are not shuffled.  An id may have several documents.
     """
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull())
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -239,17 +241,20 @@ def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, **options) -> list[Rule]:
     """Learns from at most ``max_labelled`` rows of ``docs`` that have labels (doc_id, quality 0 or 1)."""
-    some = labelled(docs, labels, max_labelled).select("doc_id", "quality", F.col("text").cast("string").cast("binary").alias("data"))
+    data = F.col("text").cast("string").cast("binary")
+    some = labelled(docs, labels, max_labelled).select("doc_id", "quality", F.xxhash64(data).alias("th"), data.alias("data"))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
-            yield pd.concat([x[["doc_id", "quality"]], pd.DataFrame([measure(d) for d in x["data"]], columns=COUNTS, dtype="int64", index=x.index)], axis=1)
+            yield pd.concat([x[["doc_id", "quality", "th"]], pd.DataFrame([measure(d) for d in x["data"]], columns=COUNTS, dtype="int64", index=x.index)], axis=1)
 
     # Not a column function: Spark would move it below the join and count over every text.
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in some.schema.fields[:2])
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in some.schema.fields[:3])
     got = some.mapInPandas(count, f"{kinds}, " + ", ".join(f"{c} bigint" for c in COUNTS))
-    got = got.where(~base_failed()).select("doc_id", "quality", *(share(f).alias(f) for f in FEATURES)).toPandas()
-    got = got.sort_values(["doc_id", *FEATURES], kind="stable").head(2 * max_labelled)
+    # Numbers only, no texts: so many rows at most reach the driver, also where an id has many documents.
+    first = got.where(~base_failed()).orderBy(F.xxhash64("doc_id"), "doc_id", "th").limit(max_labelled)
+    got = first.select("doc_id", "th", "quality", *(share(f).alias(f) for f in FEATURES)).toPandas()
+    got = got.sort_values(["doc_id", "th"], kind="stable")
     return learn({f: got[f].to_numpy(float) for f in FEATURES}, got["quality"].to_numpy() == 0, **options) if len(got) else []
 
 
@@ -262,9 +267,10 @@ def judged(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns; no text is shuffled."""
     rules = fit(docs, labels, **options)
-    named = docs.withColumn("_pf_stats", _measured(F.col("text").cast("string").cast("binary")))
-    at = {c: f"_pf_stats.{c}" for c in COUNTS}
-    return named.where(~base_failed(at) & verdict(rules, at)).drop("_pf_stats")
+    stats = unused(docs, "pf_stats")[0]
+    named = docs.withColumn(stats, _measured(F.col("text").cast("string").cast("binary")))
+    at = {c: f"{stats}.{c}" for c in COUNTS}
+    return named.where(~base_failed(at) & verdict(rules, at)).drop(stats)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelforge.llm.common import materialize, pieces
+from parcelforge.llm.common import materialize, pieces, quoted, unused
 from parcelforge.llm.components import components
 
 SEED = 42
@@ -77,7 +77,7 @@ def fingerprint(data: bytes | None, size: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4) -> DataFrame:
     """(doc_id, fp) of every row; fp: the fingerprint's 64 bits as a bigint."""
-    narrow = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("data"))
+    narrow = docs.select(quoted(key).cast("bigint").alias("doc_id"), quoted(text).cast("string").cast("binary").alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,11 +209,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     return marked.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest of its component, or has no id."""
-    found = near_duplicates(docs, **options)
+    found = near_duplicates(docs, key, **options)
     drop = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop.withColumnRenamed("doc_id", "_pf_doc"), F.col("doc_id") == F.col("_pf_doc"), "left_anti")
+    gone = unused(docs, "pf_doc")[0]
+    return docs.join(drop.withColumnRenamed("doc_id", gone), quoted(key) == F.col(gone), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parcelforge.llm.common import quoted, unused
+
 #: (verdict, rule) as the query of this operator uses them.
 BASE_RULES = (
     ("block", "com/en/"),
@@ -122,11 +124,12 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str]] = BASE_RULES, url:
             rows.append(known[key])
         return pd.DataFrame(rows, columns=["rule", "verdict"], dtype=object)
 
-    host, path = split_url(F.col(url))
+    host, path = split_url(quoted(url))
     # Both columns first: host and path of the input must not be read in place of the new ones.
-    named = pages.select("*", host.alias("_pf_host"), path.alias("_pf_path"))
-    found = named.withColumn("_pf_found", look("_pf_host", "_pf_path"))
-    return found.withColumns({"host": F.col("_pf_host"), "path": F.col("_pf_path"), "rule": F.col("_pf_found.rule"), "verdict": F.col("_pf_found.verdict")}).drop("_pf_host", "_pf_path", "_pf_found")
+    h, p, found = unused(pages, "pf_host", "pf_path", "pf_found")
+    named = pages.select("*", host.alias(h), path.alias(p)).withColumn(found, look(h, p))
+    own = [quoted(c) for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    return named.select(*own, F.col(h).alias("host"), F.col(p).alias("path"), F.col(f"{found}.rule").alias("rule"), F.col(f"{found}.verdict").alias("verdict"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 import zlib
+from fractions import Fraction
+from math import ceil, floor
 
 import numpy as np
 import pytest
@@ -124,69 +126,52 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-def plain_dedup(rows, window=2, min_words=50):
-    """The same definition, line by line over all documents."""
-    docs = {}
-    for i, t in rows:
-        if i is not None and t is not None:
-            lines = t.split("\n")
-            ls = [(k, x) for k, x in enumerate(lines) if x.split()]
-            docs[i, signed(xxhash.xxh64_intdigest(t.encode(), 42))] = ls
-    h = lambda x: signed(xxhash.xxh64_intdigest(x.encode(), 42))
-    marks = []
-    for doc, ls in docs.items():
-        if not ls:
-            continue
-        chosen = {k for k, (_, x) in enumerate(ls) if len(x.split()) >= min_words}
-        for s in range(max(1, len(ls) - window + 1)):
-            part = list(range(s, min(s + window, len(ls))))
-            chosen.add(min(part, key=lambda k: (h(ls[k][1]), -k)))
-        marks += [(doc, k) for k in chosen]
-    keys = []
-    for doc, k in marks:
-        ls = docs[doc]
-        keys.append((doc, k, range(k, k + 1)))
-        keys += [(doc, k, range(k - e, k + 1)) for e in range(1, window) if k - e >= 0]
-        keys += [(doc, k, range(k, k + e + 1)) for e in range(1, window) if k + e < len(ls)]
-    content = lambda doc, k, span: (k - span[0], span[-1] - k, tuple(docs[doc][j][1] for j in span))
-    first = {}
-    for doc, k, span in sorted(keys, key=lambda x: (x[0], x[1])):
-        first.setdefault(content(doc, k, span), (doc, k))
-    covered = {}
-    for doc, k, span in keys:
-        if first[content(doc, k, span)] != (doc, k):
-            covered.setdefault(doc, set()).update(span)
+def plain_dedup(rows, min_words=50):
+    """From the definition: a line goes where it lies in a run of so many words that stood together before."""
+    docs = {(i, signed(xxhash.xxh64_intdigest(t.encode(), 42)), t): [(k, x, len(x.split())) for k, x in enumerate(t.split("\n")) if x.split()] for i, t in rows if i is not None and t is not None}
+    order = sorted(docs, key=lambda d: d[:2])
     gone = {}
-    for doc, hit in covered.items():
-        run = []
-        for k in [*sorted(hit), None]:
-            if run and k != run[-1] + 1:
-                if sum(len(docs[doc][j][1].split()) for j in run) >= min_words:
-                    gone.setdefault(doc, set()).update(docs[doc][j][0] for j in run)
-                run = []
-            run.append(k) if k is not None else None
+    for n, d in enumerate(order):
+        ls = docs[d]
+        lines, hit = [x for _, x, _ in ls], set()
+        for a in range(len(ls)):
+            for b in range(a, len(ls)):
+                run, m = lines[a : b + 1], b - a + 1
+                if sum(w for _, _, w in ls[a : b + 1]) < min_words:
+                    continue
+                others = ([x for _, x, _ in docs[o]] for o in order[:n])
+                if not (any(o[k : k + m] == run for o in others for k in range(len(o) - m + 1)) or any(lines[k : k + m] == run for k in range(a - m + 1))):
+                    break
+                hit.update(range(a, b + 1))
+        gone[d[0], d[2]] = {ls[k][0] for k in hit}
     return gone
 
 
-@pytest.mark.parametrize("window", [2, 4])
-def test_lines_against_brute_force(spark, window):
-    rng = random.Random(window)
-    pool = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=rng.choice([5, 12, 30, 60]))) + f" {k}" for k in range(40)]
-    rows = [(i, "\n".join(rng.choice([*pool, "", "  ", f"own {i} {j}"]) for j in range(rng.randint(0, 14)))) for i in range(80)]
-    passage = "\n".join(pool[:6])
-    rows += [(100 + k, f"head {k}\n{passage}\ntail {k}") for k in range(4)] + [(200, None), (201, ""), (None, passage), rows[0]]
+@pytest.mark.parametrize("seed", [2, 4])
+def test_lines_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    pool = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=rng.choice([1, 5, 12, 30, 60]))) + f" {k}" for k in range(14)]
+    rows = [(i, "\n".join(rng.choice([*pool, "", "  ", f"own {i} {j}"]) for j in range(rng.randint(0, 14)))) for i in range(70)]
+    passage = "\n".join(f"{x} of the passage that is shared" for x in pool[:6])
+    rows += [(100 + k, f"head {k}\n{passage}\ntail {k}") for k in range(4)] + [(200, None), (201, ""), (None, passage), rows[0], (202, "\n".join(["a b c d e f g"] * 33))]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n int")
-    gone = plain_dedup(rows, window)
-    got = line_dedup.dedup(df, window).collect()
+    gone = plain_dedup(rows)
+    got = line_dedup.dedup(df).collect()
     assert len(got) == len(rows) and any(gone.values())
-    texts = {(i, t) for i, t in rows}
-    expected = {}
-    for i, t in texts:
-        lost = gone.get((i, signed(xxhash.xxh64_intdigest(t.encode(), 42))), set()) if i is not None and t is not None else set()
-        expected[i, t] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in lost) if lost else t
-    assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, ((i, expected[i, t]) for i, t in rows)))
+    expected = []
+    for i, t in rows:
+        lost = gone.get((i, t), set())
+        expected.append((i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in lost) if lost else t))
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, expected))
     assert all(f"head {k}" in r.text for r in got for k in range(4) if r.doc_id == 100 + k)
-    assert sum(pool[0] in r.text for r in got if r.doc_id and 100 <= r.doc_id < 104) <= 1
+    assert sum("of the passage" in r.text for r in got if r.doc_id and 100 <= r.doc_id < 104) == 1
+
+
+def test_lines_that_stood_apart_stay(spark):
+    lines = [" ".join(f"w{j}x{k}" for k in range(30)) for j in range(40)]
+    rows = [*enumerate(lines), (99, "\n".join(lines)), (100, "\n".join(lines[10:12]))]
+    got = {r.doc_id: r.gone for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[99] is None and got[100] == [0, 1]
 
 
 def test_line_stage_drops_copies_and_counts_characters(spark):
@@ -241,6 +226,66 @@ def test_warc_round_trip_with_magic_inside(spark, tmp_path, split):
             assert (r.payload_bytes, r.sha1) == (size, digest)
 
 
+LONG_A, LONG_B = "a" * 1500, "b" * 1500
+
+
+@pytest.mark.parametrize(
+    "rows, expected",
+    [
+        ([(1, LONG_A), (1, LONG_B), (5, LONG_A)], [("response", 1, None), ("response", 5, None), ("revisit", 1, 5)]),
+        ([(5, LONG_A), (5, LONG_A), (1, LONG_A)], [("response", 5, None), ("revisit", 1, 5), ("revisit", 5, 5)]),
+        ([(5, "s"), (5, "s"), (None, LONG_A), (None, LONG_A), (2, None)], [("response", 2, None), ("response", 5, None), ("response", 5, None), ("response", None, None), ("response", None, None)]),
+    ],
+)
+def test_warc_repeated_ids(spark, tmp_path, rows, expected):
+    df = spark.createDataFrame([(i, f"http://a/{k}", h, "x", 1) for k, (i, h) in enumerate(rows)], "page_id long, url string, html string, digest string, `a.b` int")
+    warc.write(df, str(tmp_path / "a"))
+    number = lambda x: int(m[1]) if x and (m := re.match(r"<urn:page:(\d+)>", x)) else None
+    got = warc.read(spark, str(tmp_path / "a")).collect()
+    assert sorted(map(str, ((r.type, number(r.record_id), number(r.refers_to)) for r in got))) == sorted(map(str, expected))
+    kept = {(number(r.record_id), r.sha1) for r in got if r.type == "response"}
+    assert {(i, hashlib.sha1((h or "").encode()).hexdigest()) for i, h in rows} - kept <= {(number(r.record_id), r.digest[5:]) for r in got if r.type == "revisit"}
+
+
+def test_warc_query_of_repeated_ids(spark, tmp_path):
+    rows = [(5, "", LONG_A), (5, "", LONG_A), (1, "", LONG_A), (1, "", LONG_B), (2, "", "small")]
+    pages(spark, rows).write.parquet(str(tmp_path / "pages.parquet"))
+    a, b = (hashlib.sha1(x.encode()).hexdigest() for x in (LONG_A, LONG_B))
+    got = sorted(tuple(r)[:4] + (r.refers_to,) for r in warc.query(spark, str(tmp_path)).collect())
+    assert got == [(1, 1500, a, "revisit", 5), (1, 1500, b, "response", None), (2, 5, hashlib.sha1(b"small").hexdigest(), "response", None), (5, 1500, a, "response", None), (5, 1500, a, "revisit", 5)]
+
+
+def test_warc_bitmap_of_a_few_bits_only_costs_shuffles(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "_maybe_shared", lambda rows, shared: rows.selectExpr("*", "true AS maybe"))
+    rows = [(k, "", f"{k % 7}" * (990 + k % 25)) for k in range(200)]
+    warc.write(pages(spark, rows), str(tmp_path / "a"))
+    got = warc.read(spark, str(tmp_path / "a")).collect()
+    number = lambda x: int(re.match(r"<urn:page:(\d+)>", x)[1]) if x else None
+    assert {(number(r.record_id), r.digest[5:], r.type, number(r.refers_to)) for r in got} == {(i, d, kind, ref) for i, _, d, kind, ref in plain_warc(rows)}
+
+
+def record(version, length, body, *more):
+    return "\r\n".join([f"WARC/{version}", "WARC-Type: resource", *more, f"Content-Length: {length}", "", body]).encode()
+
+
+def test_warc_versions_and_folded_headers(spark, tmp_path):
+    end = b"\r\n\r\n"
+    whole = record("1.0", 3, "abc") + end + record("1.1", 2, "de", "WARC-Target-URI: http://a/", " b") + end + record("0.18", 0, "") + end
+    (tmp_path / "a.warc").write_bytes(whole)
+    got = warc.read(spark, str(tmp_path / "a.warc")).collect()
+    assert sorted((r.payload_bytes, r.uri) for r in got) == [(0, None), (2, "http://a/ b"), (3, None)]
+    (tmp_path / "b.warc").write_bytes(whole[:-4])
+    assert warc.read(spark, str(tmp_path / "b.warc")).count() == 3
+
+
+@pytest.mark.parametrize("tail", [record("1.1", 9, "cut"), b"text", record("1.1", "x", "abc") + b"\r\n\r\n" + record("1.1", 3, "abc")])
+def test_warc_broken_chains(spark, tmp_path, tail):
+    (tmp_path / "a.warc").write_bytes(record("1.1", 3, "abc") + b"\r\n\r\n" + tail)
+    with pytest.raises(ValueError, match="a.warc"):
+        warc.read(spark, str(tmp_path / "a.warc"))
+    assert [r.payload_bytes for r in warc.read(spark, str(tmp_path / "a.warc"), strict=False).collect()] == [3]
+
+
 def test_warc_of_nothing(spark, tmp_path):
     warc.write(pages(spark, []), str(tmp_path / "none"))
     assert warc.read(spark, str(tmp_path / "none")).count() == 0
@@ -251,30 +296,73 @@ def test_warc_of_nothing(spark, tmp_path):
 
 @pytest.mark.parametrize("counts", [{"a": 1}, {"a": 900, "b": 50, "c": 50}, {str(k): k + 1 for k in range(37)}])
 def test_schedule_stays_within_a_block(counts):
-    share = mixing.shares(counts, None, 1000)
-    assert sum(share.values()) == 1000 and min(share.values()) >= 1
-    places = mixing.schedule(share, 1000)
+    share, slots = mixing.shares(counts)
+    assert sum(share.values()) == slots and min(share.values()) >= 1
+    places = mixing.schedule(share, slots)
     owner = {t: s for s, ts in places.items() for t in ts}
-    assert sorted(owner) == list(range(1000))
+    assert sorted(owner) == list(range(slots))
     done = dict.fromkeys(share, 0)
-    for t in range(1000):
+    for t in range(slots):
         done[owner[t]] += 1
-        assert all(abs(done[s] - (t + 1) * share[s] / 1000) < 1 for s in share)
-
-
-def test_mixing_keeps_all_rows_and_the_weights(spark):
-    rows = [(k, "hot" if k % 3 else f"s{k % 5}", "t") for k in range(6000)] + [(None, None, "t"), (7000, None, "t"), (1, "hot", "t")]
-    df = spark.createDataFrame(rows, "doc_id long, source string, _x string")
-    out = mixing.mix(df, {"hot": 5.0, None: 0.1, **{f"s{k}": 1.0 for k in range(5)}}, block=10).toPandas()
-    assert len(out) == len(rows)
-    for _, g in out.groupby("source", dropna=False):
-        assert sorted(g["_pf_rank"]) == list(range(len(g)))
-    front = out[out["_pf_in_target"]]
-    n = front["_pf_slot"].max() + 1
-    blocks = front.groupby("source")["_pf_slot"].nunique()
-    assert abs(blocks["hot"] - n * 5 / 10.1) < 2
+        assert all(abs(done[s] - (t + 1) * share[s] / slots) < 1 for s in share)
+
+
+def test_weights_are_exact():
+    some = {f"s{k}": 0.005 for k in range(100)} | {"hot": 0.5}
+    share, slots = mixing.shares(dict.fromkeys(some, 7), some)
+    assert (slots, share["hot"], share["s3"]) == (200, 100, 1)
+    many = {str(k): 1 + k % 3 for k in range(5000)}
+    share, slots = mixing.shares(dict.fromkeys(many, 1), many, 1000)
+    assert sum(share.values()) == slots == sum(many.values())  # 16 slots a source, at least, are allowed
+    odd = {"a": 1 / 3, "b": 0.1234567, "c": 1e-9}
+    share, slots = mixing.shares(dict.fromkeys(odd, 1), odd, 1000)
+    assert slots == 1000 and sum(share.values()) == 1000 and share["c"] == 1
+    with pytest.raises(ValueError):
+        mixing.shares({"a": 1}, {"a": 0.0})
+
+
+def plain_mix(counts, weights, block):
+    """Slot of each (source, block) and the first empty slot: slot by slot, of the released blocks the earliest deadline."""
+    names, total = sorted(counts), sum(map(Fraction, map(str, weights.values())))
+    w = {s: Fraction(str(weights[s])) / total for s in names}
+    taken, out, t, gap = dict.fromkeys(names, 0), {}, 0, None
+    while any(taken[s] * block < counts[s] for s in names):
+        ready = [(ceil((taken[s] + 1) / w[s]), ((taken[s] + 1) / w[s]).denominator == 1, k, s) for k, s in enumerate(names) if floor(taken[s] / w[s]) <= t]
+        if ready:
+            s = min(ready)[3]
+            if taken[s] * block < counts[s]:
+                out[s, taken[s]] = t
+            elif gap is None:
+                gap = t
+            taken[s] += 1
+        t += 1
+    return out, gap
+
+
+def test_mixing_against_brute_force(spark):
+    rows = [(k, "hot" if k % 3 else f"s{k % 5}", "t", k) for k in range(3000)] + [(None, None, "t", 1), (7000, None, "t", 2), (1, "hot", "other", 3), (1, "hot", "t", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, block string, `x.y` int")
+    weights = {"hot": 5.0, None: 0.1, **{f"s{k}": 1.0 for k in range(5)}}
+    out = mixing.mix(df, weights, block=10).toPandas()
+    assert len(out) == len(rows) and list(out.columns) == ["doc_id", "source", "x.y", *mixing.PLACES]
+    name = lambda s: s if isinstance(s, str) else ""
+    counts = {}
+    for _, s, _, _ in rows:
+        counts[name(s)] = counts.get(name(s), 0) + 1
+    slots, gap = plain_mix(counts, {name(s): w for s, w in weights.items()}, 10)
+    ranks = {}
+    for r in out.itertuples():
+        assert (r.block, r.slot) == (r.rank_in_source // 10, slots[name(r.source), r.block])
+        assert gap is None or r.in_target == (r.slot < gap)
+        ranks.setdefault(name(r.source), []).append(r.rank_in_source)
+    assert all(sorted(k) == list(range(counts[s])) for s, k in ranks.items())
+    again = mixing.mix(df.repartition(7), weights, block=10).toPandas()
+    key = ["doc_id", "source", "x.y", *mixing.PLACES]
+    assert sorted(map(str, out[key].values.tolist())) == sorted(map(str, again[key].values.tolist()))
     assert mixing.stage(df).columns == df.columns
     assert mixing.mix(df.limit(0)).count() == 0
+    wide = spark.createDataFrame([(k, f"source {k}") for k in range(1001)], "doc_id long, source string")
+    assert mixing.mix(wide).select("slot").distinct().count() == 1001
 
 
 # ------------------------------------------------------------------ token ids
@@ -326,6 +414,39 @@ def test_token_files(spark, tmp_path):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     token_binary.write(df.limit(0), str(tmp_path / "none"), byte_bpe())
+    assert token_binary.read(spark, str(tmp_path / "none")).count() == 0
+
+
+def check_tokens(spark, rows, path, parts=1):
+    """Starts and sums of the rows in the order of id (none first) and text hash."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_str(byte_bpe())
+    df = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, start int, `a.b` string").repartition(parts)
+    token_binary.write(df, path, byte_bpe())
+    got = sorted(token_binary.read(spark, path).collect(), key=lambda r: r.start)
+    tie = lambda t: xxhash.xxh64_intdigest((t or "").encode(), 42) >> 11
+    start = 0
+    assert len(got) == len(rows)
+    for r, (i, t) in zip(got, sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, tie(x[1])))):
+        ids = plain.encode(t or "", add_special_tokens=False).ids + [0]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_more_than_a_thousand_blocks_of_a_partition(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_binary, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(token_binary, "ranges", lambda texts, parts: [])
+    rows = [(k, f"text {k}" * (k % 3)) for k in range(1100)]
+    check_tokens(spark, rows, str(tmp_path / "tokens"))
+
+
+def test_ids_that_are_null_or_repeated_are_cut(spark, tmp_path):
+    rows = [(None, f"none {k}") for k in range(150)] + [(7, f"seven {k % 50}") for k in range(150)] + [(9, "same")] * 120 + [(k, None if k % 2 else "") for k in range(20)]
+    texts = token_binary._texts(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    cuts = token_binary.ranges(texts, 12)
+    assert sum(i == 7 for i, _ in cuts) > 2 and cuts.count(max(c for c in cuts if c[0] == 9)) > 1
+    check_tokens(spark, rows, str(tmp_path / "tokens"), 3)
 
 
 # ------------------------------------------------------------------ SentencePiece
@@ -342,11 +463,11 @@ def test_sentencepiece_equals_the_library(spark):
     ids = codec.encode(texts)
     assert [x.tolist() for x in ids] == lib.encode(texts)
     assert [codec.decode(x) for x in ids] == [lib.decode(x.tolist()) for x in ids] == texts
-    df = spark.createDataFrame([(k, t, 1) for k, t in enumerate(TEXTS)], "doc_id long, text string, ids int")
+    df = spark.createDataFrame([*((k, t, 1) for k, t in enumerate(TEXTS)), (None, "x", 2), (0, "repeated", 3)], "doc_id long, text string, ids int")
     coded = sentencepiece_codec.with_ids(df, model)
     assert all(r.round_trip for r in coded.collect())
-    back = {r.doc_id: r.text for r in sentencepiece_codec.decoded(coded, model).collect()}
-    assert back == {k: t or "" for k, t in enumerate(TEXTS)}
+    back = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in sentencepiece_codec.decoded(coded, model).collect())
+    assert back == sorted([*((k, t or "") for k, t in enumerate(TEXTS)), (-1, "x"), (0, "repeated")])
     assert sentencepiece_codec.with_ids(df.limit(0), model).count() == 0
 
 

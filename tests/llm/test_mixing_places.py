@@ -6,7 +6,7 @@ import corpus_pipeline
 from parcelforge.llm import mixing
 
 
-def plain_schedule(share, blocks, slots=1000):
+def plain_schedule(share, blocks, slots):
     """The slot of each block, slot by slot: of the released blocks the one of the earliest deadline."""
     taken = dict.fromkeys(share, 0)
     out = {}
@@ -35,8 +35,8 @@ def test_last_stage_returns_slots_that_hold_the_weights(spark):
     assert sorted(r.doc_id for r in got) == list(range(9000))
     counts = Counter(s for _, _, _, s, _ in rows)
     assert {r.doc_id: r.source for r in got} == {i: s for i, _, _, s, _ in rows}
-    share = mixing.shares(counts, None, 1000)
-    slots = plain_schedule(share, {s: -(-n // 100) for s, n in counts.items()})
+    share, period = mixing.shares(counts)
+    slots = plain_schedule(share, {s: -(-n // 100) for s, n in counts.items()}, period)
     for s, n in counts.items():
         assert sorted(r.rank_in_source for r in got if r.source == s) == list(range(n))
     assert all(r.block == r.rank_in_source // 100 and r.slot == slots[r.source, r.block] for r in got)
@@ -44,5 +44,5 @@ def test_last_stage_returns_slots_that_hold_the_weights(spark):
     end = max(r.slot for r in got if r.in_target) + 1
     assert all(r.in_target == (r.slot < end) for r in got)
     blocks = Counter(s for s, _ in {(r.source, r.block) for r in got if r.in_target})
-    assert all(abs(blocks[s] - end * share[s] / 1000) < 1 for s in share)
+    assert all(abs(blocks[s] - end * share[s] / period) < 1 for s in share)
     assert abs(blocks["hot"] - end * counts["hot"] / 9000) > 1
