@@ -19,7 +19,7 @@ result are named here, so that no extra column of the input can clash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -209,12 +209,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     return marked.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest of its component, or has no id."""
-    found = near_duplicates(docs, key, **options)
-    drop = found.where("doc_id <> component_id").select("doc_id").distinct()
+def one_of_each(docs: DataFrame, key: str = "doc_id", also: Callable[[DataFrame], DataFrame] | None = None, **options) -> DataFrame:
+    """The rows of ``docs`` whose document is the smallest of its component, or has no id.
+
+    also: gives further links (u, v) of documents, which join components of the fingerprints' ones.
+    """
+    links = near_duplicates(docs, key, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
     gone = unused(docs, "pf_doc")[0]
-    return docs.join(drop.withColumnRenamed("doc_id", gone), quoted(key) == F.col(gone), "left_anti")
+    if also is None:
+        drop = links.select(F.col("u").alias(gone)).distinct()
+    else:
+        drop = components(links.unionByName(also(docs))).where("node <> root").select(F.col("node").alias(gone))
+    return docs.join(drop, quoted(key) == F.col(gone), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

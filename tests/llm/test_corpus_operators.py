@@ -527,21 +527,51 @@ def test_long_words_equal_short_ones(monkeypatch):
 # ------------------------------------------------------------------ pipeline
 
 
-def test_pipeline_stages(spark):
+def plain_pipeline(spark, d):
+    """(kept ids, text of each) stage by stage: the list as learned, lines and near-duplicates from their definitions."""
+    from test_shingle_join import plain_set
+
+    from parcelforge.llm import quality_rules
+
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    table = spark.read.parquet(f"{d}/documents.parquet")
+    rules = quality_rules.fit(table, spark.read.parquet(f"{d}/labels.parquet"))
+    kept = {}
+    for i, r in docs.items():
+        counts = dict(zip(quality_rules.COUNTS, quality_rules.measure((r.text or "").encode())))
+        x = {f: np.array([counts[a] / max(1, counts[b])]) for f, (a, b) in quality_rules.FEATURES.items()}
+        if counts["n_words"] >= 20 and 100 * counts["n_repeat_words"] <= 30 * counts["n_words"] and not any(all(c.holds(x)[0] for c in rule.conditions) for rule in rules):
+            kept[i] = r.text
+    gone = plain_dedup(list(kept.items()))
+    texts = {}
+    for i, t in kept.items():
+        lost = gone.get((i, t), set())
+        text = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in lost) if lost else t
+        if not lost or text.split():
+            texts[i] = text
+    sets = {i: plain_set(t) for i, t in texts.items()}
+    marks = {i: simhash.fingerprint(t.encode(), 5) for i, t in texts.items()}
+    pairs = [(a, b) for a in texts for b in texts if a < b and ((marks[a] ^ marks[b]).bit_count() <= 4 or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))]
+    root = union(texts, pairs)
+    return {i: t for i, t in texts.items() if root[i] == i}, {i: docs[i].source for i in texts}
+
+
+def test_pipeline_against_brute_force(spark):
     import corpus_pipeline
+    import sentencepiece
 
     d = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    before = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, before, d)
-        assert out.columns == docs.columns, name
-        before = out
-    final = corpus_pipeline.run(spark, d).collect()
-    assert {r.doc_id for r in final} == {r.doc_id for r in before.select("doc_id").collect()}
-    assert all(r.round_trip for r in final)
-    kept = {r.doc_id for r in simhash.near_duplicates(spark.createDataFrame([(r.doc_id, r.text) for r in before.collect()], "doc_id long, text string")).where("doc_id = component_id").collect()}
-    assert kept == {r.doc_id for r in final}
+    texts, sources = plain_pipeline(spark, d)
+    final = {r.doc_id: r for r in corpus_pipeline.run(spark, d).collect()}
+    assert set(final) == set(texts)
+    library = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_codec._model())
+    assert all(list(r.ids) == library.encode(texts[i]) and r.n_tokens == len(r.ids) and r.round_trip and r.source == sources[i] for i, r in final.items())
+    counts = {}
+    for i in texts:
+        counts[sources[i]] = counts.get(sources[i], 0) + 1
+    slots, gap = plain_mix(counts, {s: max(1, int(n**0.5)) for s, n in counts.items()}, 100)
+    for r in final.values():
+        assert (r.block, r.slot) == (r.rank_in_source // 100, slots[r.source, r.block]) and r.in_target == (gap is None or r.slot < gap)
 
 
 def test_queries_are_registered():

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -106,6 +107,25 @@ def test_quality_without_labels_and_without_rows(spark):
     assert quality_rules.judged(docs.limit(0), none).count() == 0
 
 
+def test_best_condition_against_all_thresholds():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        x = {f: rng.integers(0, 6, 40).astype(float) for f in quality_rules.FEATURES}
+        bad = rng.random(40) < 0.4
+        base = np.log2(bad.mean())
+        best = -1.0
+        for f, v in x.items():
+            for cut in np.unique(v)[:-1] + 0.5:
+                for hit in (v > cut, v <= cut):
+                    p, n = (hit & bad).sum(), (hit & ~bad).sum()
+                    if p:
+                        best = max(best, p * (np.log2(p / (p + n)) - base))
+        gain, condition = quality_rules._best(x, bad, 1.0, 1.0)
+        hit = condition.holds(x)
+        p, n = (hit & bad).sum(), (hit & ~bad).sum()
+        assert gain == pytest.approx(best) == pytest.approx(p * (np.log2(p / (p + n)) - base))
+
+
 def test_learning_ties_are_settled():
     x = {f: np.zeros(40) for f in quality_rules.FEATURES}
     bad = np.arange(40) % 2 == 0
@@ -188,6 +208,45 @@ def test_triggers_do_not_depend_on_steps(monkeypatch):
     assert piecewise_hash.fingerprint(data) == whole
 
 
+def plain_fingerprint(data):
+    """Byte by byte, from the description."""
+    block = 3
+    while 64 * block < len(data):
+        block *= 2
+
+    def at(end):  # the rolling hash of the seven bytes before ``end``
+        h = sum(b * pow(0x01000193, k, 1 << 32) for k, b in enumerate(reversed(data[max(0, end - 7) : end]))) % (1 << 32)
+        h ^= h >> 16
+        h = h * 0x7FEB352D % (1 << 32)
+        return h ^ h >> 15
+
+    parts = []
+    for size in (block, 2 * block):
+        out, start = "", 0
+        for end in range(1, len(data) + 1):
+            n = end - start
+            # A trigger of twice the size is one of the size itself as well.
+            if end == len(data) or n == 4 * size or (n >= max(1, size // 4) and at(end) % size == size - 1 and at(end) % block == block - 1):
+                symbol = xxhash.xxh32_intdigest(data[start:end]) >> 20
+                alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+                out += alphabet[symbol // 64] + alphabet[symbol % 64]
+                start = end
+        parts.append(out)
+    return f"{block}:{parts[0]}:{parts[1]}"
+
+
+@pytest.mark.parametrize("text", ["", "a", "That it.", "aaaa" * 400, "And " * 700, "é1 x " * 90, " ".join(str(k * k) for k in range(900))])
+def test_fingerprint_against_a_plain_version(text):
+    assert piecewise_hash.fingerprint(text.encode()) == plain_fingerprint(text.encode())
+
+
+def test_repetitive_texts_are_like_their_half_edited_ones():
+    other = " ".join(str(k * 7919) for k in range(700))
+    for text in ("And " * 800, "a" * 3000, "one line that repeats\n" * 150, "Wher. " * 140):
+        own, new, far = (piecewise_hash.fingerprint(x.encode()) for x in (text, piecewise_hash.edited(text, other), other))
+        assert piecewise_hash.likeness(own, new) > piecewise_hash.likeness(own, far) + 0.15
+
+
 def test_fingerprints_meet_the_next_document(spark):
     import hashlib
 
