@@ -24,6 +24,11 @@ class MatchConfig:
     possible: float = 0.60
     conflict: float = 0.40
 
+    @classmethod
+    def stage(cls, **options) -> MatchConfig:
+        """The thresholds of a pipeline run, which are lower than those of a run of its own (fixed values)."""
+        return cls(**{"matched": 0.75, "possible": 0.55} | options)
+
     def __post_init__(self) -> None:
         if not 1 <= self.radius <= 5000:
             raise ValueError("radius must be between 1 and 5000 metres")

@@ -21,6 +21,19 @@ def differs(a: Column, b: Column) -> Column:
     return F.coalesce(F.lower(F.trim(a)) != F.lower(F.trim(b)), F.lit(False))
 
 
+def box_state(box: geo.Box) -> Column:
+    """VALID, NULL, EMPTY or why a box is no geometry."""
+    corners = (box.x1, box.y1, box.x2, box.y2)
+    null = F.lit(False)
+    for c in corners:
+        null = null | c.isNull()
+    return F.when(null, "NULL").when((box.x2 < box.x1) | (box.y2 < box.y1), "corners in the wrong order").when(box.area == 0, "EMPTY").otherwise("VALID")
+
+
+def _sound() -> Column:
+    return (F.col("source_geometry_state") == "VALID") & (F.col("candidate_geometry_state") == "VALID")
+
+
 def harmonized(best: DataFrame, source_role: str = "CADASTRAL", candidate_role: str = "DRONE", area_tolerance: float = 5.0) -> DataFrame:
     """A record for each best match: winning geometry, areas, attributes, and how many of them conflict."""
     order = {r: k for k, r in enumerate(GEOMETRY_PRECEDENCE)}
@@ -31,7 +44,10 @@ def harmonized(best: DataFrame, source_role: str = "CADASTRAL", candidate_role:
     cand = F.coalesce(explicit("b_area"), geo.metric_area(b.area, b.cy))
     pct = F.round(F.abs(src - cand) / F.greatest(src, cand) * 100, 2)
     lu_a, lu_b, mu_a, mu_b, ri_a, ri_b = (_filled(c) for c in ("a_land_use", "b_land_use", "a_mutation", "b_mutation", "a_risk", "b_risk"))
+    # How sound each geometry is: given, or for boxes by their corners.
+    state = lambda p, box: F.coalesce(F.col(f"{p}_geometry_state"), F.lit("VALID")) if f"{p}_geometry_state" in best.columns else box_state(box)
     out = best.select(
+        state("a", a).alias("source_geometry_state"), state("b", b).alias("candidate_geometry_state"),
         F.concat_ws("_", F.col("a_id").cast("string"), F.col("b_id").cast("string")).alias("record_id"),
         "a_id", "b_id", "score", "status", "role", "rank", "score_gap", "candidate_count", "spatial", "geometry", "attribute", "centroid_m",
         F.lit("SOURCE_A" if source_wins else "SOURCE_B").alias("geometry_source"),
@@ -75,12 +91,17 @@ def _either(a: Column, b: Column, *values: str) -> Column:
     return a.isin(*values) | b.isin(*values)
 
 
-def conflicts(records: DataFrame, config: ConflictConfig = ConflictConfig(), project: str = "p1") -> DataFrame:
-    """A row for each rule that a record breaks: a fan-out of an array of structs, without a shuffle."""
+#: Columns of the classes of a record's values.
+_CLASSES = {f"_{k}_{p}": (f, f"{side}_{name}") for k, f, name in (("lu", text.land_use, "land_use"), ("mu", text.mutation, "mutation"), ("ri", text.risk, "risk")) for p, side in (("a", "source"), ("b", "candidate"))}
+
+
+def with_broken_rules(records: DataFrame, config: ConflictConfig = ConflictConfig()) -> DataFrame:
+    """Adds ``_broken``, the rules that a record breaks, as an array of structs.
+
+    Classes and rules are projections of their own, so that each is made once for a row.
+    """
     pct, iou, offset = F.col("area_pct"), F.col("spatial"), F.col("centroid_m")
-    lu = text.land_use("source_land_use"), text.land_use("candidate_land_use")
-    mu = text.mutation("source_mutation"), text.mutation("candidate_mutation")
-    ri = text.risk("source_risk"), text.risk("candidate_risk")
+    lu, mu, ri = ((F.col(f"_{k}_a"), F.col(f"_{k}_b")) for k in ("lu", "mu", "ri"))
     area = F.when(pct > config.area_high, "CRITICAL").when(pct >= config.area_medium, "HIGH").otherwise("MEDIUM")
     exclude = F.lit(False)
     for x, y in INCOMPATIBLE:
@@ -88,14 +109,14 @@ def conflicts(records: DataFrame, config: ConflictConfig = ConflictConfig(), pro
     land = F.when(exclude, "CRITICAL").when(_either(*lu, "RESIDENTIAL") & _either(*lu, "COMMERCIAL"), "HIGH").otherwise("MEDIUM")
     registry = F.when(_either(*mu, "DISPUTED", "REJECTED"), "CRITICAL").when(_either(*mu, "APPROVED") & _either(*mu, "PENDING"), "HIGH").otherwise("MEDIUM")
     hazard = F.when(_either(*ri, "CRITICAL", "HIGH") & _either(*ri, "LOW"), "CRITICAL").when(_either(*ri, "HIGH") & _either(*ri, "MEDIUM"), "HIGH").otherwise("MEDIUM")
-    bounds = F.when((iou < 0.5) | (offset > 25), "CRITICAL").when((iou < 0.7) | (offset > 10), "HIGH").when((iou < 0.85) | (offset > 5), "MEDIUM").otherwise("LOW")
+    bounds = F.when(~_sound() | (iou < 0.5) | (offset > 25), "CRITICAL").when((iou < 0.7) | (offset > 10), "HIGH").when((iou < 0.85) | (offset > 5), "MEDIUM").otherwise("LOW")
     shown = lambda c: F.format_string("%.2f", c)
     rules = (
         ("AREA_DISCREPANCY", "GEOMETRY", "area", pct >= config.area_low, area, shown(F.col("source_area")), shown(F.col("candidate_area"))),
         ("LAND_USE_CONFLICT", "SEMANTIC", "land_use", lu[0] != lu[1], land, *lu),
         ("MUTATION_CONFLICT", "REGISTRY", "mutation_status", mu[0] != mu[1], registry, *mu),
         ("RISK_CONFLICT", "RISK", "risk_level", ri[0] != ri[1], hazard, *ri),
-        ("GEOMETRY_MISMATCH", "GEOMETRY", "geometry", (iou < 0.85) | (offset > 5) | (F.col("geometry_status") != "CONGRUENT"), bounds, F.lit("a"), F.lit("b")),
+        ("GEOMETRY_MISMATCH", "GEOMETRY", "geometry", ~_sound() | (iou < 0.85) | (offset > 5) | (F.col("geometry_status") != "CONGRUENT"), bounds, F.lit("a"), F.lit("b")),
         ("ATTRIBUTE_MISMATCH", "REGISTRY", "survey_number", differs(F.col("source_survey"), F.col("candidate_survey")), F.lit("MEDIUM"), F.upper("source_survey"), F.upper("candidate_survey")),
     )
     rows = F.array(
@@ -104,7 +125,13 @@ def conflicts(records: DataFrame, config: ConflictConfig = ConflictConfig(), pro
             for kind, cat, field, test, severity, x, y in rules
         )
     )
-    out = records.select("record_id", "a_id", "b_id", F.explode(F.array_compact(rows)).alias("c")).select("record_id", "a_id", "b_id", "c.*")
+    classed = records.withColumns({k: f(c) for k, (f, c) in _CLASSES.items()})
+    return classed.withColumn("_broken", F.array_compact(rows)).drop(*_CLASSES)
+
+
+def conflicts(records: DataFrame, config: ConflictConfig = ConflictConfig(), project: str = "p1") -> DataFrame:
+    """A row for each rule that a record breaks: a fan-out without a shuffle."""
+    out = with_broken_rules(records, config).select("record_id", "a_id", "b_id", F.explode("_broken").alias("c")).select("record_id", "a_id", "b_id", "c.*")
     return out.withColumn("idempotency_key", F.concat_ws(":", F.lit(project), "record_id", "conflict_type", "field_name")).withColumn("status", F.lit("OPEN"))
 
 
@@ -130,12 +157,25 @@ def per_record(found: DataFrame) -> DataFrame:
     )
 
 
+def counted(records: DataFrame, config: ConflictConfig = ConflictConfig()) -> DataFrame:
+    """Records with the counts of :func:`per_record` while all their conflicts are open: from the row, without a join."""
+    n = lambda level: F.size(F.filter("_levels", lambda c: c == level)).cast("bigint")
+    levels = F.transform("_broken", lambda c: F.when(c["severity"] == "CRITICAL", 1).when(c["severity"] == "HIGH", 2).when(c["severity"] == "MEDIUM", 3).otherwise(4))
+    types = F.sort_array(F.array_distinct(F.transform("_broken", lambda c: c["conflict_type"])))
+    out = with_broken_rules(records, config).withColumns({"_levels": levels, "conflict_types": types}).drop("_broken")
+    every = F.size("_levels").cast("bigint")
+    return out.withColumns({"conflicts": every, "unresolved": every, "critical": n(1), "high": n(2), "worst": F.array_min("_levels")}).drop("_levels")
+
+
 # ------------------------------------------------------------------ validation
 
 
-def validated(records: DataFrame, found: DataFrame, tolerance: float = 5.0, limit: float = 15.0) -> DataFrame:
-    """Sub-statuses and the overall status of each record, with the reasons that failed or warn."""
-    r = records.join(per_record(found), "record_id", "left")
+def validated(records: DataFrame, found: DataFrame | None = None, tolerance: float = 5.0, limit: float = 15.0) -> DataFrame:
+    """Sub-statuses and the overall status of each record, with the reasons that failed or warn.
+
+    found: conflicts with their states; without, the records are those of :func:`counted`.
+    """
+    r = records if found is None else records.join(per_record(found), "record_id", "left")
     iou, offset, touching = F.col("spatial") * 100, F.col("centroid_m"), F.col("spatial") > 0
     lu = text.land_use("source_land_use"), text.land_use("candidate_land_use")
     broken = ~touching & (offset > 50) | (iou < 10)
@@ -148,7 +188,10 @@ def validated(records: DataFrame, found: DataFrame, tolerance: float = 5.0, limi
     semantic = F.when(disputed | hazard | farmland, "WARNING").otherwise("PASS")
     critical, high, unresolved = (F.coalesce(F.col(c), F.lit(0)) for c in ("critical", "high", "unresolved"))
     conflict = F.when(critical > 0, "FAIL").when(unresolved > 0, "WARNING").otherwise("PASS")
-    out = r.withColumns({"geometry_check": F.lit("PASS"), "topology": topology, "area_check": area, "semantic": semantic, "conflict_check": conflict, "critical": critical, "high": high, "unresolved": unresolved})
+    side = F.when(F.col("source_geometry_state") != "VALID", "source").otherwise("candidate")
+    worse = F.when(F.col("source_geometry_state") != "VALID", F.col("source_geometry_state")).otherwise(F.col("candidate_geometry_state"))
+    failure = F.when(~_sound(), F.concat(side, F.lit(" geometry: "), worse))
+    out = r.withColumns({"geometry_check": F.when(_sound(), "PASS").otherwise("FAIL"), "geometry_failure": failure, "topology": topology, "area_check": area, "semantic": semantic, "conflict_check": conflict, "critical": critical, "high": high, "unresolved": unresolved})
     every = F.array("geometry_check", "topology", "area_check", "semantic", "conflict_check")
     overall = F.when(F.array_contains(every, "FAIL"), "FAIL").when(F.array_contains(every, "WARNING"), "WARNING").otherwise("PASS")
     warnings = F.array_compact(F.array(F.when(disputed, "mutation needs clearance"), F.when(hazard, "critical hazard"), F.when(farmland, "incompatible land use"), F.when(F.col("topology") == "WARNING", "boundary variance"), F.when(F.col("area_check") == "WARNING", "area tolerance"), F.when(F.col("conflict_check") == "WARNING", "open conflicts")))
@@ -200,14 +243,29 @@ def bucket(score: Column, ambiguous: Column, blocked: Column, config: Confidence
     return F.when(ambiguous, "AMBIGUOUS").when((score >= config.high) & ~blocked, "HIGH").when(score >= config.medium, "MEDIUM").otherwise("LOW")
 
 
+def geometry_fallback() -> Column:
+    """Without a geometry signal: what the areas leave of it, less where they fail or warn."""
+    left = 1 - F.least(F.lit(1.0), F.coalesce(F.col("area_pct"), F.lit(0.0)) / 100) * 0.75
+    return F.when(F.col("area_check") == "FAIL", F.least(left, F.lit(0.40))).when(F.col("area_check") == "WARNING", F.least(left, F.lit(0.75))).otherwise(left)
+
+
+def attribute_fallback() -> Column:
+    """Without an attribute signal: by the land uses, equal, with a word of one within the other, or neither."""
+    a, b = (F.lower(F.trim(c)) for c in ("source_land_use", "candidate_land_use"))
+    within = lambda x, y: F.exists(F.split(x, r"\s+"), lambda w: F.contains(y, w))
+    both = a.isNotNull() & b.isNotNull() & (a != "") & (b != "")
+    by_use = F.when(~F.coalesce(both, F.lit(False)), 0.85).when(a == b, 1.0).when(within(a, b) | within(b, a), 0.80).otherwise(0.45)
+    return F.when(F.col("semantic") == "FAIL", F.least(by_use, F.lit(0.30))).otherwise(by_use)
+
+
 def confidence(checked: DataFrame, config: ConfidenceConfig = ConfidenceConfig()) -> DataFrame:
     w = config.weights()
     unit = lambda c: F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)), 4)
     out = checked.withColumns(
         {
             "s_spatial": unit(F.coalesce(F.col("spatial"), F.lit(0.85))),
-            "s_geometry": unit(F.when(F.col("geometry_check") == "FAIL", 0.0).otherwise(F.col("geometry"))),
-            "s_attribute": unit(F.coalesce(F.col("attribute"), F.lit(0.85))),
+            "s_geometry": unit(F.when(F.col("geometry_check") == "FAIL", 0.0).otherwise(F.coalesce(F.col("geometry"), geometry_fallback()))),
+            "s_attribute": unit(F.coalesce(F.col("attribute"), attribute_fallback())),
             "s_temporal": F.when(F.col("overall") == "PASS", 1.0).when(F.col("overall") == "WARNING", 0.9).otherwise(0.8),
         }
     )

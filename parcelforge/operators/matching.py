@@ -47,16 +47,29 @@ def counters(pairs: DataFrame) -> DataFrame:
     )
 
 
+def is_point(box: geo.Box) -> Column:
+    return (box.x1 == box.x2) & (box.y1 == box.y2)
+
+
+def geometry_signal(centre: Column, config: MatchConfig) -> Column:
+    """By kinds: two boxes by their intersection over union, a point within a box 1, else by the distance of centres."""
+    p, q = is_point(A), is_point(B)
+    within = lambda x, box: (x.x1 > box.x1) & (x.x1 < box.x2) & (x.y1 > box.y1) & (x.y1 < box.y2)
+    held = p & ~q & within(A, B) | q & ~p & within(B, A)
+    return F.when(~p & ~q, geo.iou(A, B)).when(held, 1.0).otherwise(scoring.proximity(centre, config.radius))
+
+
 def signals(pairs: DataFrame, attribute: Column, config: MatchConfig = MatchConfig()) -> DataFrame:
-    """The five signals of each pair of boxes; for boxes the geometry signal is their intersection over union."""
+    """The five signals of each pair of boxes or points; points have neither overlap nor area."""
     centre = geo.centroid_distance(A.cx, A.cy, B.cx, B.cy)
+    areal = ~is_point(A) & ~is_point(B)
     return pairs.withColumns(
         {
             "centroid_m": centre,
-            "spatial": geo.iou(A, B),
-            "area": scoring.ratio(A.area, B.area),
+            "spatial": F.when(areal, geo.iou(A, B)),
+            "area": F.when(areal, scoring.ratio(A.area, B.area)),
             "centroid": scoring.proximity(centre, config.radius),
-            "geometry": geo.iou(A, B),
+            "geometry": geometry_signal(centre, config),
             "attribute": attribute,
         }
     )

@@ -23,10 +23,15 @@ def mandatory() -> Column:
     return (F.col("bucket") != "HIGH") | (F.col("critical") > 0) | (F.col("overall") == "FAIL")
 
 
-def queue(scored: DataFrame, decisions: DataFrame, found: DataFrame) -> DataFrame:
-    """Records with their decision and most severe open conflict; undecided first, then severe, then doubtful."""
-    worst = found.groupBy("record_id").agg(F.min(severity_rank()).alias("rank"), F.sort_array(F.collect_set("conflict_type")).alias("conflict_types"))
-    out = scored.join(decisions.select("record_id", "action", "decided_at"), "record_id", "left").join(worst.withColumnRenamed("rank", "worst"), "record_id", "left")
+def queue(scored: DataFrame, decisions: DataFrame, found: DataFrame | None = None, on: str = "record_id") -> DataFrame:
+    """Records with their decision and most severe open conflict; undecided first, then severe, then doubtful.
+
+    found: conflicts with their states; without, the records carry ``worst`` and ``conflict_types`` themselves.
+    """
+    out = scored.join(decisions.select(on, "action", "decided_at"), on, "left")
+    if found is not None:
+        worst = found.groupBy("record_id").agg(F.min(severity_rank()).alias("worst"), F.sort_array(F.collect_set("conflict_type")).alias("conflict_types"))
+        out = out.drop("worst", "conflict_types").join(worst, "record_id", "left")
     severity = F.coalesce(F.get(F.array(*(F.lit(s) for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW"))), F.col("worst") - 1), F.lit("NONE"))
     out = out.withColumns({"severity": severity, "resolved": F.col("action").isNotNull(), "mandatory": mandatory()})
     return out.orderBy("resolved", severity_rank("severity"), "confidence", "record_id")
@@ -58,9 +63,9 @@ def review_summary(items: DataFrame) -> DataFrame:
     return out.withColumn("progress_pct", progress).withColumn("stage_status", F.when(F.col("pending") == 0, "completed").when(F.col("resolved") > 0, "in_progress").otherwise("pending"))
 
 
-def unified(scored: DataFrame, decisions: DataFrame) -> DataFrame:
+def unified(scored: DataFrame, decisions: DataFrame, on: str = "record_id") -> DataFrame:
     """Records by precedence: the human decision, otherwise the harmonised values."""
-    r = scored.join(decisions.select("record_id", "action", "chosen_area", "decided_at"), "record_id", "left")
+    r = scored.join(decisions.select(on, "action", "chosen_area", "decided_at"), on, "left")
     act = F.col("action")
     a, b, merged, reject = (F.coalesce(act == x, F.lit(False)) for x in ACTIONS)
 
@@ -78,9 +83,9 @@ def unified(scored: DataFrame, decisions: DataFrame) -> DataFrame:
         pick("source_land_use", "candidate_land_use", "land_use", none).alias("land_use"),
         pick("source_mutation", "candidate_mutation", "mutation", none).alias("mutation"),
         pick("source_risk", "candidate_risk", "risk", F.lit("CRITICAL")).alias("risk"),
-        area.alias("area"), "confidence", "bucket", F.col("overall").alias("validation"), "decided_at", "conflict_count",
+        area.alias("area"), "confidence", "bucket", F.col("overall").alias("validation"), "decided_at", "conflict_count", (F.col("geometry_check") != "FAIL").alias("geometry_valid"),
     )
-    state = F.when(F.col("resolution_status") == "REJECTED", "CONFLICT").when(F.col("area").isNotNull(), "ACTIVE").otherwise("INCOMPLETE")
+    state = F.when(F.col("resolution_status") == "REJECTED", "CONFLICT").when(F.col("geometry_valid") & F.col("area").isNotNull(), "ACTIVE").otherwise("INCOMPLETE")
     return out.withColumn("status", state)
 
 

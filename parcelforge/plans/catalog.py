@@ -63,7 +63,7 @@ class Inputs:
 
     @functools.cached_property
     def checked(self) -> DataFrame:
-        return harmonize.validated(self.records, self.conflicts)
+        return harmonize.validated(harmonize.counted(self.records))
 
     @functools.cached_property
     def confident(self) -> DataFrame:
@@ -71,16 +71,16 @@ class Inputs:
 
     @functools.cached_property
     def decisions(self) -> DataFrame:
-        d = self.fixture(fx.DECISIONS).withColumnRenamed("parcel", "a_id")
-        return self.records.select("record_id", "a_id").join(d, "a_id").drop("a_id")
+        """By parcel, which has one record: no record is looked up to find its decision."""
+        return self.fixture(fx.DECISIONS).withColumnRenamed("parcel", "a_id")
 
     @functools.cached_property
     def queue(self) -> DataFrame:
-        return review.queue(self.confident, self.decisions, self.conflicts)
+        return review.queue(self.confident, self.decisions, on="a_id")
 
     @functools.cached_property
     def unified(self) -> DataFrame:
-        return review.unified(self.confident, self.decisions)
+        return review.unified(self.confident, self.decisions, on="a_id")
 
     @functools.cached_property
     def lineage(self) -> DataFrame:

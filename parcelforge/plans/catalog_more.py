@@ -56,7 +56,7 @@ def record_status_transition(spark, d):
 @query
 def decision_cascade(spark, d):
     i = Inputs(spark, d)
-    return cascade.decide(i.conflicts.select("record_id", "conflict_type", "severity", "status"), i.decisions).groupBy("status", "conflict_type").agg(F.count("*").alias("n"))
+    return cascade.decide(i.conflicts.select("record_id", "a_id", "conflict_type", "severity", "status"), i.decisions, on="a_id").groupBy("status", "conflict_type").agg(F.count("*").alias("n"))
 
 
 @query
