@@ -335,6 +335,7 @@ def write(docs: DataFrame, path: str, tokenizer_json: str, key: str = "doc_id",
     tables = spark.sparkContext.broadcast((order, rank))
 
     cuts = ranges(texts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cut_ids = np.array([c[0] for c in cuts], np.int64)
 
     def rank_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, turn = tables.value[1], 0
@@ -342,14 +343,15 @@ def write(docs: DataFrame, path: str, tokenizer_json: str, key: str = "doc_id",
             for docs, ties, sizes, ids in zip(*(c.to_pylist() for c in batch.columns)):
                 doc_ids, tie, counts = (np.frombuffer(x, "<i8") for x in (docs, ties, sizes))
                 control, data = pack(ranks[_ids(ids, size)], counts)
-                parts = []
-                for at in zip(doc_ids.tolist(), tie.tolist()):
-                    low, high = bisect_left(cuts, at), bisect_right(cuts, at)
+                low, parts = (np.searchsorted(cut_ids, doc_ids, side) for side in ("left", "right"))
+                for k in np.flatnonzero(parts - low > 1).tolist():  # of an id that is met by several cuts
+                    at = int(doc_ids[k]), int(tie[k])
+                    first, last = bisect_left(cuts, at), bisect_right(cuts, at)
                     # Equal cuts: documents of one id and text, which take turns.
-                    parts.append(high if high - low < 2 else low + 1 + turn % (high - low))
+                    parts[k] = last if last - first < 2 else first + 1 + turn % (last - first)
                     turn += 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(parts, pa.int32()), pa.array(doc_ids), pa.array(tie), pa.array(counts), pa.array(control, pa.binary()), pa.array(data, pa.binary())],
+                    [pa.array(parts.astype(np.int32)), pa.array(doc_ids), pa.array(tie), pa.array(counts), pa.array(control, pa.binary()), pa.array(data, pa.binary())],
                     names=["part", "doc_id", "tie", "n", "control", "data"],
                 )
 
