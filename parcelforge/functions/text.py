@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -52,10 +53,7 @@ def semantic_class(x, classes: Iterable[tuple[str, tuple[str, ...]]]) -> Column:
     v = F.lower(F.trim(_col(x)))
     out = F.when(v.isNull() | v.isin(*NO_VALUE), F.lit(None).cast("string"))
     for name, words in classes:
-        test = None
-        for w in words:
-            test = F.contains(v, F.lit(w)) if test is None else test | F.contains(v, F.lit(w))
-        out = out.when(test, name)
+        out = out.when(v.rlike("|".join(map(re.escape, words))), name)
     return out.otherwise(F.upper(v))
 
 
@@ -86,6 +84,22 @@ def first_of(props, keys: Iterable[str]) -> Column:
     return F.coalesce(*(F.nullif(F.trim(F.try_element_at(m, F.lit(k))), F.lit("")) for k in keys))
 
 
+def map_diff(old, new) -> Column:
+    """Keys whose values differ, with both: a map of structs (old, new); a key that is missing counts as null."""
+    both = F.map_zip_with(old, new, lambda k, a, b: F.struct(a.alias("old"), b.alias("new")))
+    return F.map_filter(both, lambda k, v: ~v["old"].eqNullSafe(v["new"]))
+
+
+def iso(at) -> Column:
+    """A UTC time as text."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def date_slug(at) -> Column:
+    """A UTC time as part of a file name."""
+    return F.date_format(at, "yyyyMMdd_HHmmss")
+
+
 def lower_view(props) -> Column:
     """A map with lower-cased keys, without those that begin with an underscore."""
     return F.transform_keys(F.map_filter(_col(props), lambda k, v: ~k.startswith("_")), lambda k, v: F.lower(k))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelforge.functions import geo
 from parcelforge.operators import grid
+from parcelforge.session import stored
 
 A, B = geo.Box("a_"), geo.Box("b_")
 
@@ -32,9 +33,11 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, radii: tuple[float, .
         if n == len(radii) - 1:
             parts.append(ranked)
             break
+        ranked = stored(ranked, "knn")
         full = ranked.groupBy("a_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("a_id")
         parts.append(ranked.join(full, "a_id", "left_semi"))
-        left = left.join(full, "a_id", "left_anti")
+        # Stored, so that a ring does not make all earlier ones again.
+        left = stored(left.join(full, "a_id", "left_anti"), "knn")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -119,6 +122,16 @@ def clusters(found: DataFrame, boxes: DataFrame) -> DataFrame:
     return out.withColumn("cluster_id", F.format_string("CLUST_%.2f_%.2f", "cell_lat", "cell_lon"))
 
 
+def in_box(points: DataFrame, x1: float, y1: float, x2: float, y2: float) -> DataFrame:
+    return points.where(F.col("x").between(x1, x2) & F.col("y").between(y1, y2))
+
+
+def source_pairs(found: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Conflicts by cell and by the two datasets that disagree."""
+    at = found.join(boxes.select("a_id", F.round(geo.Box().cy, 8).alias("lat"), F.round(geo.Box().cx, 8).alias("lon")), "a_id")
+    return at.groupBy(F.round("lat", 2).alias("cell_lat"), F.round("lon", 2).alias("cell_lon"), "source_a", "source_b").agg(F.count("*").alias("conflicts"))
+
+
 def near(points: DataFrame, lon: float, lat: float, metres: float, limit: int | None = None) -> DataFrame:
     d = F.round(geo.haversine(F.col("x"), F.col("y"), F.lit(lon), F.lit(lat)), 2)
     out = points.withColumn("metres", d).where(F.col("metres") <= metres).orderBy("metres", "id")

@@ -67,6 +67,18 @@ def sources_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy("record_id").agg(joined("source").alias("sources"), joined("feature_id").alias("features"), F.count("*").alias("n"))
 
 
+def by_role(values: DataFrame) -> DataFrame:
+    """(record_id, attribute, by_role): the value of each source role, of several the largest, as a map."""
+    one = values.where("value is not null").groupBy("record_id", "attribute", "role").agg(F.max("value").alias("value"))
+    return one.groupBy("record_id", "attribute").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("role", "value")))).alias("by_role"))
+
+
+def in_order(rows: DataFrame, value: str, order: str, key: str = "record_id", name: str = "items") -> DataFrame:
+    """Different values of each key in the order in which they come first."""
+    first = rows.groupBy(key, value).agg(F.min(order).alias("o"))
+    return first.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("o", F.col(value).alias("v")))), lambda x: x["v"]).alias(name))
+
+
 def conflict_states(rows: DataFrame) -> DataFrame:
     n = lambda s: F.count_if(F.col("status") == s)
     out = rows.groupBy("record_id").agg(n("OPEN").alias("unresolved"), n("RESOLVED").alias("resolved"), n("DISMISSED").alias("dismissed"))

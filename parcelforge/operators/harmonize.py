@@ -130,8 +130,11 @@ def with_broken_rules(records: DataFrame, config: ConflictConfig = ConflictConfi
 
 
 def conflicts(records: DataFrame, config: ConflictConfig = ConflictConfig(), project: str = "p1") -> DataFrame:
-    """A row for each rule that a record breaks: a fan-out without a shuffle."""
-    out = with_broken_rules(records, config).select("record_id", "a_id", "b_id", F.explode("_broken").alias("c")).select("record_id", "a_id", "b_id", "c.*")
+    """A row for each rule that a record breaks: a fan-out without a shuffle.
+
+    The outer form, as the plain one makes Spark ask for the array's size before all projections, with the rules spelt out.
+    """
+    out = with_broken_rules(records, config).select("record_id", "a_id", "b_id", F.explode_outer("_broken").alias("c")).select("record_id", "a_id", "b_id", "c.*").where("conflict_type is not null")
     return out.withColumn("idempotency_key", F.concat_ws(":", F.lit(project), "record_id", "conflict_type", "field_name")).withColumn("status", F.lit("OPEN"))
 
 

@@ -14,6 +14,11 @@ def geometry(features: DataFrame, kind: str = "kind", valid: str = "valid", empt
     return out.select("total", "valid", "empty", (F.col("total") - F.col("valid") - F.col("empty")).alias("invalid"), dominant.alias("dominant"), F.round(F.col("valid") * 100.0 / F.col("total"), 1).alias("valid_pct"))
 
 
+def kinds(features: DataFrame, kind: str = "kind") -> DataFrame:
+    """How many features each kind of geometry has."""
+    return features.groupBy(kind).agg(F.count("*").alias("features"))
+
+
 _KINDS = {"bigint": "Integer", "int": "Integer", "smallint": "Integer", "tinyint": "Integer", "double": "Float", "float": "Float", "boolean": "Boolean", "date": "DateTime", "timestamp": "DateTime", "timestamp_ntz": "DateTime"}
 
 

@@ -101,6 +101,31 @@ def unified_summary(records: DataFrame) -> DataFrame:
     return records.agg(F.count("*").alias("considered"), F.count_if(done).alias("unified"), F.count_if(~done).alias("rejected"), F.count_if(F.col("status") == "ACTIVE").alias("active"), F.count_if(F.col("decision") == "AUTO_CONFIRMED").alias("auto_confirmed"), mean.alias("average_confidence"))
 
 
+def trail(items: DataFrame) -> DataFrame:
+    """(record_id, trail): how each record of the queue came about, as one JSON object of nested blocks."""
+    pick = lambda *cs: F.struct(*cs)
+    blocks = F.struct(
+        pick("a_id", "b_id", "score", "role").alias("matching"),
+        pick("geometry_source", "geometry_status", "harmonized_area", "area_pct", "land_use", "mutation", "risk").alias("harmonization"),
+        F.struct(F.col("conflicts").alias("conflict_count"), F.coalesce("conflict_types", F.array().cast("array<string>")).alias("conflict_types"), "severity").alias("conflicts"),
+        F.struct(F.col("overall").alias("overall_status"), "warnings").alias("validation"),
+        F.struct("confidence", "bucket", "s_spatial", "s_geometry", "s_attribute", "s_temporal").alias("confidence"),
+        F.struct(F.coalesce("action", F.lit("AUTO_CONFIRMED")).alias("decision"), F.col("resolved").alias("adjudicated"), "decided_at").alias("human_review"),
+    )
+    whole = F.struct("record_id", blocks.alias("pipeline_lineage"))
+    return items.select("record_id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("trail"))
+
+
+def role_statistics(sources: DataFrame) -> DataFrame:
+    """Of (record_id, role), a row per contributing feature: distinct records of each role, and sources per record."""
+    n = lambda role: F.count_distinct(F.when(F.col("role") == role, F.col("record_id")))
+    return sources.agg(
+        F.count_distinct("record_id").alias("records"),
+        F.round(F.count("*") / F.count_distinct("record_id"), 2).alias("average_sources"),
+        n("CADASTRAL").alias("with_cadastral"), n("DRONE").alias("with_drone"), n("MUNICIPAL").alias("with_municipal"),
+    )
+
+
 # ------------------------------------------------------------------ lineage
 
 

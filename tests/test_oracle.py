@@ -3,13 +3,13 @@
 import duckdb
 import pytest
 
-from parcelforge.plans import catalog, catalog_more, oracle, oracle_more
+from parcelforge.plans import catalog, catalog_wide, oracle, oracle_more, oracle_wide
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-QUERIES, SQL = catalog_more.QUERIES, oracle.SQL | oracle_more.SQL
+QUERIES, SQL = catalog_wide.QUERIES, oracle.SQL | oracle_more.SQL | oracle_wide.SQL
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +37,7 @@ def test_query(spark, duck, name):
 
 
 def test_only_vectors_lack_a_text():
-    assert set(QUERIES) - set(SQL) == {"hashed_embedding_search"}
+    assert set(QUERIES) - set(SQL) == {"hashed_embedding_search", "nlq_spatial_plan"}
 
 
 def test_grid_size_does_not_matter(spark):

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from parcelforge.functions import crs, geo, poly, scoring, text
-from parcelforge.operators import analysis, assistant, graph, harmonize, matching, merge, rank
+from parcelforge.operators import analysis, assistant, graph, harmonize, language, matching, merge, rank
 
 
 def one(spark, column, **values):
@@ -205,11 +205,16 @@ def test_intents(spark):
     assert assistant.plan("SEMANTIC_SEARCH") == ("rag", "db")
 
 
-def test_plans():
-    data = [{"name": "Cadastral Parcels", "geometry": "Polygon", "attributes": ["parcel_id"]}, {"name": "Municipal Assets", "geometry": "Point", "attributes": ["asset_id"]}]
-    p = assistant.spatial_plan("find parcels within 2 km of municipal assets", data)
-    assert (p["target"], p["reference"], p["distance"], p["analysis"]) == ("Cadastral Parcels", "Municipal Assets", 2000.0, "proximity")
-    assert assistant.distance_of("300 ft") == pytest.approx(91.44) and assistant.resolve_dataset(data, "weather") is None
+def test_plans(spark):
+    data = spark.createDataFrame([("p", "Cadastral Parcels", "Polygon", ["parcel_id"]), ("p", "Municipal Assets", "Point", ["asset_id"]), ("q", "Parcels of another", "Polygon", ["parcel_id"])], "project_id string, name string, geometry string, attributes array<string>")
+    asked = spark.createDataFrame([(1, "p", "find parcels within 2 km of municipal assets"), (2, "p", "weather"), (3, "r", "parcels"), (4, "p", "do assets overlap parcels")], "question_id int, project_id string, question string")
+    got = {r.question_id: (r.target, r.reference, r.metres, r.analysis) for r in language.spatial_plans(asked, data).collect()}
+    assert got[1] == ("Cadastral Parcels", "Municipal Assets", 2000.0, "proximity")
+    assert got[2] == got[3] == (None, None, 100.0, "proximity")
+    assert got[4] == ("Municipal Assets", "Cadastral Parcels", 100.0, "intersection")
+    rated = {r.name: r.confidence for r in language.scores(spark.createDataFrame([("p", "parcels")], "project_id string, phrase string"), data).collect()}
+    assert rated == {"Cadastral Parcels": 1.0, "Municipal Assets": 0.0}
+    assert assistant.distance_of("300 ft") == pytest.approx(91.44)
     assert assistant.coordinates_of("at 18.52, 73.85") == (18.52, 73.85)
 
 
