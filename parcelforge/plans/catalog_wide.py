@@ -13,7 +13,7 @@ from parcelforge.operators import analysis, assistant, attributes, graph, grid,
 from parcelforge.plans import catalog_more
 from parcelforge.plans import fixtures as fx
 from parcelforge.plans.catalog import Inputs, query
-from parcelforge.session import shared_path
+from parcelforge.session import shared_path, stored
 from parcelforge.sources import export, synthetic, vector
 
 QUERIES = catalog_more.QUERIES
@@ -26,6 +26,8 @@ def _named(matches: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ lists
+# Pages of a stage are filters of what it has stored: a filter on a column of many steps would be spelt out in full
+# before the stage's projections.
 
 
 @query
@@ -49,7 +51,7 @@ def match_best_page(spark, d):
 @query
 def conflict_filtered_page(spark, d):
     i = Inputs(spark, d)
-    c = i.conflicts.withColumns({"source_a": F.lit("cadastral registry"), "source_b": F.lit("drone ortho"), "created_at": F.col("a_id")})
+    c = stored(i.conflicts, "conflicts").withColumns({"source_a": F.lit("cadastral registry"), "source_b": F.lit("drone ortho"), "created_at": F.col("a_id")})
     found = listing.conflicts(c, severity="high", conflict_type="ALL", status="open", source="ORTHO", search="1_2", searched=("record_id", "field_name"))
     return listing.conflict_page(found, limit=60).select("record_id", "conflict_type", "severity")
 
@@ -66,29 +68,29 @@ def attribute_conflict_page(spark, d):
 
 @query
 def validation_filtered_page(spark, d):
-    return listing.validation_page(listing.validations(Inputs(spark, d).checked, status="ALL", category="topology", search="7")).select("record_id", "overall", "topology")
+    return listing.validation_page(listing.validations(stored(Inputs(spark, d).checked.select("record_id", "overall", *listing.CHECKS.values()), "checked"), status="ALL", category="topology", search="7")).select("record_id", "overall", "topology")
 
 
 @query
 def confidence_filtered_page(spark, d):
-    found = listing.confidences(Inputs(spark, d).confident, bucket="medium", review_status="FLAGGED", search="4_")
+    found = listing.confidences(stored(Inputs(spark, d).confident.select("record_id", "confidence", "bucket", "review_status"), "confident"), bucket="all", review_status="flagged", search="4_")
     return listing.page(found, F.col("confidence").desc(), "record_id").select("record_id", "confidence")
 
 
 @query
 def unified_filtered_page(spark, d):
-    u = Inputs(spark, d).unified.withColumns({"identifier": F.col("record_id"), "source_a_reference": F.concat(F.lit("CP-"), F.col("a_id").cast("string")), "source_b_reference": F.concat(F.lit("DS-"), F.col("b_id").cast("string"))})
+    u = stored(Inputs(spark, d).unified, "unified").withColumns({"identifier": F.col("record_id"), "source_a_reference": F.concat(F.lit("CP-"), F.col("a_id").cast("string")), "source_b_reference": F.concat(F.lit("DS-"), F.col("b_id").cast("string"))})
     return listing.page(listing.unified(u, status="active", resolution="unified", search="p-1%3"), "record_id").select("record_id", "land_use")
 
 
 @query
 def provenance_filtered_page(spark, d):
-    return listing.page(listing.provenance(Inputs(spark, d).lineage, state="partial", search="3"), "record_id").select("record_id", "completeness_pct")
+    return listing.page(listing.provenance(stored(Inputs(spark, d).lineage, "lineage"), state="partial", search="3"), "record_id").select("record_id", "completeness_pct")
 
 
 @query
 def provenance_rejected_page(spark, d):
-    return listing.page(listing.provenance(Inputs(spark, d).lineage, state="REJECTED"), "record_id").select("record_id", "lineage_status")
+    return listing.page(listing.provenance(stored(Inputs(spark, d).lineage, "lineage"), state="REJECTED"), "record_id").select("record_id", "lineage_status")
 
 
 @query

@@ -20,7 +20,7 @@ FINAL = {
     "conflict_filtered_page": "select record_id, conflict_type, severity from conflicts where severity = 'HIGH' and (record_id ilike '%1_2%' or field_name ilike '%1_2%') order by a_id desc, record_id, conflict_type limit 60",
     "attribute_conflict_page": "select 'R-' || record_id as identifier, attribute, 'VALUE_MISMATCH' as conflict_type, 'HIGH' as severity from multi_ where attribute = 'owner_name' and not (numbers >= 2 and numbers = filled) and different > 1 order by record_id desc limit 80",
     "validation_filtered_page": "select record_id, overall, topology from checked where topology in ('WARNING', 'FAIL') and record_id like '%7%' order by case overall when 'FAIL' then 1 when 'WARNING' then 2 else 3 end, record_id limit 50",
-    "confidence_filtered_page": "select record_id, confidence from confident where bucket = 'MEDIUM' and blocked and contains(record_id, '4_') order by confidence desc, record_id limit 50",
+    "confidence_filtered_page": "select record_id, confidence from confident where (bucket in ('AMBIGUOUS', 'LOW') or bucket = 'MEDIUM' and blocked) and contains(record_id, '4_') order by confidence desc, record_id limit 50",
     "unified_filtered_page": "select record_id, land_use from unified where status = 'ACTIVE' and resolution_status = 'UNIFIED' and (record_id ilike '%p-1%3%' or 'CP-' || a_id ilike '%p-1%3%' or 'DS-' || b_id ilike '%p-1%3%' or land_use ilike '%p-1%3%') order by record_id limit 50",
     "provenance_filtered_page": "select record_id, completeness_pct from lineage where lineage_status = 'PARTIAL' and record_id like '%3%' order by record_id limit 50",
     "provenance_rejected_page": "select record_id, lineage_status from lineage where resolution_status = 'REJECTED' order by record_id limit 50",
