@@ -98,14 +98,18 @@ def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
 def dedup(docs: DataFrame, min_words: int = 50, gone: str = "gone", gone_words: str = "gone_words") -> DataFrame:
     """``docs`` with the cleaned ``text``, and the places among all lines of those deleted and how many words they had
     (null where nothing was deleted), under the names given."""
-    doc, th, which, split, filled = unused(docs, "pf_doc", "pf_th", "pf_which", "pf_split", "pf_filled")
+    doc, th, which, made, filled = unused(docs, "pf_doc", "pf_th", "pf_which", "pf_made", "pf_filled")
     lost = repeats(docs, min_words).select(F.col("doc").alias(doc), F.col("th").alias(th), F.col("gone").alias(which))
     # Sorted at every size: whether the lines are few enough to be broadcast is no matter of this plan.
     both = docs.join(lost.hint("merge"), (F.col("doc_id") == F.col(doc)) & (F.xxhash64("text") == F.col(th)), "left")
-    # Helper columns, so that the text is split once.
-    both = both.withColumn(split, F.when(F.col(which).isNotNull(), F.split("text", "\n")))
-    own = F.filter(F.transform(split, lambda x, k: F.struct(k.alias("k"), words(x).alias("n"))), lambda x: x["n"] > 0)
-    both = both.withColumn(filled, F.when(F.col(which).isNotNull(), F.transform(which, lambda k: F.get(own, k))))
+    # A text's lines, and the places and words of those with a word.  An array of one is exploded, as Spark moves no
+    # expression through that: these are made once for a row, and not once for each line that asks for them.
+    parts = F.split("text", "\n")
+    own = F.filter(F.transform(parts, lambda x, k: F.struct(k.alias("k"), words(x).alias("n"))), lambda x: x["n"] > 0)
+    once = F.when(F.col(which).isNotNull(), F.struct(parts.alias("lines"), own.alias("own")))
+    both = both.select("*", F.explode_outer(F.array(once)).alias(made))
+    split = F.col(f"{made}.lines")
+    both = both.withColumn(filled, F.transform(which, lambda k: F.get(F.col(f"{made}.own"), k)))
     both = both.withColumn(gone, F.transform(filled, lambda x: x["k"]))
     both = both.withColumn(gone_words, F.aggregate(filled, F.lit(0).cast("bigint"), lambda a, x: a + x["n"]))
     stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
