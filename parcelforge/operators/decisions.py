@@ -88,3 +88,17 @@ def resolve(conflicts: DataFrame, key: str, kind: str, comment: str, *, feature_
         value = values[feature_id]
     hit = F.col("conflict_id") == key
     return conflicts.withColumns({"status": F.when(hit, "RESOLVED").otherwise(F.col("status")), "resolved_value": F.when(hit, F.lit(value)), "comment": F.when(hit, F.lit(comment.strip()))})
+
+
+def dismiss(conflicts: DataFrame, key: str, comment: str) -> DataFrame:
+    """Conflicts (conflict_id, status) with one of them dismissed, which needs a comment; a settled one stays."""
+    if not comment.strip():
+        raise ValueError("a comment is needed")
+    one = conflicts.where(F.col("conflict_id") == key).select("status").limit(1).collect()
+    if not one:
+        raise ValueError(f"no such conflict: {key}")
+    if one[0].status == "RESOLVED":
+        raise ValueError("the conflict is resolved")
+    hit = F.col("conflict_id") == key
+    said = F.col("comment") if "comment" in conflicts.columns else F.lit(None).cast("string")
+    return conflicts.withColumns({"status": F.when(hit, "DISMISSED").otherwise(F.col("status")), "comment": F.when(hit, F.lit(comment.strip())).otherwise(said)})

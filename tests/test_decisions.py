@@ -31,3 +31,14 @@ def test_resolve(spark):
             decisions.resolve(df, *args)
     with pytest.raises(ValueError):
         decisions.resolve(df, "k", "SOURCE_SELECTION", "c", feature_id="f9")
+
+
+def test_dismissals_need_a_comment_and_an_open_conflict(spark):
+    df = spark.createDataFrame([("a", "OPEN"), ("b", "RESOLVED"), ("c", "OPEN")], "conflict_id string, status string")
+    got = {r.conflict_id: (r.status, r.comment) for r in decisions.dismiss(df, "a", " small ").collect()}
+    assert got == {"a": ("DISMISSED", "small"), "b": ("RESOLVED", None), "c": ("OPEN", None)}
+    twice = decisions.dismiss(decisions.dismiss(df, "a", "x"), "c", "y")
+    assert {r.conflict_id: r.comment for r in twice.collect()} == {"a": "x", "b": None, "c": "y"}
+    for key, comment in (("a", " "), ("b", "x"), ("d", "x")):
+        with pytest.raises(ValueError):
+            decisions.dismiss(df, key, comment)
