@@ -95,6 +95,15 @@ def _either(a: Column, b: Column, *values: str) -> Column:
 _CLASSES = {f"_{k}_{p}": (f, f"{side}_{name}") for k, f, name in (("lu", text.land_use, "land_use"), ("mu", text.mutation, "mutation"), ("ri", text.risk, "risk")) for p, side in (("a", "source"), ("b", "candidate"))}
 
 
+def settled(df: DataFrame, name: str, **values: Column) -> DataFrame:
+    """Adds a struct of values that are made once for a row.
+
+    An array of one is exploded: Spark moves no filter through that, which would spell the values out in full, and
+    once more for each value that they are made of.
+    """
+    return df.select("*", F.explode_outer(F.array(F.struct(*(v.alias(k) for k, v in values.items())))).alias(name))
+
+
 def with_broken_rules(records: DataFrame, config: ConflictConfig = ConflictConfig()) -> DataFrame:
     """Adds ``_broken``, the rules that a record breaks, as an array of structs.
 
@@ -162,12 +171,12 @@ def per_record(found: DataFrame) -> DataFrame:
 
 def counted(records: DataFrame, config: ConflictConfig = ConflictConfig()) -> DataFrame:
     """Records with the counts of :func:`per_record` while all their conflicts are open: from the row, without a join."""
-    n = lambda level: F.size(F.filter("_levels", lambda c: c == level)).cast("bigint")
+    n = lambda level: F.size(F.filter("_c.levels", lambda c: c == level)).cast("bigint")
     levels = F.transform("_broken", lambda c: F.when(c["severity"] == "CRITICAL", 1).when(c["severity"] == "HIGH", 2).when(c["severity"] == "MEDIUM", 3).otherwise(4))
     types = F.sort_array(F.array_distinct(F.transform("_broken", lambda c: c["conflict_type"])))
-    out = with_broken_rules(records, config).withColumns({"_levels": levels, "conflict_types": types}).drop("_broken")
-    every = F.size("_levels").cast("bigint")
-    return out.withColumns({"conflicts": every, "unresolved": every, "critical": n(1), "high": n(2), "worst": F.array_min("_levels")}).drop("_levels")
+    out = settled(with_broken_rules(records, config), "_c", levels=levels, types=types).drop("_broken")
+    every = F.size("_c.levels").cast("bigint")
+    return out.withColumns({"conflict_types": F.col("_c.types"), "conflicts": every, "unresolved": every, "critical": n(1), "high": n(2), "worst": F.array_min("_c.levels")}).drop("_c")
 
 
 # ------------------------------------------------------------------ validation
@@ -279,7 +288,8 @@ def confidence(checked: DataFrame, config: ConfidenceConfig = ConfidenceConfig()
     capped = F.when(F.col("blocked"), F.least(F.col("_raw"), F.lit(config.cap))).otherwise(F.col("_raw"))
     out = out.withColumn("_capped", capped)
     final = F.when((F.col("high") > 0) & (F.col("_capped") > config.penalty_over), F.round(F.col("_capped") - config.penalty, 4)).otherwise(F.col("_capped"))
-    out = out.withColumn("confidence", final).drop("_raw", "_capped")
+    out = settled(out, "_f", confidence=final, blocked=F.col("blocked"), ambiguous=F.col("ambiguous")).drop("_raw", "_capped", "blocked", "ambiguous")
+    out = out.withColumns({k: F.col(f"_f.{k}") for k in ("confidence", "blocked", "ambiguous")}).drop("_f")
     out = out.withColumn("bucket", bucket(F.col("confidence"), F.col("ambiguous"), F.col("blocked"), config))
     review = F.when(F.col("bucket").isin("AMBIGUOUS", "LOW"), "FLAGGED").when(F.col("bucket") == "HIGH", "ACCEPTED").otherwise(F.when(F.col("blocked"), "FLAGGED").otherwise("PENDING"))
     return out.withColumn("review_status", review)
