@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from parcelforge.llm import (
+    hard_negatives,
     license_scan,
     line_dedup,
     mixing,
+    nb_svm,
     piecewise_hash,
+    prefix_trie,
     quality_rules,
     sentencepiece_codec,
     simhash,
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_token_binary": token_binary.query,
     "op10_sentencepiece": sentencepiece_codec.query,
+    "op11_quality_classifier": nb_svm.query,
+    "op12_conversation_prefix_trie": prefix_trie.query,
+    "op13_hard_negatives": hard_negatives.query,
 }
 
-ORACLE_SQL = {"op5_warc": warc.SQL, "op7_url_filters": url_filter.SQL}
+ORACLE_SQL = {"op5_warc": warc.SQL, "op7_url_filters": url_filter.SQL, "op12_conversation_prefix_trie": prefix_trie.SQL, "op13_hard_negatives": hard_negatives.SQL}
