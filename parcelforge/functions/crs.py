@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: The ellipsoid and the zone grid.
 A, FLATTENING, SCALE, EASTING, NORTHING = 6378137.0, 1 / 298.257223563, 0.9996, 500_000.0, 10_000_000.0
@@ -24,6 +26,17 @@ def normalize(name: str | None) -> str:
     return f"EPSG:{code}" if known else "invalid"
 
 
+def normalized(name: Column) -> Column:
+    """:func:`normalize` of a column."""
+    text = F.upper(F.trim(F.coalesce(name, F.lit(""))))
+    code = F.regexp_extract(text, r"^(?:EPSG:+|URN:OGC:DEF:CRS:EPSG::)?(\d+)$", 1).try_cast("int")
+    known = code.isin(4326, 3857) | code.between(32601, 32660) | code.between(32701, 32760)
+    out = F.when(text == "", "missing")
+    for k, v in _NAMES.items():
+        out = out.when(text == k, v)
+    return out.when(known, F.concat(F.lit("EPSG:"), code.cast("string"))).otherwise("invalid")
+
+
 def srid(name: str) -> int | None:
     n = normalize(name)
     return int(n[5:]) if n.startswith("EPSG:") else None

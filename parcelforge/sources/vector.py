@@ -1,27 +1,20 @@
 """Vector files as frames: GeoJSON, CSV with coordinates, zipped shapefiles and GeoPackages.
 
-Every reader returns (feature_id, kind, wkt, properties map, crs).  Files are read through Spark, from any store; a
-file of a binary format is one row of ``binaryFile`` and is parsed by one task.
+Every reader returns (feature_id, kind, wkt, properties map, crs), and reads a large file by many tasks.
 """
 
 from __future__ import annotations
 
-import io
-import json
 import re
-import sqlite3
-import struct
-import zipfile
-from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelforge.functions import poly
-from parcelforge.functions.crs import normalize, transform
+from parcelforge.functions.crs import normalized, transform
+from parcelforge.sources import binary, geojson
 
-SCHEMA = "feature_id string, kind string, wkt string, properties map<string,string>, crs string"
 #: Names of coordinate columns, in the order they are tried, and of ids.
 LATITUDE, LONGITUDE = ("latitude", "lat", "y", "y_coord"), ("longitude", "lon", "lng", "long", "x", "x_coord")
 IDS = ("id", "fid", "parcel_id", "structure_id", "asset_id", "facility_id", "code")
@@ -73,109 +66,6 @@ def sanitize(value):
     return value.isoformat() if hasattr(value, "isoformat") else str(value)
 
 
-def _text(v) -> str | None:
-    v = sanitize(v)
-    return v if v is None or isinstance(v, str) else json.dumps(v)
-
-
-def _row(n: int, shape: tuple[str, list] | None, props: dict, crs: str, own=None) -> dict:
-    found = next((props[k] for k in IDS if props.get(k) not in (None, "")), own)
-    return {"feature_id": str(found) if found is not None else f"feat_{n}", "kind": shape and shape[0], "wkt": shape and poly.to_wkt(*shape), "properties": {k: _text(v) for k, v in props.items()}, "crs": crs}
-
-
-def parse_geojson(data: bytes) -> list[dict]:
-    doc = json.loads(data)
-    features = doc["features"] if doc.get("type") == "FeatureCollection" else [doc]
-    name = (doc.get("crs") or {}).get("properties", {}).get("name")
-    crs = normalize(name) if name else "EPSG:4326"
-    return [_row(n, poly.from_geojson(f["geometry"]) if f.get("geometry") else None, f.get("properties") or {}, crs, f.get("id")) for n, f in enumerate(features)]
-
-
-def parse_shapefile(data: bytes) -> list[dict]:
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = z.namelist()
-        if any(n.startswith("/") or ".." in n.split("/") for n in names):
-            raise ValueError("a path in the archive leaves it")
-        by = {n.lower().rpartition(".")[2]: n for n in names}
-        if not {"shp", "shx", "dbf"} <= set(by):
-            raise ValueError("the archive lacks .shp, .shx or .dbf")
-        shp, dbf = z.read(by["shp"]), z.read(by["dbf"])
-        prj = z.read(by["prj"]).decode("utf-8", "replace") if "prj" in by else ""
-    zone = re.search(r"UTM[ _]Zone[ _](\d+)([NS])", prj, re.I)
-    crs = f"EPSG:{(32600 if zone[2].upper() == 'N' else 32700) + int(zone[1])}" if zone else "EPSG:3857" if "Pseudo" in prj else "EPSG:4326"
-    shapes, at = [], 100
-    while at + 8 <= len(shp):
-        size = 2 * struct.unpack_from(">i", shp, at + 4)[0]
-        body, at = shp[at + 8 : at + 8 + size], at + 8 + size
-        kind = struct.unpack_from("<i", body)[0] % 10
-        if kind == 1:
-            shapes.append(("POINT", list(struct.unpack_from("<2d", body, 4))))
-        elif kind in (3, 5):
-            n_parts, n = struct.unpack_from("<2i", body, 36)
-            starts = [*struct.unpack_from(f"<{n_parts}i", body, 44), n]
-            flat = struct.unpack_from(f"<{2 * n}d", body, 44 + 4 * n_parts)
-            points = [[flat[2 * k], flat[2 * k + 1]] for k in range(n)]
-            parts = [points[a:b] for a, b in zip(starts, starts[1:])]
-            if kind == 3:
-                shapes.append(("LINESTRING", parts[0]))
-            else:
-                # Shells run clockwise, holes the other way and follow their shell.
-                polygons: list[list] = []
-                for p in parts:
-                    if polygons and poly.signed_area(poly.rings([p])[0]) > 0:
-                        polygons[-1].append(p)
-                    else:
-                        polygons.append([p])
-                shapes.append(("POLYGON", polygons[0]) if len(polygons) == 1 else ("MULTIPOLYGON", polygons))
-        else:
-            shapes.append(None)
-    count, head, width = struct.unpack_from("<IHH", dbf, 4)
-    fields = []
-    for k in range(32, head - 1, 32):
-        fields.append((dbf[k : k + 11].split(b"\0")[0].decode(), chr(dbf[k + 11]), dbf[k + 16]))
-    out = []
-    for n in range(count):
-        at, props = head + n * width + 1, {}
-        for name, kind, size in fields:
-            raw, at = dbf[at : at + size].decode("utf-8", "replace").strip(), at + size
-            props[name] = None if raw == "" else (float(raw) if "." in raw else int(raw)) if kind in "NF" else raw
-        out.append(_row(n, shapes[n] if n < len(shapes) else None, props, crs))
-    return out
-
-
-def parse_geopackage(data: bytes) -> list[dict]:
-    if not data.startswith(b"SQLite format 3\0"):
-        raise ValueError("not a GeoPackage")
-    db = sqlite3.connect(":memory:")
-    db.deserialize(data)
-    out: list[dict] = []
-    for table, column, srs in db.execute("select table_name, column_name, srs_id from gpkg_geometry_columns").fetchall():
-        rows = db.execute(f'select * from "{table}"')
-        names = [d[0] for d in rows.description]
-        for row in rows:
-            props = dict(zip(names, row))
-            blob = props.pop(column)
-            shape = None
-            if blob:
-                envelope = (0, 32, 48, 48, 64)[blob[3] >> 1 & 7]
-                shape = poly.from_wkb(blob[8 + envelope :])
-            out.append(_row(len(out), shape, props, normalize(str(srs))))
-    db.close()
-    return out
-
-
-def _binary(spark: SparkSession, path: str, parse) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).select("content")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
-            for content in x["content"]:
-                rows = parse(bytes(content))
-                yield pd.DataFrame(rows, columns=["feature_id", "kind", "wkt", "properties", "crs"])
-
-    return files.mapInPandas(run, SCHEMA)
-
-
 def read_csv(spark: SparkSession, path: str, crs: str = "EPSG:4326") -> DataFrame:
     """Rows whose coordinates are no numbers have no geometry; a file without any is refused by :func:`require`."""
     df = spark.read.option("header", True).csv(path)
@@ -195,34 +85,57 @@ def require(features: DataFrame) -> DataFrame:
     return features
 
 
-def read(spark: SparkSession, path: str, crs: str = "EPSG:4326") -> DataFrame:
+def parse_shapefile(data: bytes) -> list[dict]:
+    """All features of an archive's bytes."""
+    return [r for b in binary.whole(data, "shapefile", None) for r in b.to_pylist()]
+
+
+def parse_geopackage(data: bytes) -> list[dict]:
+    return [r for b in binary.whole(data, "geopackage", None) for r in b.to_pylist()]
+
+
+def read_geojson(spark: SparkSession, path: str) -> DataFrame:
+    """A feature's id is its first known property, its own id, or its place in the file."""
+    df = geojson.read(spark, path)
+    ids = [F.nullif(F.col("properties")[k], F.lit("")) for k in IDS]
+    own = F.coalesce(*ids, "id", F.concat(F.lit("feat_"), F.col("number").cast("string")))
+    crs = F.when(F.col("crs").isNull(), "EPSG:4326").otherwise(normalized(F.col("crs")))
+    return df.select(own.alias("feature_id"), "kind", "wkt", "properties", crs.alias("crs"))
+
+
+def read(spark: SparkSession, path: str, crs: str = "EPSG:4326", columns: list[str] | None = None, rows_per_task: int = 50_000) -> DataFrame:
+    """``columns``: the properties that are wanted, where not all are; binary files are read for these only."""
     kind = detect(path)
-    if kind == "csv":
-        return read_csv(spark, path, crs)
-    return _binary(spark, path, {"geojson": parse_geojson, "shapefile": parse_shapefile, "geopackage": parse_geopackage}[kind])
+    if kind in ("shapefile", "geopackage"):
+        return binary.read(spark, path, kind, columns, rows_per_task)
+    df = read_csv(spark, path, crs) if kind == "csv" else read_geojson(spark, path)
+    return df if columns is None else df.withColumn("properties", F.map_filter("properties", lambda k, _: k.isin(*columns)))
 
 
-def canonical(features: DataFrame) -> DataFrame:
-    """Geometries in EPSG:4326."""
-    @F.pandas_udf("string")
-    def moved(wkt: pd.Series, crs: pd.Series) -> pd.Series:
-        def one(w: str | None, c: str) -> str | None:
-            if w is None or c == "EPSG:4326":
-                return w
-            kind, coordinates = poly.from_wkt(w)
+_PAIR = re.compile(r"([-+.\deE]+)\s+([-+.\deE]+)(?:\s+[-+.\deE]+)*")
+
 
-            def go(p):
-                if isinstance(p[0], (int, float)):
-                    x, y = transform(p[0], p[1], c)
-                    return [float(f"{float(x):.9f}"), float(f"{float(y):.9f}")]
-                return [go(q) for q in p]
+def moved(texts: list[str], crs: str) -> list[str]:
+    """Well-known texts in EPSG:4326, to nine places; all coordinates are transformed at once."""
+    found = [_PAIR.findall(t) for t in texts]
+    pairs = np.array([(float(x), float(y)) for ps in found for x, y in ps], float).reshape(-1, 2)
+    x, y = transform(pairs[:, 0], pairs[:, 1], crs)
+    shown = iter([f"{a!r} {b!r}" for a, b in zip(np.round(x, 9).tolist(), np.round(y, 9).tolist())])
+    return [_PAIR.sub(lambda _: next(shown), t) for t in texts]
 
-            moved_ = go(coordinates)
-            return f"POINT ({moved_[0]} {moved_[1]})" if kind == "POINT" else poly.to_wkt(kind, moved_)
 
-        return pd.Series([one(w, c) for w, c in zip(wkt, crs)], dtype=object)
+def canonical(features: DataFrame) -> DataFrame:
+    """Geometries in EPSG:4326."""
 
-    return features.withColumn("wkt", moved("wkt", "crs")).withColumn("source_crs", F.col("crs")).withColumn("crs", F.lit("EPSG:4326"))
+    @F.pandas_udf("string")
+    def known(wkt: pd.Series, crs: pd.Series) -> pd.Series:
+        out = wkt.astype(object).copy()
+        for c in crs[wkt.notna() & (crs != "EPSG:4326")].unique():
+            at = np.flatnonzero((crs == c) & wkt.notna())
+            out.iloc[at] = moved(wkt.iloc[at].tolist(), c)
+        return out
+
+    return features.withColumn("wkt", known("wkt", "crs")).withColumn("source_crs", F.col("crs")).withColumn("crs", F.lit("EPSG:4326"))
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame:
