@@ -115,27 +115,27 @@ def read(spark: SparkSession, path: str, crs: str = "EPSG:4326", columns: list[s
 _PAIR = re.compile(r"([-+.\deE]+)\s+([-+.\deE]+)(?:\s+[-+.\deE]+)*")
 
 
-def moved(texts: list[str], crs: str) -> list[str]:
-    """Well-known texts in EPSG:4326, to nine places; all coordinates are transformed at once."""
+def moved(texts: list[str], crs: str, target: str = "EPSG:4326") -> list[str]:
+    """Well-known texts in another system, to nine places; all coordinates are transformed at once."""
     found = [_PAIR.findall(t) for t in texts]
     pairs = np.array([(float(x), float(y)) for ps in found for x, y in ps], float).reshape(-1, 2)
-    x, y = transform(pairs[:, 0], pairs[:, 1], crs)
+    x, y = transform(pairs[:, 0], pairs[:, 1], crs, target)
     shown = iter([f"{a!r} {b!r}" for a, b in zip(np.round(x, 9).tolist(), np.round(y, 9).tolist())])
     return [_PAIR.sub(lambda _: next(shown), t) for t in texts]
 
 
-def canonical(features: DataFrame) -> DataFrame:
-    """Geometries in EPSG:4326."""
+def canonical(features: DataFrame, target: str = "EPSG:4326") -> DataFrame:
+    """Geometries in the target's system."""
 
     @F.pandas_udf("string")
     def known(wkt: pd.Series, crs: pd.Series) -> pd.Series:
         out = wkt.astype(object).copy()
-        for c in crs[wkt.notna() & (crs != "EPSG:4326")].unique():
+        for c in crs[wkt.notna() & (crs != target)].unique():
             at = np.flatnonzero((crs == c) & wkt.notna())
-            out.iloc[at] = moved(wkt.iloc[at].tolist(), c)
+            out.iloc[at] = moved(wkt.iloc[at].tolist(), c, target)
         return out
 
-    return features.withColumn("wkt", known("wkt", "crs")).withColumn("source_crs", F.col("crs")).withColumn("crs", F.lit("EPSG:4326"))
+    return features.withColumn("wkt", known("wkt", "crs")).withColumn("source_crs", F.col("crs")).withColumn("crs", F.lit(target))
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame:
