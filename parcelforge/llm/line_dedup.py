@@ -67,10 +67,15 @@ def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
     # A counterpart of m lines begins with the window of its first line, and is no window if that is shorter.
     first = lambda e, m: e - m + 1
     backward = F.transform("back", lambda m, e: F.when((m > 0) & (F.get("ahead", first(e, m)) < m), run(F.get("chosen", first(e, m)), first(e, m), m)))
-    runs = own.select("doc", "th", "hs", "gs", F.array_compact(F.concat(forward, backward)).alias("runs"))
-    marked = runs.select("doc", "th", "hs", "gs", "runs", F.explode(F.array_distinct(F.transform("runs", lambda r: r["f"]))).alias("f"))
-    bare = F.transform(F.filter("runs", lambda r: r["f"] == F.col("f")), lambda r: F.struct(r["i"], r["e"], r["kh"], r["kg"]))
-    return marked.select("doc", "th", F.get("hs", "f").alias("h"), F.get("gs", "f").alias("g"), bare.alias("runs"))
+    # In order of their fingerprints, so that those of one are a slice.
+    runs = own.select("doc", "th", "hs", "gs", F.array_sort(F.array_compact(F.concat(forward, backward))).alias("runs"))
+    begins = F.transform("runs", lambda r, k: F.when((k == 0) | (r["f"] != F.get("runs", k - 1)["f"]), k))
+    runs = runs.withColumn("starts", F.array_compact(begins))
+    until = lambda j: F.coalesce(F.get("starts", j + 1), F.size("runs"))
+    slices = F.transform("starts", lambda k, j: F.struct(F.get("runs", k)["f"].alias("f"), F.slice("runs", k + 1, until(j) - k).alias("some")))
+    marked = runs.select("doc", "th", "hs", "gs", F.explode(slices).alias("x"))
+    bare = F.transform("x.some", lambda r: F.struct(r["i"], r["e"], r["kh"], r["kg"]))
+    return marked.select("doc", "th", F.get("hs", F.col("x.f")).alias("h"), F.get("gs", F.col("x.f")).alias("g"), bare.alias("runs"))
 
 
 def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:

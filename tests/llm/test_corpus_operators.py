@@ -579,3 +579,11 @@ def test_queries_are_registered():
 
     names = entry.queries()
     assert {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
+
+
+def test_a_long_list_of_words_loses_its_repeats(spark):
+    """64,000 lines of a word: what a fingerprint stands for is a slice, not a search of all."""
+    n = 64_000
+    text = "\n".join(f"w{k * 7919 % 100_003}" for k in range(n))
+    got = {r.doc_id: r.gone_words for r in line_dedup.dedup(spark.createDataFrame([(1, text), (2, text), (3, text[:-3])], "doc_id long, text string")).collect()}
+    assert got[1] is None and got[2] == n and n - 60 < got[3] <= n
