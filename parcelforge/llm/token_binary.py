@@ -44,6 +44,8 @@ BLOCK_BYTES = 16 << 20
 GROUP_BYTES = 6 << 20
 #: The known pieces that a worker keeps; it starts anew beyond that.
 MAX_KNOWN = 300_000
+#: Fixed value: how byte-level vocabularies spell a space.
+SPACE = "\u0120"
 #: A table of a whole vocabulary goes to the driver and to each executor; this bounds it.
 MAX_VOCABULARY = 1 << 22
 
@@ -96,6 +98,8 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         """The ids of what the pattern doesn't cut."""
         packed = self.packed
+        if piece.isascii() and piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+            return b"".join([packed[t.id] for t in self.model.tokenize(piece.replace(" ", SPACE))])
         return b"".join([packed[t.id] for t in self.model.tokenize("".join(map(self.shown, piece)))])
 
     def _part(self, part: str) -> bytes:
@@ -119,11 +123,14 @@ class Encoder:
             self.older, self.parts = self.parts, {}
         known, older = self.parts, self.older
         ids = list(map(known.get, parts))
-        part, was = self._part, older.get
+        part, was, packed, tokens = self._part, older.get, self.packed, self.model.tokenize
         for j in [j for j, got in enumerate(ids) if got is None]:
             p = parts[j]
             got = was(p)
-            known[p] = ids[j] = part(p) if got is None else got
+            if got is None:
+                # A word of ASCII letters is spelt by itself, with the model's sign for the space before it.
+                got = b"".join([packed[t.id] for t in tokens(SPACE + p[1:])]) if p[0] == " " and p[1:].isalpha() and p.isascii() else part(p)
+            known[p] = ids[j] = got
         return ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -144,15 +151,11 @@ class Encoder:
         index = coded.indices.to_numpy(zero_copy_only=False).copy()
         ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
         index[ends[odd] - 1] = first + np.arange(len(whole))
-        flat = np.frombuffer(b"".join(parts + whole), "<u4")
-        # Places fit 32 bits: a group has fewer ids than bytes, unless one text alone is larger.
-        kind = np.int32 if texts.nbytes < 1 << 30 else np.int64
-        sizes = np.array([len(x) // 4 for x in parts + whole], kind)
-        starts = np.cumsum(sizes, dtype=kind) - sizes
-        own = sizes[index]
-        upto = np.cumsum(own, dtype=kind)
-        ids = flat[np.repeat(starts[index] - (upto - own), own) + np.arange(upto[-1] if len(upto) else 0, dtype=kind)]
-        return ids, np.diff(upto[ends - 1], prepend=0)
+        every = pa.array(parts + whole, pa.large_binary()).take(pa.array(index))
+        _, offsets, data = every.buffers()
+        upto = np.frombuffer(offsets, "<i8", len(every) + 1, 8 * every.offset) // 4
+        ids = np.frombuffer(data, "<u4", upto[-1] - upto[0], 4 * upto[0]) if upto[-1] > upto[0] else np.zeros(0, "<u4")
+        return ids, np.diff(upto[ends] - upto[0], prepend=0)
 
 
 _encoders: dict[int, Encoder] = {}
