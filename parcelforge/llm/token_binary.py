@@ -129,7 +129,7 @@ class Encoder:
             got = was(p)
             if got is None:
                 # A word of ASCII letters is spelt by itself, with the model's sign for the space before it.
-                got = b"".join([packed[t.id] for t in tokens(SPACE + p[1:])]) if p[0] == " " and p[1:].isalpha() and p.isascii() else part(p)
+                got = b"".join([packed[t.id] for t in tokens(SPACE + p[1:])]) if p[:1] == " " and p[1:].isalpha() and p.isascii() else part(p)
             known[p] = ids[j] = got
         return ids
 
