@@ -1,13 +1,17 @@
-"""Distance joins of boxes as equi-joins on grid cells.
+"""Distance joins of boxes as equi-joins on grid cells of several sizes.
 
-A distance predicate alone would be planned as a nested loop.  Here both sides are spread over the cells they touch
-(one side widened by the distance), joined on the cell, and kept only in the pair's reference cell, the one of the
-larger of both minimal cells; so each pair occurs once without a distinct.  Any cell size gives the same pairs.
-Dense cells are skewed join keys, which adaptive execution splits.
+A distance predicate alone would be planned as a nested loop.  Here each box lives at a level: cells of a level are four
+times as wide as those of the one below, and a box is of the lowest level at which it spans ``SPAN`` cells at most in
+either direction.  So a box of any size touches a handful of cells.  A pair meets at the higher of its two levels: there
+each side brings boxes of its own level and smaller ones, as long as the other side has boxes of that level at all.
+It is kept only in its reference cell, the one of the larger of both minimal cells; so each pair occurs once without a
+distinct.  Any cell size gives the same pairs.  Dense cells are skewed join keys, which adaptive execution splits.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +19,32 @@ from parcelforge.functions import geo
 
 #: Metres of a degree, generously few: pairs must not be lost.
 _DEGREE = 110_000.0
+#: Cells that a box spans at most, and how many times wider the cells of the next level are.
+SPAN, STEP = 4, 4
+LEVELS = 20
+
+
+def _level(prefix: str, size: float, by_lon: Column, by_lat: Column) -> Column:
+    c = lambda n: F.col(f"{prefix}{n}")
+    extent = F.greatest(c("x2") - c("x1") + 2 * by_lon, c("y2") - c("y1") + 2 * by_lat)
+    up = F.ceil(F.ln(extent / (SPAN * size)) / math.log(STEP))
+    return F.when(extent <= SPAN * size, 0).otherwise(F.least(up, F.lit(LEVELS))).cast("int")
+
 
+def _levels(df: DataFrame, level: Column) -> Column:
+    """The levels that a side has, as a value of the whole query: a few numbers."""
+    return df.select(level.alias("level")).agg(F.collect_set("level").alias("levels")).scalar()
 
-def _cells(df: DataFrame, prefix: str, size: float, by_lon: Column, by_lat: Column) -> DataFrame:
-    at = lambda c, d: F.floor((F.col(f"{prefix}{c}") + d) / size)
-    spread = df.withColumns({f"{prefix}cx": at("x1", -by_lon), f"{prefix}cy": at("y1", -by_lat)})
+
+def _cells(df: DataFrame, prefix: str, size: float, by_lon: Column, by_lat: Column, level: Column, others: Column) -> DataFrame:
+    # A source with a null corner has no cell and no pair.
+    corners = [f"{prefix}{c}" for c in ("x1", "y1", "x2", "y2")]
+    held = df.dropna(subset=corners).withColumns({f"{prefix}own": level, f"{prefix}others": others})
+    up = F.filter(f"{prefix}others", lambda k: k > F.col(f"{prefix}own"))
+    spread = held.withColumn("_level", F.explode(F.array_union(F.array(f"{prefix}own"), up))).drop(f"{prefix}others")
+    wide = F.pow(F.lit(float(STEP)), F.col("_level")) * size
+    at = lambda c, d: F.floor((F.col(f"{prefix}{c}") + d) / wide)
+    spread = spread.withColumns({f"{prefix}cx": at("x1", -by_lon), f"{prefix}cy": at("y1", -by_lat)})
     return spread.withColumn("_cell_x", F.explode(F.sequence(f"{prefix}cx", at("x2", by_lon)))).withColumn("_cell_y", F.explode(F.sequence(f"{prefix}cy", at("y2", by_lat))))
 
 
@@ -30,11 +55,12 @@ def join(left: DataFrame, right: DataFrame, metres: float, a: str = "a_", b: str
     """
     size = cell or max(metres / _DEGREE, 0.0005)
     lat = F.greatest(F.abs(F.col(f"{a}y1")), F.abs(F.col(f"{a}y2"))) + metres / _DEGREE
-    by_lon = metres / (_DEGREE * F.greatest(F.lit(0.01), F.cos(F.radians(lat))))
-    # A source with a null corner has no cell and no pair.
-    l_ = _cells(left, a, size, by_lon, F.lit(metres / _DEGREE))
-    r_ = _cells(right, b, size, F.lit(0.0), F.lit(0.0))
-    pairs = l_.join(r_, ["_cell_x", "_cell_y"])
+    by_lon, by_lat, none = metres / (_DEGREE * F.greatest(F.lit(0.01), F.cos(F.radians(lat)))), F.lit(metres / _DEGREE), F.lit(0.0)
+    l_level, r_level = _level(a, size, by_lon, by_lat), _level(b, size, none, none)
+    l_ = _cells(left, a, size, by_lon, by_lat, l_level, _levels(right, r_level))
+    r_ = _cells(right, b, size, none, none, r_level, _levels(left, l_level))
+    own = (F.col(f"{a}own") == F.col("_level")) | (F.col(f"{b}own") == F.col("_level"))
+    pairs = l_.join(r_, ["_level", "_cell_x", "_cell_y"]).where(own)
     first = (F.col("_cell_x") == F.greatest(f"{a}cx", f"{b}cx")) & (F.col("_cell_y") == F.greatest(f"{a}cy", f"{b}cy"))
     near = pairs.where(first).withColumn("distance", geo.gap(geo.Box(a), geo.Box(b)))
-    return near.where(F.col("distance") <= metres).drop("_cell_x", "_cell_y", f"{a}cx", f"{a}cy", f"{b}cx", f"{b}cy")
+    return near.where(F.col("distance") <= metres).drop("_level", "_cell_x", "_cell_y", *(f"{p}{c}" for p in (a, b) for c in ("own", "cx", "cy")))
