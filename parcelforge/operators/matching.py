@@ -51,28 +51,25 @@ def is_point(box: geo.Box) -> Column:
     return (box.x1 == box.x2) & (box.y1 == box.y2)
 
 
-def geometry_signal(centre: Column, config: MatchConfig) -> Column:
-    """By kinds: two boxes by their intersection over union, a point within a box 1, else by the distance of centres."""
-    p, q = is_point(A), is_point(B)
-    within = lambda x, box: (x.x1 > box.x1) & (x.x1 < box.x2) & (x.y1 > box.y1) & (x.y1 < box.y2)
-    held = p & ~q & within(A, B) | q & ~p & within(B, A)
-    return F.when(~p & ~q, geo.iou(A, B)).when(held, 1.0).otherwise(scoring.proximity(centre, config.radius))
-
-
 def signals(pairs: DataFrame, attribute: Column, config: MatchConfig = MatchConfig()) -> DataFrame:
-    """The five signals of each pair of boxes or points; points have neither overlap nor area."""
-    centre = geo.centroid_distance(A.cx, A.cy, B.cx, B.cy)
-    areal = ~is_point(A) & ~is_point(B)
-    return pairs.withColumns(
-        {
-            "centroid_m": centre,
-            "spatial": F.when(areal, geo.iou(A, B)),
-            "area": F.when(areal, scoring.ratio(A.area, B.area)),
-            "centroid": scoring.proximity(centre, config.radius),
-            "geometry": geometry_signal(centre, config),
-            "attribute": attribute,
-        }
-    )
+    """The five signals of each pair of boxes or points; points have neither overlap nor area.
+
+    Geometry goes by kinds: two boxes by their intersection over union, a point within a box 1, else by the distance
+    of centres.  Kinds, overlap and centres are made once for a row; nothing is pushed through what follows, which
+    would spell them out in each filter on a score.
+    """
+    within = lambda x, box: (x.x1 > box.x1) & (x.x1 < box.x2) & (x.y1 > box.y1) & (x.y1 < box.y2)
+    p, q = is_point(A), is_point(B)
+    points = p.cast("int") + q.cast("int") * 2
+    # By far most pairs are of two boxes, which need no test of what is within what.
+    held = F.when(points == 1, within(A, B)).when(points == 2, within(B, A)).otherwise(F.lit(False))
+    made = pairs.withColumns({"centroid_m": geo.centroid_distance(A.cx, A.cy, B.cx, B.cy), "_points": points})
+    made = made.withColumns({"spatial": F.when(F.col("_points") == 0, geo.iou(A, B)), "area": F.when(F.col("_points") == 0, scoring.ratio(A.area, B.area)), "_held": held, "centroid": scoring.proximity(F.col("centroid_m"), config.radius), "attribute": attribute})
+    geometry = F.when(F.col("_points") == 0, F.col("spatial")).when(F.col("_held"), 1.0).otherwise(F.col("centroid"))
+    rest = [c for c in made.columns if c not in ("_points", "_held", "_s")]
+    barred = made.select(*rest, F.explode(F.array(geometry)).alias("geometry"))
+    order = [*pairs.columns, "centroid_m", "spatial", "area", "centroid", "geometry", "attribute"]
+    return barred.select(*dict.fromkeys(order))
 
 
 def scored(pairs: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:

@@ -149,22 +149,53 @@ def lineage(records: DataFrame) -> DataFrame:
     return out.withColumn("lineage_status", state)
 
 
+#: The kinds of nodes of a record's lineage graph, and the stage each stands for.
+NODES = {"DATASET": 1, "FEATURE": 4, "MATCH": 6, "HARMONIZATION": 7, "CONFLICT": 8, "VALIDATION": 9, "CONFIDENCE": 10, "HUMAN_REVIEW": 11, "UNIFIED_RECORD": 12, "PROVENANCE": 13}
+#: What leads from one node of a record to the next.
+CHAIN = (
+    ("match", "harmonization", "HARMONIZED_INTO"), ("harmonization", "conflict", "EVALUATED_FOR_CONFLICTS"), ("conflict", "validation", "VALIDATED_BY"), ("validation", "confidence", "SCORED_BY"),
+    ("confidence", "review", "ADJUDICATED_IN"), ("review", "unified", "SYNTHESIZED_AS"), ("unified", "provenance", "ANCHORS_LINEAGE"),
+)
+
+
+def _node(kind: str, value: Column) -> Column:
+    return F.concat(F.lit(f"{kind}_"), value.cast("string"))
+
+
 def lineage_edges(records: DataFrame) -> DataFrame:
-    """The edges of each record's lineage graph."""
-    node = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    """The edges of each record's lineage graph: its features' datasets, the pair, and the stages from match to provenance.
+
+    sources: an array of structs (feature_id, dataset_id, role) of each record; an edge from a dataset is only there
+    where that is known.
+    """
     edge = lambda a, b, kind: F.struct(a.alias("source"), b.alias("target"), F.lit(kind).alias("kind"))
-    match, record, unit = node("match", "record_id"), node("harmonized", "record_id"), node("unified", "record_id")
-    edges = F.array(
-        edge(node("feature", "a_id"), match, "SOURCE_OF"),
-        edge(node("feature", "b_id"), match, "CANDIDATE_OF"),
-        edge(match, record, "HARMONIZED_INTO"),
-        F.when(F.col("conflict_count") > 0, edge(record, node("conflicts", "record_id"), "HAS_CONFLICTS")),
-        edge(record, node("validation", "record_id"), "VALIDATED_BY"),
-        edge(node("validation", "record_id"), node("confidence", "record_id"), "SCORED_BY"),
-        F.when(F.col("decided_at").isNotNull(), edge(node("confidence", "record_id"), node("decision", "record_id"), "DECIDED_BY")),
-        edge(F.when(F.col("decided_at").isNotNull(), node("decision", "record_id")).otherwise(node("confidence", "record_id")), unit, "UNIFIED_INTO"),
+    own = F.col("record_id")
+    from_sets = F.transform(F.filter("sources", lambda x: x.dataset_id.isNotNull()), lambda x: edge(_node("dataset", x.dataset_id), _node("feature", x.feature_id), "NORMALIZED_FROM"))
+    paired = F.transform("sources", lambda x: edge(_node("feature", x.feature_id), _node("match", own), "PAIRED_IN"))
+    chain = F.array(*(edge(_node(a, own), _node(b, own), kind) for a, b, kind in CHAIN))
+    return records.select("record_id", F.explode(F.concat(from_sets, paired, chain)).alias("e")).select("record_id", "e.*")
+
+
+def lineage_nodes(records: DataFrame) -> DataFrame:
+    """The nodes of each record's lineage graph: id, type, stage and status. A dataset is a node of each record it is in."""
+    own = F.col("record_id")
+    node = lambda i, kind, status: F.struct(i.alias("id"), F.lit(kind).alias("type"), F.lit(NODES[kind]).alias("stage"), status.alias("status"))
+    done = F.lit("COMPLETED")
+    known = F.array_distinct(F.transform(F.filter("sources", lambda x: x.dataset_id.isNotNull()), lambda x: x.dataset_id.cast("string")))
+    sets = F.transform(known, lambda d: node(_node("dataset", d), "DATASET", done))
+    features = F.transform("sources", lambda x: node(_node("feature", x.feature_id), "FEATURE", done))
+    conflicts = F.when(F.col("decided_at").isNotNull(), "RESOLVED").when(F.col("conflict_count") > 0, "OPEN").otherwise("NONE")
+    rest = F.array(
+        node(_node("match", own), "MATCH", done),
+        node(_node("harmonization", own), "HARMONIZATION", done),
+        node(_node("conflict", own), "CONFLICT", conflicts),
+        node(_node("validation", own), "VALIDATION", F.coalesce("validation", F.lit("PASS"))),
+        node(_node("confidence", own), "CONFIDENCE", F.col("bucket")),
+        node(_node("review", own), "HUMAN_REVIEW", F.lit("ADJUDICATED")),
+        node(_node("unified", own), "UNIFIED_RECORD", F.col("resolution_status")),
+        node(_node("provenance", own), "PROVENANCE", F.col("lineage_status")),
     )
-    return records.select("record_id", F.explode(F.array_compact(edges)).alias("e")).select("record_id", "e.*")
+    return records.select("record_id", F.explode(F.concat(sets, features, rest)).alias("n")).select("record_id", "n.*")
 
 
 def lineage_summary(records: DataFrame) -> DataFrame:

@@ -105,13 +105,6 @@ def candidate_pairs_within(spark, d):
     return Inputs(spark, d).pairs.select("a_id", "b_id", r4("distance").alias("distance"), "overlap_pct", "is_intersecting", "is_containing", "relationship")
 
 
-@query
-def candidate_pairs_left(spark, d):
-    i = Inputs(spark, d)
-    few = i.structures.where("b_id % 3 = 0")
-    return matching.left_candidates(i.parcels, few).select("a_id", "b_id", r4("distance").alias("distance"), "relationship")
-
-
 @query
 def candidate_counters(spark, d):
     return matching.counters(Inputs(spark, d).pairs)
@@ -283,7 +276,18 @@ def lineage_completeness(spark, d):
 
 @query
 def lineage_edges(spark, d):
-    return review.lineage_edges(Inputs(spark, d).unified)
+    return review.lineage_edges(_with_sources(Inputs(spark, d).unified))
+
+
+def _with_sources(records: DataFrame) -> DataFrame:
+    """Parcels are of one dataset, structures of another."""
+    source = lambda c, name, role: F.struct(F.concat(F.lit(f"{name}-"), F.col(c).cast("string")).alias("feature_id"), F.lit(name).alias("dataset_id"), F.lit(role).alias("role"))
+    return records.withColumn("sources", F.array(source("a_id", "parcels", "CADASTRAL"), source("b_id", "structures", "DRONE")))
+
+
+@query
+def lineage_nodes(spark, d):
+    return review.lineage_nodes(_with_sources(Inputs(spark, d).lineage))
 
 
 @query
@@ -368,14 +372,6 @@ def merge_changes(spark, d):
     return merge.changes(merge.merge(_stored(i), i.conflicts.select("idempotency_key", "severity", "status"), "idempotency_key"))
 
 
-@query
-def merge_unified(spark, d):
-    i = Inputs(spark, d)
-    new = i.unified.select("record_id", "status")
-    old = i.records.where("a_id % 2 = 0").select("record_id", F.lit("OLD").alias("status"))
-    return merge.upsert(old, new.where(F.length("record_id") % 2 == 0), "record_id")
-
-
 @query
 def merge_events(spark, d):
     e = Inputs(spark, d).table("events").select("user_id", "event_type")
@@ -422,12 +418,6 @@ def dataset_compare(spark, d):
     return analysis.compare(i.parcels, i.structures)
 
 
-@query
-def unmatched_parcels(spark, d):
-    i = Inputs(spark, d)
-    return analysis.only(i.parcels, i.structures.where("b_k % 3 = 0")).select("a_id")
-
-
 @query
 def version_diff(spark, d):
     i = Inputs(spark, d)

@@ -36,7 +36,7 @@ def match_resolution_cascade(spark, d):
     i = Inputs(spark, d)
     k = F.col("p_partkey")
     records = i.table("part").select(k.alias("record_id"), F.when(k % 3 == 0, k).alias("trail_match"), F.when(k % 5 == 0, k + 7).alias("decision_match"), k.alias("x"), (k + 1).alias("y"))
-    matches = i.table("part").where("p_partkey % 2 = 0").select(k.alias("match_id"), (k * 1).alias("u"), (k + 1).alias("v"))
+    matches = i.table("part").select((k * 2).alias("match_id"), (k * 2).alias("u"), (k * 2 + 1).alias("v"))
     return cascade.resolve_match(records, matches)
 
 
@@ -122,21 +122,19 @@ def attribute_key_diff(spark, d):
 
 @query
 def candidate_pairs_left_all(spark, d):
-    """Over all structures; candidate_pairs_left takes a third of them."""
     i = Inputs(spark, d)
     return matching.left_candidates(i.parcels, i.structures).select("a_id", "b_id", F.round("distance", 4).alias("distance"), "relationship")
 
 
 @query
 def unmatched_parcels_all(spark, d):
-    """Against all structures; unmatched_parcels takes a third of them."""
     i = Inputs(spark, d)
     return analysis.only(i.parcels, i.structures).select("a_id")
 
 
 @query
 def merge_unified_all(spark, d):
-    """All unified records over an earlier state; merge_unified takes those of an even length of record_id."""
+    """All unified records over an earlier state."""
     i = Inputs(spark, d)
     old = i.records.where("a_id % 2 = 0").select("record_id", F.lit("OLD").alias("status"))
     return merge.upsert(old, i.unified.select("record_id", "status"), "record_id")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 from parcelforge.functions import text
-from parcelforge.operators import assistant as words
 from parcelforge.operators.attributes import AUTHORITY
 from parcelforge.operators.harmonize import INCOMPATIBLE
 from parcelforge.operators.review import STAGES
@@ -153,23 +152,40 @@ def sql(final: str) -> str:
     return (f"with {recursive}" + ",\n".join(f"{n} as ({CTE[n]})" for n in names) + "\n" if names else "") + final
 
 
+#: Fixed values of questions, stated here once more so that a wrong one is not wrong on both sides.
+_SPATIAL_WORDS = ("within", "near", "proximity", "200m", "100m", "distance", "radius")
+_DISPUTE_WORDS = ("conflict", "unresolved", "sources disagree", "what sources", "discrepancies")
+_HOTSPOT_WORDS = ("where are unresolved conflicts concentrated", "where are conflicts concentrated", "conflict concentration", "conflict density", "high-conflict areas", "conflict hotspots", "conflicts concentrated")
+_COMPARE_WORDS = ("compare the cadastral and drone", "compare cadastral and drone", "compare datasets", "dataset comparison", "cadastral vs drone", "overlap difference", "cadastral and drone datasets")
+_ANALYSIS_WORDS = ("overlap drone structures", "parcels overlap", "which cadastral parcels overlap", "find parcels within", "within 100 meters", "municipal assets", "buffer analysis", "find intersections", "containment analysis")
+_INVESTIGATE_WORDS = ("final value determined", "complete investigation", "detailed report", "lineage and conflict", "discrepancies and provenance", "multi-step", "full report", "comprehensive analysis")
+_FINAL_WORDS = ("final value", "how was it determined", "lineage", "timeline and conflict")
+_CONFLICT_WORDS = ("conflict", "discrepancy", "mismatch", "incompatible", "why is this flagged", "why was it resolved", "attribute conflict", "unresolved")
+_NEAR_WORDS = ("near", "nearby", "proximity", "distance", "within", "radius", "meters", "around", "coords", "lat", "lon")
+_TRACE_WORDS = ("provenance", "history", "timeline", "audit", "lineage", "who accepted", "who reviewed", "trace", "trail")
+_CONCEPT_WORDS = ("semantic", "rag", "concept", "meaning", "related documents", "knowledge base")
+_ATTRIBUTE_WORDS = ("find", "search", "residential", "commercial", "agricultural", "zoning", "land use", "owner", "address", "show all")
+_OVERVIEW_WORDS = ("overview", "summary", "how many", "status", "what is this project", "project summary", "dataset count", "progress")
+_COORDINATES = r"[-+]?\d+\.\d+[\s,]+[-+]?\d+\.\d+"
+_IDENTIFIER = r"\b(ulr|cad|drn)[-_][a-z0-9]+\b"
+
+
 def _intent() -> str:
     q = "lower(text)"
     any_ = lambda ws: "(" + " or ".join(f"contains({q}, '{w}')" for w in ws) + ")"
     rules = [
-        (f"{any_(words.SPATIAL_WORDS)} and {any_(words.DISPUTE_WORDS)}", "COMPLEX_SPATIAL_INVESTIGATION"),
-        (any_(words.HOTSPOT_WORDS), "SPATIAL_CONFLICT_ANALYSIS"),
-        (any_(words.VERSION_WORDS), "VERSION_COMPARISON"),
-        (f"{any_(words.COMPARE_WORDS)} or ({any_(('compare',))} and {any_(('dataset',))})", "DATASET_COMPARISON"),
-        (any_(words.ANALYSIS_WORDS), "SPATIAL_ANALYSIS"),
-        (f"{any_(words.INVESTIGATE_WORDS)} or ({any_(('why is', 'how was'))} and {any_(words.FINAL_WORDS)})", "COMPLEX_INVESTIGATION"),
-        (any_(words.CONFLICT_WORDS), "CONFLICT_EXPLANATION"),
-        (f"{any_(words.NEAR_WORDS)} or regexp_matches({q}, '{words.COORDINATES}')", "SPATIAL_PROXIMITY"),
-        (any_(words.TRACE_WORDS), "PROVENANCE_TRACE"),
-        (any_(words.CONCEPT_WORDS), "SEMANTIC_SEARCH"),
-        (f"regexp_matches({q}, '{words.IDENTIFIER}')", "RECORD_INVESTIGATION"),
-        (any_(words.ATTRIBUTE_WORDS), "ATTRIBUTE_SEARCH"),
-        (any_(words.OVERVIEW_WORDS), "PROJECT_OVERVIEW"),
+        (f"{any_(_SPATIAL_WORDS)} and {any_(_DISPUTE_WORDS)}", "COMPLEX_SPATIAL_INVESTIGATION"),
+        (any_(_HOTSPOT_WORDS), "SPATIAL_CONFLICT_ANALYSIS"),
+        (f"{any_(_COMPARE_WORDS)} or ({any_(('compare',))} and {any_(('dataset',))})", "DATASET_COMPARISON"),
+        (any_(_ANALYSIS_WORDS), "SPATIAL_ANALYSIS"),
+        (f"{any_(_INVESTIGATE_WORDS)} or ({any_(('why is', 'how was'))} and {any_(_FINAL_WORDS)})", "COMPLEX_INVESTIGATION"),
+        (any_(_CONFLICT_WORDS), "CONFLICT_EXPLANATION"),
+        (f"{any_(_NEAR_WORDS)} or regexp_matches({q}, '{_COORDINATES}')", "SPATIAL_PROXIMITY"),
+        (any_(_TRACE_WORDS), "PROVENANCE_TRACE"),
+        (any_(_CONCEPT_WORDS), "SEMANTIC_SEARCH"),
+        (f"regexp_matches({q}, '{_IDENTIFIER}')", "RECORD_INVESTIGATION"),
+        (any_(_ATTRIBUTE_WORDS), "ATTRIBUTE_SEARCH"),
+        (any_(_OVERVIEW_WORDS), "PROJECT_OVERVIEW"),
     ]
     return "case " + " ".join(f"when {t} then '{n}'" for t, n in rules) + " else 'GENERAL_GIS_QUERY' end"
 
@@ -177,8 +193,6 @@ def _intent() -> str:
 _KIND = "case when contains(lower(source), 'cadastral') or contains(lower(source), 'registry') then 'cadastral' when contains(lower(source), 'drone') or contains(lower(source), 'uav') or contains(lower(source), 'ortho') then 'drone' when contains(lower(source), 'municipal') or contains(lower(source), 'asset') then 'infrastructure' else 'other' end"
 _WEIGHT = "case " + " ".join(f"when attribute = '{a}' and kind = '{k}' then {w}" for a, by in AUTHORITY.items() for k, w in by.items()) + " else 0.5 end::double"
 _STAGES = ", ".join(f"({k + 1}, '{s}')" for k, s in enumerate(STAGES))
-_EDGE = lambda a, b, kind, where="true": f"select record_id, {a} as source, {b} as target, '{kind}' as kind from unified where {where}"
-_N = lambda kind, c="record_id": f"'{kind}:' || {c}"
 _SIM = """(case when {x} is null or {y} is null then null when try_cast({x} as double) is not null and try_cast({y} as double) is not null then 1 - abs(try_cast({x} as double) - try_cast({y} as double)) / greatest(abs(try_cast({x} as double)), abs(try_cast({y} as double)))
   when lower(trim({x})) = lower(trim({y})) then 1.0 when contains(trim({x}), ' ') or contains(trim({y}), ' ')
   then len(list_intersect(regexp_extract_all(lower({x}), '\\w+'), regexp_extract_all(lower({y}), '\\w+'))) / len(list_distinct(list_concat(regexp_extract_all(lower({x}), '\\w+'), regexp_extract_all(lower({y}), '\\w+')))) else 0.0 end)"""
@@ -186,7 +200,6 @@ _sim = lambda x, y: _SIM.replace("{x}", x).replace("{y}", y)
 
 FINAL = {
     "candidate_pairs_within": "select a_id, b_id, round(distance, 4) as distance, overlap_pct, is_intersecting, is_containing, relationship from pairs",
-    "candidate_pairs_left": "select p.a_id, q.b_id, round(q.distance, 4) as distance, q.relationship from parcels p left join (select * from pairs where b_id % 3 = 0) q using (a_id)",
     "candidate_counters": "select count(*) as pairs, count(distinct a_id) as sources, count(*) filter (where relationship = 'CONTAINMENT') as containment, count(*) filter (where relationship = 'OVERLAP') as overlap, count(*) filter (where relationship = 'PROXIMITY') as proximity from pairs",
     "centroid_candidates": f"select a_id, b_id, round({_CENTRE}, 3) as centroid_m from near_ where a_x1 - 0.0005 <= b_x2 and a_x2 + 0.0005 >= b_x1 and a_y1 - 0.0005 <= b_y2 and a_y2 + 0.0005 >= b_y1 and ({_CENTRE} <= 50 or {_TOUCH})",
     "match_signals": "select a_id, b_id, round(spatial, 4) as spatial, round(area, 4) as area, round(centroid, 4) as centroid, round(geometry, 4) as geometry, round(attribute, 4) as attribute from signals",
@@ -226,14 +239,33 @@ FINAL = {
     "lineage_completeness": "select record_id, completeness_pct, lineage_status, missing from lineage",
     "lineage_edges": " union all ".join(
         (
-            _EDGE(_N("feature", "a_id"), _N("match"), "SOURCE_OF"),
-            _EDGE(_N("feature", "b_id"), _N("match"), "CANDIDATE_OF"),
-            _EDGE(_N("match"), _N("harmonized"), "HARMONIZED_INTO"),
-            _EDGE(_N("harmonized"), _N("conflicts"), "HAS_CONFLICTS", "conflict_count > 0"),
-            _EDGE(_N("harmonized"), _N("validation"), "VALIDATED_BY"),
-            _EDGE(_N("validation"), _N("confidence"), "SCORED_BY"),
-            _EDGE(_N("confidence"), _N("decision"), "DECIDED_BY", "decided_at is not null"),
-            _EDGE("case when decided_at is not null then 'decision:' else 'confidence:' end || record_id", _N("unified"), "UNIFIED_INTO"),
+            "select record_id, 'dataset_parcels' as source, 'feature_parcels-' || a_id as target, 'NORMALIZED_FROM' as kind from unified",
+            "select record_id, 'dataset_structures', 'feature_structures-' || b_id, 'NORMALIZED_FROM' from unified",
+            "select record_id, 'feature_parcels-' || a_id, 'match_' || record_id, 'PAIRED_IN' from unified",
+            "select record_id, 'feature_structures-' || b_id, 'match_' || record_id, 'PAIRED_IN' from unified",
+            "select record_id, 'match_' || record_id, 'harmonization_' || record_id, 'HARMONIZED_INTO' from unified",
+            "select record_id, 'harmonization_' || record_id, 'conflict_' || record_id, 'EVALUATED_FOR_CONFLICTS' from unified",
+            "select record_id, 'conflict_' || record_id, 'validation_' || record_id, 'VALIDATED_BY' from unified",
+            "select record_id, 'validation_' || record_id, 'confidence_' || record_id, 'SCORED_BY' from unified",
+            "select record_id, 'confidence_' || record_id, 'review_' || record_id, 'ADJUDICATED_IN' from unified",
+            "select record_id, 'review_' || record_id, 'unified_' || record_id, 'SYNTHESIZED_AS' from unified",
+            "select record_id, 'unified_' || record_id, 'provenance_' || record_id, 'ANCHORS_LINEAGE' from unified",
+        )
+    ),
+    "lineage_nodes": " union all ".join(
+        (
+            "select record_id, 'dataset_parcels' as id, 'DATASET' as type, 1 as stage, 'COMPLETED' as status from lineage",
+            "select record_id, 'dataset_structures', 'DATASET', 1, 'COMPLETED' from lineage",
+            "select record_id, 'feature_parcels-' || a_id, 'FEATURE', 4, 'COMPLETED' from lineage",
+            "select record_id, 'feature_structures-' || b_id, 'FEATURE', 4, 'COMPLETED' from lineage",
+            "select record_id, 'match_' || record_id, 'MATCH', 6, 'COMPLETED' from lineage",
+            "select record_id, 'harmonization_' || record_id, 'HARMONIZATION', 7, 'COMPLETED' from lineage",
+            "select record_id, 'conflict_' || record_id, 'CONFLICT', 8, case when decided_at is not null then 'RESOLVED' when conflict_count > 0 then 'OPEN' else 'NONE' end from lineage",
+            "select record_id, 'validation_' || record_id, 'VALIDATION', 9, coalesce(validation, 'PASS') from lineage",
+            "select record_id, 'confidence_' || record_id, 'CONFIDENCE', 10, bucket from lineage",
+            "select record_id, 'review_' || record_id, 'HUMAN_REVIEW', 11, 'ADJUDICATED' from lineage",
+            "select record_id, 'unified_' || record_id, 'UNIFIED_RECORD', 12, resolution_status from lineage",
+            "select record_id, 'provenance_' || record_id, 'PROVENANCE', 13, lineage_status from lineage",
         )
     ),
     "provenance_list_page": "select count(*) as total, count(*) filter (where lineage_status = 'COMPLETE') as complete, count(*) filter (where lineage_status = 'PARTIAL') as partial, count(*) filter (where lineage_status = 'QUARANTINED') as quarantined, round(avg(completeness_pct), 2) as average_completeness from lineage",
@@ -250,7 +282,6 @@ FINAL = {
     "component_members": "select component, count(*) as size, string_agg(node::varchar, ',' order by node) as nodes from comp_ group by 1",
     "merge_idempotent": "select idempotency_key, severity, status, change from merged_",
     "merge_changes": "select change, count(*) as n from merged_ group by 1",
-    "merge_unified": "select record_id, 'OLD' as status from records where a_id % 2 = 0 and length(record_id) % 2 <> 0 union all select record_id, status from unified where length(record_id) % 2 = 0",
     "merge_events": "select distinct user_id, event_type from events",
     "proximity_nearest_ref": "select a_id, b_id, metres from nearest",
     "knn_assets": f"select a_id, b_id, metres, rank from (select p.b_id as a_id, q.b_id, round({_hav('p.b_x1', 'p.b_y1', 'q.b_x1', 'q.b_y1')}, 2) as metres, row_number() over (partition by p.b_id order by round({_hav('p.b_x1', 'p.b_y1', 'q.b_x1', 'q.b_y1')}, 2), q.b_id) as rank from points p, points q) where rank <= 5",
@@ -258,7 +289,6 @@ FINAL = {
     "containment_pairs": f"select a_id, b_id from near_ where {_HOLDS}",
     "buffer_hits": "select a_id, b_id from parcels cross join points where sqrt(pow((a_x1 + a_x2) / 2 - b_x1, 2) + pow((a_y1 + a_y2) / 2 - b_y1, 2)) <= 60 / (111320.0 * greatest(0.2, cos(radians((a_y1 + a_y2) / 2))))",
     "dataset_compare": f"select count(*) as pairs, (select count(*) from parcels) - count(distinct a_id) as a_only, (select count(*) from structures) - count(distinct b_id) as b_only from near_ where {_TOUCH}",
-    "unmatched_parcels": f"select a_id from parcels where a_id not in (select a_id from near_ where {_TOUCH} and b_k % 3 = 0)",
     "version_diff": """select id, case when o is null then 'ADDED' when n is null then 'REMOVED' when abs(area_delta) > 0.5 or shift_m > 0.5 or fields <> '' then 'CHANGED' else 'UNCHANGED' end as change, area_delta, case when o is not null and n is not null then shift_m end as shift_m, case when o is not null and n is not null then fields end as changed_fields from diff_""",
     "spatial_statistics": f"""select features, area_m2, round(area_m2 / 10000, 4) as hectares, 100.0::double as valid_pct, min_x, min_y, max_x, max_y from (select count(*) as features, sum(round({_SERIES(_AA, _CX[1])}, 2)::decimal(20, 2))::double as area_m2,
       round(min(a_x1), 6) as min_x, round(min(a_y1), 6) as min_y, round(max(a_x2), 6) as max_x, round(max(a_y2), 6) as max_y from parcels)""",

@@ -13,7 +13,7 @@ _STATE = "case length(record_id) % 3 when 0 then 'RESOLVED' when 1 then 'OPEN' e
 FINAL = {
     "polygon_overlap": f"select a_id, b_id, round({oracle._IOU}, 4) as iou from pairs where {oracle._TOUCH}",
     "latest_review": "select user_id, arg_max(event_type, struct_pack(t := ts, e := event_id)) as decision, count(*) as reviews from events group by 1",
-    "match_resolution_cascade": """with r as (select p_partkey as record_id, case when p_partkey % 3 = 0 then p_partkey end as t, case when p_partkey % 5 = 0 then p_partkey + 7 end as c from part), m as (select p_partkey as id from part where p_partkey % 2 = 0)
+    "match_resolution_cascade": """with r as (select p_partkey as record_id, case when p_partkey % 3 = 0 then p_partkey end as t, case when p_partkey % 5 = 0 then p_partkey + 7 end as c from part), m as (select p_partkey * 2 as id from part)
       select record_id, coalesce(a.id, b.id, p.id) as match_id, case when a.id is not null then 'trail' when b.id is not null then 'decision' when p.id is not null then 'pair' end as found_by from r left join m a on a.id = t left join m b on b.id = c left join m p on p.id = record_id""",
     "record_geometry_winner": f"select record_id, m.r as role, m.f as feature_id from (select record_id, min(struct_pack(o := o, f := attribute, r := role)) as m from (select *, list_position(['CADASTRAL', 'DRONE', 'MUNICIPAL', 'OTHER'], role) as o from (select *, {_ROLE} as role from vals)) group by 1)",
     "record_status_transition": f"select record_id, case when bool_or(o) then 'CONFLICT' else 'ACTIVE' end as record_status, count(*) filter (where o) as material from (select record_id, {_STATE} = 'OPEN' and severity <> 'LOW' as o from conflicts) group by 1",

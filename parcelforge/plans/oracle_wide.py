@@ -29,7 +29,6 @@ FINAL = {
     "project_deleted": "select 'parcels' as kind, 'p' || a_id % 3 as state, count(*) as n from parcels where a_id % 3 <> 2 group by 2 union all select 'assets', 'p' || id % 3, count(*) from assets where id % 3 <> 2 group by 2",
     "project_overview": f"select 'records' as kind, status as state, count(*) as n from unified group by 2 union all select 'conflicts', severity, count(*) from conflicts group by 2 union all select 'runs', status, count(*) from runs group by 2 union all select 'decisions', action, count(*) from ({fx.DECISIONS}) group by 2",
     "latest_dataset_features": "select event_id, user_id as dataset_id, user_id || ':' || event_type as version_id from events where (user_id, event_type) in (select user_id, max(event_type) from events group by 1)",
-    "synthetic_parcels": "select format('CP-{:04d}', k + 1) as parcel_id, 'Owner ' || k * 7 % 23 as owner_name, ['Residential', 'Commercial', 'Agricultural', 'Industrial', 'Public'][k % 5 + 1] as land_use, round(73.85::double + (k % 10) * 0.00095::double, 6) as x1, round(18.52::double + (k // 10) * 0.00075::double + 0.0006::double, 6) as y2 from range(80) t(k)",
     "asset_match_scored": f"""with s as (select a_id, b_id, centroid, case when b_x1 > a_x1 and b_x1 < a_x2 and b_y1 > a_y1 and b_y1 < a_y2 then 1.0::double else centroid end as geometry
       from (select *, greatest(0.0::double, 1 - {oracle._CENTRE} / 50) as centroid from (select *, {oracle._GAP} as distance from parcels join points on a_x1 - 0.001 <= b_x2 and a_x2 + 0.001 >= b_x1 and a_y1 - 0.001 <= b_y2 and a_y2 + 0.001 >= b_y1) where distance <= 50)),
       t as (select *, round((0.20::double * centroid + 0.15::double * geometry + 0.10::double * 0.5) / (0.20::double + 0.15::double + 0.10::double), 4) as score from s)

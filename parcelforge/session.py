@@ -13,6 +13,8 @@ CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM does not compile methods above this size of code: such a stage is better run operator by operator.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Column expressions are many here; the place of each need not be looked up while it is made.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

@@ -211,13 +211,44 @@ def test_plans(spark):
     got = {r.question_id: (r.target, r.reference, r.metres, r.analysis) for r in language.spatial_plans(asked, data).collect()}
     assert got[1] == ("Cadastral Parcels", "Municipal Assets", 2000.0, "proximity")
     assert got[2] == got[3] == (None, None, 100.0, "proximity")
-    assert got[4] == ("Municipal Assets", "Cadastral Parcels", 100.0, "intersection")
+    # Without "which", "find" or "show" a question about parcels and assets is about parcels.
+    assert got[4] == ("Cadastral Parcels", "Municipal Assets", 100.0, "intersection")
     rated = {r.name: r.confidence for r in language.scores(spark.createDataFrame([("p", "parcels")], "project_id string, phrase string"), data).collect()}
     assert rated == {"Cadastral Parcels": 1.0, "Municipal Assets": 0.0}
     assert assistant.distance_of("300 ft") == pytest.approx(91.44)
     assert assistant.coordinates_of("at 18.52, 73.85") == (18.52, 73.85)
 
 
+def test_plans_take_all_forms(spark):
+    data = spark.createDataFrame([("p", "Cadastral Parcels", "Polygon", ["parcel_id"]), ("p", "Municipal Assets", "Point", ["asset_id"]), ("p", "Drone Structures", "Polygon", []), ("one", "Wards", "Polygon", [])], "project_id string, name string, geometry string, attributes array<string>")
+    asked = {
+        "which structures overlap parcels": ("Drone Structures", "Cadastral Parcels", 100.0, "intersection", 1.0, False),
+        "show assets near 250 m of parcels": ("Municipal Assets", "Cadastral Parcels", 250.0, "proximity", 1.0, False),
+        "parcels along a corridor of 75": ("Cadastral Parcels", None, 75.0, "buffer", 1.0, False),
+        "compare the drone survey, 5 km": (None, "Drone Structures", 5000.0, "comparison", 0.5, True),
+        "closest structures to a municipal pole": ("Drone Structures", "Municipal Assets", 100.0, "nearest", 1.0, False),
+        "parcel conflicts concentrated": ("Cadastral Parcels", None, 100.0, "conflicts", 1.0, False),
+        "find parcels within 40 m of land parcels": ("Cadastral Parcels", None, 40.0, "proximity", 1.0, False),
+        "how is the weather": (None, None, 100.0, "proximity", 0.5, True),
+    }
+    rows = [(q, "p", q) for q in asked] + [("sole", "one", "how is the weather"), ("nobody", "none", "parcels")]
+    got = {r.question_id: r for r in language.spatial_plans(spark.createDataFrame(rows, "question_id string, project_id string, question string"), data).collect()}
+    for question, want in asked.items():
+        r = got[question]
+        assert (r.target, r.reference, r.metres, r.analysis, r.confidence, r.ambiguous) == want, question
+    assert (got["sole"].target, got["sole"].confidence, got["sole"].ambiguous) == ("Wards", 0.85, False)
+    assert (got["nobody"].target, got["nobody"].confidence, got["nobody"].ambiguous) == (None, 0.5, False)
+    assert got["how is the weather"].clarification == "Please specify which dataset you want to inspect: Cadastral Parcels, Drone Structures, Municipal Assets."
+
+
+def test_intents_know_what_is_at_hand(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("hello", True, False), ("hello", False, True), ("find it", False, True), ("version diff", None, None), ("who accepted it", None, True)], "q string, c boolean, r boolean")
+    got = [r.i for r in df.select(assistant.intent("q", F.col("c"), F.col("r")).alias("i")).collect()]
+    assert got == ["CONFLICT_EXPLANATION", "RECORD_INVESTIGATION", "ATTRIBUTE_SEARCH", "GENERAL_GIS_QUERY", "PROVENANCE_TRACE"]
+
+
 def test_embeddings(spark):
     v = assistant.embed("cadastral parcel boundary")
     assert len(v) == 384 and np.linalg.norm(v) == pytest.approx(1, abs=1e-4)
