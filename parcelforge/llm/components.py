@@ -25,7 +25,9 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         discard(labels)
         if done:
             discard(both)
-            return hooked.select("node", "root")
+            out = hooked.select("node", "root")
+            out._shared_path = hooked._shared_path
+            return out
         of = hooked.select(F.col("node").alias("root"), F.col("root").alias("far"))
         labels = materialize(hooked.select("node", "root").join(of, "root").select("node", F.least("root", "far").alias("root")), "cc-labels", True)
         discard(hooked)
