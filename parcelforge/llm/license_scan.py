@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelforge.llm.common import pieces
+from parcelforge.llm.common import pieces, quoted
 
 BASE_PHRASES = {
     "gnu general public license": "gpl",
@@ -205,7 +205,7 @@ SPAN = "array<struct<template:int,label:string,start:bigint,end:bigint,cover:dou
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", *, phrases: dict[str, str] = BASE_PHRASES, templates=TEMPLATES, min_run: int = 3, min_cover: float = 0.8) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and the covered spans of each row."""
-    narrow = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").cast("binary").alias("data"))
+    narrow = docs.select(quoted(key).alias("doc_id"), quoted(text).cast("string").cast("binary").alias("data"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
     scanner = docs.sparkSession.sparkContext.broadcast(Scanner(phrases, templates, min_run, min_cover))  # as large as the templates
     span = pa.list_(pa.struct([("template", pa.int32()), ("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("cover", pa.float64())]))

@@ -13,7 +13,8 @@ which documents come before that.  Only the sources' counts and one hyperperiod
 source come from counts of hash buckets, so that no source, however large, has to be sorted by one task.
 
 Defined results: a null source is a source of its own; documents of a source are ordered by a hash of id and content,
-so that ties are settled and only rows that are the same in all columns are interchangeable; documents without id
+so that ties are settled and only rows that are the same in all columns are interchangeable; a source without a weight,
+or with one that is not above 0 and finite, is refused by name, a weight without a source has no effect; documents without id
 have a place as well; an empty table gives an empty result; extra columns pass through whatever their names.
 """
 
@@ -43,6 +44,13 @@ def shares(counts: Mapping[str, int], weights: Mapping[str, float] | None = None
     Without ``weights`` they are the whole square roots of the counts, which evens out large and small sources.
     """
     names = sorted(counts)
+    if weights is not None:
+        lacking = [s.removeprefix("=") if s else None for s in names if s not in weights]
+        if lacking:
+            raise ValueError(f"no weight is given for the source {lacking[0]!r}")
+        odd = [s for s in names if not 0 < float(weights[s]) < float("inf")]
+        if odd:
+            raise ValueError(f"the weight of {odd[0].removeprefix('=')!r} must be above 0 and finite")
     raw = {s: Fraction(isqrt(counts[s])) if weights is None else Fraction(str(weights[s])) for s in names}
     if any(w <= 0 for w in raw.values()):
         raise ValueError("weights must be above 0")

@@ -27,6 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from parcelforge.llm.common import quoted
 
 SPACE = "▁"
 LONG = 256
@@ -335,9 +338,16 @@ class Codec:
 def with_ids(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text", algorithm: str | None = None, ids: bool = True, also: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, ids, n_tokens, ids_crc32, round_trip) of every row; round_trip: decoding gives the text again.
 
-    also: columns of ``docs`` that are returned as well.
+    also: columns of ``docs`` that are returned as well; one that has the name of a result gets underscores before it.
+    A null text is empty, a document without id has ids as well, and repeated rows are encoded one by one.
     """
-    narrow = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *also)
+    own = ["doc_id", "n_tokens", "ids_crc32", "round_trip", *(["ids"] if ids else [])]
+    shown: list[str] = []
+    for name in also:
+        while name.lower() in {n.lower() for n in (*own, *shown)}:
+            name = "_" + name
+        shown.append(name)
+    narrow = docs.select(quoted(key).cast("bigint").alias("doc_id"), F.coalesce(quoted(text).cast("string"), F.lit("")).alias("text"), *(quoted(c).alias(f"more{j}") for j, c in enumerate(also)))
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # the model file: as large as its vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,12 +366,14 @@ def with_ids(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "te
                         columns.append(pa.array([x.astype(np.int32) for x in coded], pa.list_(pa.int32())))
                         names.append("ids")
                     columns += [batch.column(2 + j).slice(low, k + 1 - low) for j in range(len(also))]
-                    names += also
+                    names += shown
                     yield pa.RecordBatch.from_arrays(columns, names=names)
                     size, low = 0, k + 1
 
-    more = "".join(f", `{c}` {narrow.schema[c].dataType.simpleString()}" for c in also)
-    return narrow.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, round_trip boolean" + (", ids array<int>" if ids else "") + more)
+    fields = [T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType())]
+    fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))] if ids else []
+    fields += [T.StructField(n, f.dataType) for n, f in zip(shown, narrow.schema.fields[2:])]
+    return narrow.mapInArrow(run, T.StructType(fields))
 
 
 def decoded(coded: DataFrame, model: bytes) -> DataFrame:
@@ -385,7 +397,7 @@ def _model() -> bytes:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return with_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), _model(), ids=False)
+    return with_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), _model())
 
 
 def stage(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
