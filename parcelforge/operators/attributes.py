@@ -21,17 +21,21 @@ def multi_source(values: DataFrame, relative: float = 0.05, absolute: float = 1.
     """Conflicts of (record_id, attribute, source, value): NUMERIC_DIFFERENCE, VALUE_MISMATCH or NULL_VALUE_CONFLICT.
 
     Numbers conflict when they differ by more than ``absolute`` and by more than ``relative`` of the larger one.
+    Addresses that are all part of the longest one are the same, more or less detailed, and no conflict.
     """
     clean = values.withColumn("v", text_value("value")).withColumn("x", F.col("v").try_cast("double"))
     by = clean.groupBy("record_id", "attribute").agg(
         F.count("*").alias("sources"), F.count("v").alias("filled"), F.count("x").alias("numbers"),
         F.count_distinct(F.lower("v")).alias("different"), F.min("x").alias("low"), F.max("x").alias("high"),
+        # As many as a record has sources.
+        F.collect_set(F.when(F.col("attribute") == "address", F.lower("v"))).alias("addresses"), F.max_by(F.lower("v"), F.length("v")).alias("longest"),
     )
     gap = F.col("high") - F.col("low")
     top = F.greatest(F.abs("high"), F.abs("low"))
     numeric = (F.col("numbers") >= 2) & (F.col("numbers") == F.col("filled"))
     apart = numeric & (gap > absolute) & (gap / top > relative)
-    kind = F.when(apart, "NUMERIC_DIFFERENCE").when(~numeric & (F.col("different") > 1), "VALUE_MISMATCH").when((F.col("filled") > 0) & (F.col("filled") < F.col("sources")), "NULL_VALUE_CONFLICT")
+    detailed = ~numeric & (F.col("different") > 1) & (F.col("attribute") == "address") & F.forall("addresses", lambda a: F.contains(F.col("longest"), a))
+    kind = F.when(apart, "NUMERIC_DIFFERENCE").when(detailed, F.lit(None).cast("string")).when(~numeric & (F.col("different") > 1), "VALUE_MISMATCH").when((F.col("filled") > 0) & (F.col("filled") < F.col("sources")), "NULL_VALUE_CONFLICT")
     out = by.withColumn("conflict_type", kind).where(F.col("conflict_type").isNotNull())
     return out.select("record_id", "attribute", "conflict_type", "sources", "different", F.when(numeric, F.round(gap, 2)).alias("gap"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parcelforge.functions import geo, poly, scoring, text
-from parcelforge.operators import analysis, attributes, cascade, matching, merge
+from parcelforge.operators import assistant, analysis, attributes, cascade, matching, merge
 from parcelforge.plans import fixtures as fx
 from parcelforge.plans.catalog import QUERIES, Inputs, query
 
@@ -85,7 +85,23 @@ def merge_validation(spark, d):
 @query
 def suggested_questions(spark, d):
     i = Inputs(spark, d)
-    return cascade.suggestions(i.unified)
+    return cascade.suggestions(i.unified.select(F.col("conflict_count").alias("unresolved")))
+
+
+@query
+def record_questions(spark, d):
+    return cascade.record_suggestions(Inputs(spark, d).unified.select("record_id", "status", F.col("conflict_count").alias("unresolved")))
+
+
+@query
+def answer_grounding(spark, d):
+    """Answers about orders, and evidence that some of them name by identifier, part of it, attribute or dataset."""
+    o = Inputs(spark, d).table("orders")
+    answers = o.select(F.col("o_orderkey").alias("answer_id"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" has priority "), "o_orderpriority", F.lit(" in Sales.")).alias("answer"))
+    place = lambda k, i, ds, at: F.struct(F.lit(k).alias("place"), i.alias("identifier"), F.lit(ds).cast("string").alias("dataset_name"), F.lit(at).cast("string").alias("attribute_name"))
+    pool = F.array(place(1, F.col("o_orderkey").cast("string"), None, None), place(2, F.concat(F.lit("X"), F.col("o_custkey").cast("string"), F.lit(":URGENT")), None, None), place(3, F.concat(F.lit("status-"), F.col("o_orderstatus")), "sales", None), place(4, F.lit("none"), None, "Priority"), place(5, F.lit("nothing"), "Survey", "area"))
+    evidence = o.where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("answer_id"), F.explode(pool).alias("e")).select("answer_id", "e.*")
+    return assistant.grounded(answers, evidence).select("answer_id", "score", F.size("cited").alias("n"), F.array_join("cited", ";").alias("cited"))
 
 
 @query
