@@ -50,7 +50,12 @@ CTE = {
     "runs": fx.RUNS,
     "v1": fx.VERSION_1,
     "v2": fx.VERSION_2,
-    "near_": f"select *, {_GAP} as distance from parcels join structures on a_x1 - 0.001 <= b_x2 and a_x2 + 0.001 >= b_x1 and a_y1 - 0.001 <= b_y2 and a_y2 + 0.001 >= b_y1",
+    # Joined on the cell of a structure's corner, which is in exactly one; no structure is as wide as a cell.
+    "near_": f"""select * exclude (cx, cy, bx, by_), {_GAP} as distance from
+      (select *, unnest(range(floor((a_y1 - 0.002) / 0.001)::bigint, floor((a_y2 + 0.001) / 0.001)::bigint + 1)) as cy from
+        (select *, unnest(range(floor((a_x1 - 0.002) / 0.001)::bigint, floor((a_x2 + 0.001) / 0.001)::bigint + 1)) as cx from parcels)) join
+      (select *, floor(b_x1 / 0.001)::bigint as bx, floor(b_y1 / 0.001)::bigint as by_ from structures) on cx = bx and cy = by_
+      and a_x1 - 0.001 <= b_x2 and a_x2 + 0.001 >= b_x1 and a_y1 - 0.001 <= b_y2 and a_y2 + 0.001 >= b_y1""",
     "pairs": f"""select *, coalesce(round({_OVER} / nullif(least({_AA}, {_BA}), 0) * 100, 1), 0) as overlap_pct, {_TOUCH} as is_intersecting, {_HOLDS} as is_containing,
       case when {_HOLDS} or {_HELD} then 'CONTAINMENT' when {_TOUCH} then 'OVERLAP' else 'PROXIMITY' end as relationship from near_ where distance <= 50""",
     "signals": f"""select *, {_IOU} as spatial, least({_AA}, {_BA}) / greatest({_AA}, {_BA}) as area, {_CENTRE} as centroid_m, greatest(0.0::double, 1 - {_CENTRE} / 50) as centroid,
