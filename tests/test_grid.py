@@ -38,3 +38,11 @@ def test_a_province_makes_a_handful_of_rows(spark):
     rows = grid._cells(few, "a_", 0.0005, none, none, level, F.array(F.lit(0)))
     assert {r.a_id: r["count"] for r in rows.groupBy("a_id").count().collect()}[1] <= (grid.SPAN + 1) ** 2
     assert grid.join(few, few.toDF("b_id", "b_x1", "b_y1", "b_x2", "b_y2"), 10.0).count() == 4
+
+
+def test_cells_are_not_broadcast(spark):
+    """However small the files are, a side is as large as the rows its cells make, which the driver would hold."""
+    a, _ = boxes(spark, "a_", 20, 1, [0.0003])
+    b, _ = boxes(spark, "b_", 20, 2, [0.0003])
+    plan = grid.join(a, b, 50.0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
