@@ -23,11 +23,13 @@ FINAL = {
       select record_id || ':' || attribute as key, case when numeric_ and high - low > 1 and (high - low) / greatest(abs(high), abs(low)) > 0.05 then 'NUMERIC_DIFFERENCE' when not numeric_ and different > 1 then 'VALUE_MISMATCH' when filled > 0 and filled < sources then 'NULL_VALUE_CONFLICT' end as conflict_type
       from (select *, numbers >= 2 and numbers = filled as numeric_ from multi_)) where conflict_type is not null""",
     "merge_validation": "select 'p1:' || record_id as key, overall as status from checked",
-    "suggested_questions": """with n as (select count(*) as total, coalesce(sum(conflict_count), 0) as open from unified) select (row_number() over (order by k) - 1)::int as place, question from (
+    "suggested_questions": """with n as (select count(*) as total, coalesce(sum(conflict_count), 0) as open, count(*) filter (where status = 'CONFLICT') as c, count(*) filter (where status = 'INCOMPLETE') as i, count(*) filter (where decision = 'AUTO_CONFIRMED') as u from unified) select (row_number() over (order by k) - 1)::int as place, question from (
       select 1 as k, 'Provide an executive overview of this project and harmonization status.' as question union all select 2, 'Find parcels within 100 meters of municipal assets.' union all select 3, 'Which cadastral parcels overlap drone structures?'
       union all select 4, 'Where are unresolved conflicts concentrated?' union all select 5, 'Compare the cadastral and drone datasets.' union all select 6, 'What changed between dataset versions?'
       union all select 7, 'Find parcels within 200m of municipal assets with conflicts and suggest what should be reviewed.' from n where open > 0
-      union all select 8, case when total > 0 then 'Find all parcels with commercial or residential land use.' else 'What datasets have been ingested and what are their spatial coordinate reference systems?' end from n)""",
+      union all select 8, case when total > 0 then 'Find all parcels with commercial or residential land use.' else 'What datasets have been ingested and what are their spatial coordinate reference systems?' end from n
+      union all select 9, 'Why are ' || c || ' records in conflict?' from n where c > 0 union all select 10, 'Which records are incomplete?' from n where i > 0
+      union all select 11, 'Which of the ' || u || ' confirmed records were not reviewed?' from n where u > 0 union all select 12, 'Give me an overview of the project.' from n where total > 0)""",
     "record_questions": """select record_id, 0 as place, 'What datasets and source features contributed to record ' || record_id || '?' as question from unified union all select record_id, 1, 'What is the complete provenance and audit trail for ' || record_id || '?' from unified
       union all select record_id, 2, case when status = 'CONFLICT' or conflict_count > 0 then 'Why is ' || record_id || ' flagged with attribute conflicts and suggest how it should be resolved?' else 'Find other unified records within 100 meters of ' || record_id || '.' end from unified""",
     "answer_grounding": """with cited as (select o_orderkey, 1 as p, o_orderkey::varchar as i from orders where o_orderkey % 7 <> 0 and length(o_orderkey::varchar) > 0
