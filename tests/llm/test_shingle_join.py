@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from parcelforge.llm import shingle_join
+from parcelforge.llm import common, shingle_join
 
 
 def words_of(text):
@@ -119,3 +120,18 @@ def test_pipeline_stage_drops_copies_with_edited_words(spark):
     stay = corpus_pipeline.near_duplicates(spark, df, "")
     assert stay.columns == df.columns
     assert {r.doc_id for r in stay.collect()} == {0, 21}
+
+
+def test_stored_jobs_leave_no_shuffle_files(spark):
+    """Not even while the driver still holds their frames: at size they would add up on the disks."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {n for n in (files.apply(k).getName() for k in range(files.size())) if n.startswith("shuffle_")}
+
+    held, before = spark.conf.get(common._CLEANUP, None), shuffles()
+    df = spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count()
+    assert common.materialize(df, "shuffled").count() == 7 and spark.conf.get(common._CLEANUP, None) == held
+    # Those that stay are of the count itself, one row each.
+    assert len({n.split("_")[1] for n in shuffles() - before}) <= 1
