@@ -109,6 +109,8 @@ class Model:
         self.exact = {p: (k, s) for k, p, s in own}
         self.text = [p for p, _, _ in pieces]
         self.types = [t for _, _, t in pieces]
+        # What each id stands for in UTF-8.  A piece begins with a whole character, so bytes before it end there.
+        self.raw = [bytes([int(p[3:5], 16)]) if t == 6 else " ⁇ ".encode() if t == 2 else p.encode() for p, _, t in pieces]
 
     def probe(self, h: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         """Places of the pieces of these hashes and lengths, -1 for none."""
@@ -172,11 +174,16 @@ def viterbi(model: Model, words: list[str]) -> list[list[tuple[int, int]]]:
 
 def merge(model: Model, words: list[str]) -> list[list[tuple[int, int]]]:
     """BPE: at each step the adjacent pair of the best score (of equal ones the first) of every word is merged."""
+    return [[(s, e) for s, e in enumerate(row) if e] for row in merged(model, words)[1].tolist()]
+
+
+def merged(model: Model, words: list[str]) -> tuple[Sums, np.ndarray]:
+    """The words' hashes, and where the symbol that starts at each place ends; 0: none starts there."""
     n, many = len(words[0]), len(words)
-    if n == 1:
-        return [[(0, 1)]] * many
     sums = Sums(words)
-    ends = np.tile(np.arange(1, n + 1), (many, 1))  # where the symbol that starts at a place ends; 0: none starts
+    if n == 1:
+        return sums, np.ones((many, 1), np.int64)
+    ends = np.tile(np.arange(1, n + 1), (many, 1))
     before = np.tile(np.arange(-1, n - 1), (many, 1))  # where the symbol before it starts
     value = np.full((many, n), -np.inf)  # of the pair that starts at a place
     h = sums.h[:, 2:] - sums.h[:, :-2] * _POWERS[2]
@@ -203,7 +210,7 @@ def merge(model: Model, words: list[str]) -> list[list[tuple[int, int]]]:
             e = ends[r, m]
             got = model.probe(sums.of(r, s, e), e - s)
             value[r, s] = np.where(got >= 0, model.scores[got], -np.inf)
-    return [[(s, e) for s, e in enumerate(row) if e] for row in ends.tolist()]
+    return sums, ends
 
 
 # ------------------------------------------------------------------ long words
@@ -289,7 +296,22 @@ class Codec:
             step = max(1, (1 << 21) // (n * (n if self.algorithm == "merge" else self.model.longest)))
             for k in range(0, len(some), step):
                 part = some[k : k + step]
-                self.known.update((w, self._ids(w, spans)) for w, spans in zip(part, self.equal(self.model, part)))
+                if self.algorithm == "merge":
+                    self._remember(part)
+                else:
+                    self.known.update((w, self._ids(w, spans)) for w, spans in zip(part, self.equal(self.model, part)))
+
+    def _remember(self, words: list[str]) -> None:
+        """The ids of merged words of equal length, found together; words with a character that is no piece one by one."""
+        m = self.model
+        sums, ends = merged(m, words)
+        rows, start = np.nonzero(ends)
+        end = ends[rows, start]
+        at = m.probe(sums.of(rows, start, end), end - start)
+        data, cuts = m.ids[at].astype("<u4").tobytes(), (4 * np.searchsorted(rows, np.arange(len(words) + 1))).tolist()
+        self.known.update((w, data[a:b]) for w, a, b in zip(words, cuts, cuts[1:]))
+        for k in np.unique(rows[at < 0]).tolist():
+            self.known[words[k]] = self._ids(words[k], [(s, e) for s, e in enumerate(ends[k].tolist()) if e])
 
     def normal(self, text: str) -> str:
         marked = text.replace(" ", SPACE)
@@ -302,6 +324,8 @@ class Codec:
         if not self.model.by_word:
             return [self.normal(text)]
         first, *rest = self.normal(text).split(SPACE)
+        if all(rest):
+            return [first] * bool(first) + [SPACE + x for x in rest]
         out, marks = [first] if first else [], 0
         for x in rest:
             marks += 1
@@ -312,26 +336,20 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.words(t) for t in texts]
+        every: dict[str, None] = {}
+        for ws in split:
+            every.update(dict.fromkeys(ws))
         if len(self.known) > MAX_KNOWN:
-            self.known = {}
+            # Words that are met again are likely to be met later on.
+            self.known = {w: self.known[w] for w in every.keys() & self.known.keys()}
         known = self.known
-        self.learn([w for w in dict.fromkeys(w for ws in split for w in ws) if w not in known])
+        self.learn([w for w in every if w not in known])
         return [np.frombuffer(b"".join([known[w] for w in ws]), "<u4") for ws in split]
 
     def decode(self, ids: np.ndarray) -> str:
         """Pieces joined, bytes put together, the mark turned into a space, the leading one dropped."""
-        m, out, raw = self.model, [], bytearray()
-        for k in ids.tolist():
-            if m.types[k] == 6:
-                raw.append(int(m.text[k][3:5], 16))
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw = bytearray()
-            out.append(m.text[k] if m.types[k] != 2 else " ⁇ ")
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
+        m = self.model
+        text = b"".join(map(m.raw.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if m.prefix and text.startswith(" ") else text
 
 
@@ -363,7 +381,8 @@ def with_ids(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "te
                     columns = [docs_.slice(low, k + 1 - low), pa.array([len(x) for x in coded], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in coded], pa.int64()), pa.array(same, pa.bool_())]
                     names = ["doc_id", "n_tokens", "ids_crc32", "round_trip"]
                     if ids:
-                        columns.append(pa.array([x.astype(np.int32) for x in coded], pa.list_(pa.int32())))
+                        ends = np.cumsum([0, *map(len, coded)]).astype(np.int32)
+                        columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(coded).astype(np.int32))))
                         names.append("ids")
                     columns += [batch.column(2 + j).slice(low, k + 1 - low) for j in range(len(also))]
                     names += shown

@@ -97,3 +97,18 @@ def test_lists_equal_a_plain_covering(seed):
         want = plain_list([{f: float(x[f][k]) for f in x} for k in range(n)], bad.tolist(), **options)
         assert got == want
         assert got or seed == 2
+
+
+def test_pieces_of_common_words_outlive_a_full_memory(monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(sentencepiece_codec, "MAX_KNOWN", 3)
+    data = sentencepiece_codec._model()
+    codec, library = sentencepiece_codec.Codec(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+    learnt, held = [], codec.learn
+    codec.learn = lambda words: (learnt.append(sorted(words)), held(words))
+    texts = ["the cat the dog", "a new \U0001f9ff͸ word  of the cat", "one more of the cat", " ", "", "x▁y é‍\U00010348 a"]
+    for t in texts:
+        ids = codec.encode([t])[0]
+        assert ids.tolist() == library.encode(t) and codec.decode(ids) == library.decode(ids.tolist())
+    assert learnt[2] == ["▁more", "▁of", "▁one"]
