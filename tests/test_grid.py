@@ -46,3 +46,18 @@ def test_cells_are_not_broadcast(spark):
     b, _ = boxes(spark, "b_", 20, 2, [0.0003])
     plan = grid.join(a, b, 50.0)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_a_box_makes_few_rows_and_none_where_nothing_can_meet_it(spark):
+    """Parcels are three to four smallest cells wide with the radius; structures are of a lower level than all parcels."""
+    at = [(k, 73 + k * 0.00095, 18.0, 73.0008 + k * 0.00095, 18.0006) for k in range(50)]
+    a = spark.createDataFrame(at, "a_id int, a_x1 double, a_y1 double, a_x2 double, a_y2 double")
+    b = spark.createDataFrame([(k, x, y, x + 0.0005, y + 0.0004) for k, x, y, *_ in at], "b_id int, b_x1 double, b_y1 double, b_x2 double, b_y2 double")
+    wide, none = F.lit(50 / 110_000.0), F.lit(0.0)
+    l_level, r_level = grid._level("a_", 0.0005, wide, wide), grid._level("b_", 0.0005, none, none)
+    left = grid._cells(a, "a_", 0.0005, wide, wide, l_level, grid._levels(b, "b_", r_level))
+    right = grid._cells(b, "b_", 0.0005, none, none, r_level, grid._levels(a, "a_", l_level))
+    assert left.count() <= 50 * 5 and right.count() <= 50 * 3
+    # A box without a corner is of no level.
+    lost = a.unionByName(a.limit(1).withColumn("a_x1", F.lit(None).cast("double")))
+    assert spark.range(1).select(grid._levels(lost, "a_", l_level).alias("l")).first().l == [1]
