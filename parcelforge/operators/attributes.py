@@ -24,12 +24,14 @@ def multi_source(values: DataFrame, relative: float = 0.05, absolute: float = 1.
     Addresses that are all part of the longest one are the same, more or less detailed, and no conflict.
     """
     clean = values.withColumn("v", text_value("value")).withColumn("x", F.col("v").try_cast("double"))
-    by = clean.groupBy("record_id", "attribute").agg(
-        F.count("*").alias("sources"), F.count("v").alias("filled"), F.count("x").alias("numbers"),
-        F.count_distinct(F.lower("v")).alias("different"), F.min("x").alias("low"), F.max("x").alias("high"),
-        # As many as a record has sources.
-        F.collect_set(F.when(F.col("attribute") == "address", F.lower("v"))).alias("addresses"), F.max_by(F.lower("v"), F.length("v")).alias("longest"),
-    )
+    # Dealt once: the counts of different values and those over them need no shuffle of their own then.
+    held = clean.select("record_id", "attribute", F.lower("v").alias("l"), F.length("v").alias("length"), "x").repartition("record_id", "attribute")
+    once = held.groupBy("record_id", "attribute", "l").agg(F.count("*").alias("n"), F.count("x").alias("xs"), F.min("x").alias("low"), F.max("x").alias("high"), F.max("length").alias("length"))
+    counts = lambda df, *more: df.groupBy("record_id", "attribute").agg(F.sum("n").alias("sources"), F.sum(F.when(F.col("l").isNotNull(), F.col("n")).otherwise(0)).alias("filled"), F.sum("xs").alias("numbers"), F.count("l").alias("different"), F.min("low").alias("low"), F.max("high").alias("high"), *more)
+    address = F.col("attribute").eqNullSafe("address")
+    # Texts are only gathered for addresses, as many as a record has sources.
+    texts = counts(once.where(address), F.collect_list("l").alias("addresses"), F.max_by("l", "length").alias("longest"))
+    by = counts(once.where(~address)).withColumns({"addresses": F.lit(None).cast("array<string>"), "longest": F.lit(None).cast("string")}).unionByName(texts)
     gap = F.col("high") - F.col("low")
     top = F.greatest(F.abs("high"), F.abs("low"))
     numeric = (F.col("numbers") >= 2) & (F.col("numbers") == F.col("filled"))

@@ -2,10 +2,11 @@
 
 import re
 
+import pytest
 from conftest import DATA
 
-from parcelforge.operators import matching
-from parcelforge.plans import catalog
+from parcelforge.operators import attributes, matching
+from parcelforge.plans import catalog, catalog_files, catalog_wide
 
 
 def exchanges(spark, df):
@@ -29,3 +30,26 @@ def test_detailed_gives_each_match_the_columns_of_its_sources(spark):
     m = spark.createDataFrame([(1, 8, "x", 0.5), (2, 7, None, 0.4)], "a_id int, b_id int, a_use string, score double")
     got = matching.detailed(m, a, b).select("a_id", "b_id", "a_use", "b_use", "score")
     assert sorted(map(tuple, got.collect())) == [(1, 8, "x", "z", 0.5), (2, 7, None, "y", 0.4)]
+
+
+def test_several_values_of_a_record_are_shuffled_once(spark):
+    rows = spark.createDataFrame([(1, "owner", "s", "Ann"), (1, "owner", "t", "ann"), (1, "owner", "u", None), (2, None, "s", "x"), (2, None, "t", "y"), (3, "address", "s", "1 Long Street"), (3, "address", "t", "long street"), (4, "address", "s", "a"), (4, "address", "t", "b")], "record_id int, attribute string, source string, value string")
+    found = attributes.multi_source(rows.where("attribute <> 'address' or attribute is null"))
+    # Once for addresses and once for the others, which are told apart by a filter.
+    dealt = [keys for _, keys in exchanges(spark, found)]
+    assert len(dealt) <= 2 and all("REPARTITION_BY_COL" in keys for keys in dealt)
+    assert sorted(map(tuple, attributes.multi_source(rows).collect())) == [(1, "owner", "NULL_VALUE_CONFLICT", 3, 1, None), (2, None, "VALUE_MISMATCH", 2, 2, None), (4, "address", "VALUE_MISMATCH", 2, 2, None)]
+
+
+@pytest.mark.parametrize("name", ["merge_idempotent", "merge_validation", "merge_unified_all", "evidence_bundles"])
+def test_records_are_made_once(spark, name):
+    """Stages of one query that follow from the records read them as stored: its plan holds no distance join."""
+    assert not any("_cell_x" in keys for _, keys in exchanges(spark, catalog_wide.QUERIES[name](spark, DATA)))
+
+
+@pytest.mark.parametrize("name", ["merge_validation", "merge_unified_all", "evidence_bundles", "export_records"])
+def test_stored_records_are_not_broadcast(spark, name):
+    """A stored table's files tell little of how many rows a few of its columns are."""
+    # Decisions, by a_id, are a table of their own.
+    query = catalog_files.QUERIES[name] if name in catalog_files.QUERIES else catalog_wide.QUERIES[name]
+    assert "BroadcastHashJoin" not in query(spark, DATA)._jdf.queryExecution().executedPlan().toString().replace("BroadcastHashJoin [a_id", "")
