@@ -38,7 +38,7 @@ def checked(decisions: DataFrame, items: DataFrame) -> DataFrame:
     items: (record_id, a_id, b_id, match_id, critical, validation_status, confidence, conflict_count).
     """
     last = decisions.groupBy("record_id").agg(F.max_by(F.struct(*(c for c in decisions.columns if c != "record_id")), F.struct("decided_at", "action")).alias("d")).select("record_id", "d.*")
-    out = last.join(items.select("record_id", "a_id", "b_id", "match_id", F.coalesce("critical", F.lit(False)).alias("critical"), F.coalesce("validation_status", F.lit("PASS")).alias("validation_status"), "confidence", "conflict_count"), "record_id", "left")
+    out = last.join(items.select("record_id", "a_id", "b_id", "match_id", F.coalesce("critical", F.lit(False)).alias("critical"), F.coalesce("validation_status", F.lit("PASS")).alias("validation_status"), "confidence", "conflict_count").hint("merge"), "record_id", "left")
     rejected = F.col("action") == "REJECT_UNRESOLVED"
     attributes = F.when(F.col("action") == "MERGE_RECONCILE", F.map_filter("attributes", lambda k, _: k.isin(*MERGE_FIELDS)))
     return out.withColumns(
@@ -72,7 +72,7 @@ def adjudicate(run: Run, decisions: DataFrame, items: DataFrame) -> DataFrame:
     if "conflicts" in run.tables:
         state = F.when(F.col("review") == "ACCEPTED", "RESOLVED").otherwise("UNRESOLVED")
         names = run.read("conflicts").columns
-        settled = run.read("conflicts").drop("status").join(known.select("record_id", state.alias("status")), "record_id").select(*names)
+        settled = run.read("conflicts").drop("status").join(known.select("record_id", state.alias("status")).hint("merge"), "record_id").select(*names)
         run.merge("conflicts", stored(settled, "decisions-conflicts"), ["conflict_id"])
     comment = F.concat(F.lit("Stage 11 ["), "action", F.lit("]"), F.when(F.col("notes") != "", F.concat(F.lit(": "), "notes")).otherwise(""))
     asked = known.where("match_id is not null").select("match_id", F.col("review").alias("decision"), comment.alias("comment"), F.lit(None).cast("string").alias("reviewer_id"), F.col("decided_at").alias("created_at"))

@@ -55,7 +55,7 @@ def records(rows: DataFrame, sources: DataFrame, conflicts: DataFrame, record_id
     n = lambda s: F.count_if(F.col("status") == s)
     states = conflicts.groupBy("record_id").agg(F.count("*").alias("conflicts"), n("UNRESOLVED").alias("unresolved"), n("RESOLVED").alias("resolved"), n("DISMISSED").alias("dismissed"))
     none, zero = F.array().cast("array<string>"), F.lit(0).cast("bigint")
-    out = rows.join(by, "record_id", "left").join(states, "record_id", "left")
+    out = rows.join(by.hint("merge"), "record_id", "left").join(states.hint("merge"), "record_id", "left")
     count = lambda c: F.coalesce(c, zero)
     state = F.when(count("unresolved") > 0, "UNRESOLVED_CONFLICTS").when((count("resolved") > 0) | (count("dismissed") > 0), "RESOLVED").otherwise("NO_CONFLICTS")
     properties = F.struct(
