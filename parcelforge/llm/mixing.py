@@ -16,11 +16,15 @@ Defined results: a null source is a source of its own; documents of a source are
 so that ties are settled and only rows that are the same in all columns are interchangeable; a source without a weight,
 or with one that is not above 0 and finite, is refused by name, a weight without a source has no effect; documents without id
 have a place as well; an empty table gives an empty result; extra columns pass through whatever their names.
+
+:func:`stage` decides on the schedule and leaves it with its result, as metadata of the source column, which files and
+shuffles keep; :func:`places` gives the rows their places by it.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 from collections.abc import Mapping
 from fractions import Fraction
 from math import isqrt, lcm
@@ -36,6 +40,8 @@ MOST_SLOTS = 1 << 18
 BUCKET = 2048
 #: The columns that :func:`mix` adds.
 PLACES = ("block", "slot", "rank_in_source", "in_target")
+#: The metadata's name of the schedule.
+SCHEDULE = "mixing"
 
 
 def shares(counts: Mapping[str, int], weights: Mapping[str, float] | None = None, most_slots: int = MOST_SLOTS) -> tuple[dict[str, int], int]:
@@ -98,21 +104,35 @@ def schedule(share: dict[str, int], slots: int) -> dict[str, list[int]]:
     return out
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, *, block: int = 100, most_slots: int = MOST_SLOTS, seed: int = 8, key: str = "doc_id", source: str = "source", names: tuple[str, ...] = PLACES) -> DataFrame:
+def _code(source: str):
+    """A source as text that is never null, so that a join needs no other partitioning than a window over it."""
+    return F.coalesce(F.concat(F.lit("="), quoted(source).cast("string")), F.lit(""))
+
+
+def decide(docs: DataFrame, weights: Mapping[str | None, float] | None = None, *, block: int = 100, most_slots: int = MOST_SLOTS, source: str = "source") -> dict:
+    """The schedule: documents and slots of each source, the hyperperiod's slots, and the size of a block."""
+    # One row for each source.
+    counts = {r[0]: r[1] for r in docs.groupBy(_code(source).alias("code")).agg(F.count("*")).collect()}
+    share, slots = shares(counts, weights and {"" if s is None else f"={s}": w for s, w in weights.items()}, most_slots) if counts else ({}, 0)
+    return {"counts": counts, "share": share, "slots": slots, "block": block}
+
+
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, *, block: int = 100, most_slots: int = MOST_SLOTS, seed: int = 8, key: str = "doc_id", source: str = "source", names: tuple[str, ...] = PLACES, made: dict | None = None) -> DataFrame:
     """``docs`` with the number of their block in its source, the block's slot, their rank within the source, and whether
-    that is before the first empty slot; under ``names``, in place of columns of those names."""
+    that is before the first empty slot; under ``names``, in place of columns of those names.
+
+    made: a schedule of :func:`decide`, which is then not decided here.
+    """
     spark = docs.sparkSession
+    made = made or decide(docs, weights, block=block, most_slots=most_slots, source=source)
+    counts, share, slots, block = (made[k] for k in ("counts", "share", "slots", "block"))
     kept = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
     code, h, own_rank, bucket, number = unused(docs, "pf_source", "pf_h", "pf_own", "pf_bucket", "pf_number")
     blocks_of, share_of, ahead_of, at_slot = unused(docs, "pf_buckets", "pf_share", "pf_ahead", "pf_slot")
-    # A key that is never null, so that the join below needs no other partitioning than the window.
-    named = docs.withColumns({code: F.coalesce(F.concat(F.lit("="), quoted(source).cast("string")), F.lit("")), h: F.xxhash64(quoted(key).cast("string"), F.lit(seed), row_hash(docs))})
-    # One row for each source.
-    counts = {r[0]: r[1] for r in named.groupBy(code).agg(F.count("*")).collect()}
+    named = docs.withColumns({code: _code(source), h: F.xxhash64(quoted(key).cast("string"), F.lit(seed), row_hash(docs))})
     if not counts:
         kinds = zip(names, ("bigint", "bigint", "bigint", "boolean"))
         return docs.select(*map(quoted, kept), *(F.lit(None).cast(t).alias(c) for c, t in kinds))
-    share, slots = shares(counts, weights and {"" if s is None else f"={s}": w for s, w in weights.items()}, most_slots)
     places = schedule(share, slots)
     # The first slot that a source leaves empty.
     slot_of = lambda s, i: i // share[s] * slots + places[s][i % share[s]]
@@ -120,7 +140,9 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, *, b
     # A source's buckets are ranges of the hash, as many as its size asks for; a bucket starts where those before it end.
     order = {s: k for k, s in enumerate(sorted(counts))}
     sizes = spark.createDataFrame([(s, order[s], -(-n // BUCKET), share[s]) for s, n in counts.items()], f"{code} string, {number} bigint, {blocks_of} bigint, {share_of} bigint")
-    dealt = named.join(F.broadcast(sizes), code)
+    dealt = named.join(F.broadcast(sizes), code, "left")
+    # A source that the schedule doesn't know is not left out.
+    dealt = dealt.withColumn(blocks_of, F.coalesce(blocks_of, F.raise_error(F.concat(F.lit("not in the schedule: the source "), F.coalesce(quoted(source).cast("string"), F.lit("null")))).cast("bigint")))
     at = F.floor((F.shiftrightunsigned(h, 1).cast("double") / float(1 << 63)) * F.col(blocks_of))
     bucketed = dealt.withColumn(bucket, F.least(at, F.col(blocks_of) - 1)).drop(blocks_of)
     held = materialize(bucketed.groupBy(code, bucket).agg(F.count("*").alias("n")), "mix-buckets", True)
@@ -137,11 +159,23 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, *, b
     return placed.select(*map(quoted, kept), *(v.alias(n) for v, n in zip(values, names)))
 
 
-def stage(docs: DataFrame, weights: Mapping[str | None, float] | None = None, **options) -> DataFrame:
-    """The rows of ``docs`` in the order of the schedule, over all partitions and within each."""
+def stage(docs: DataFrame, weights: Mapping[str | None, float] | None = None, *, block: int = 100, most_slots: int = MOST_SLOTS, source: str = "source", **options) -> DataFrame:
+    """The rows of ``docs`` in the order of the schedule, over all partitions and within each, and with the schedule."""
+    made = decide(docs, weights, block=block, most_slots=most_slots, source=source)
     names = tuple(unused(docs, *(f"pf_{n}" for n in PLACES)))
-    out = mix(docs, weights, names=names, **options)
-    return out.repartitionByRange(names[1], names[2]).sortWithinPartitions(names[1], names[2]).select(*map(quoted, docs.columns))
+    out = mix(docs, source=source, names=names, made=made, **options)
+    ordered = out.repartitionByRange(names[1], names[2]).sortWithinPartitions(names[1], names[2])
+    kept = {f.name: f.metadata for f in docs.schema if f.name.lower() == source.lower()}
+    held = lambda c: quoted(c).alias(c, metadata=kept[c] | {SCHEDULE: json.dumps(made)}) if c in kept else quoted(c)
+    return ordered.select(*map(held, docs.columns))
+
+
+def places(docs: DataFrame, *, source: str = "source", **options) -> DataFrame:
+    """What :func:`mix` returns, by the schedule that :func:`stage` has left with the documents."""
+    made = next((f.metadata[SCHEDULE] for f in docs.schema if f.name.lower() == source.lower() and SCHEDULE in f.metadata), None)
+    if made is None:
+        raise ValueError("the documents have no schedule: the mixing stage comes first")
+    return mix(docs, source=source, made=json.loads(made), **options)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
+import pytest
 from parcelforge.llm import mixing
 
 
@@ -46,3 +47,21 @@ def test_last_stage_returns_slots_that_hold_the_weights(spark):
     blocks = Counter(s for s, _ in {(r.source, r.block) for r in got if r.in_target})
     assert all(abs(blocks[s] - end * share[s] / period) < 1 for s in share)
     assert abs(blocks["hot"] - end * counts["hot"] / 9000) > 1
+
+
+def test_last_stage_follows_what_the_mixing_stage_decided(spark, tmp_path):
+    """Weights and blocks of the mixing stage hold in the last stage's result, also of files that are read again."""
+    rows = [(k, f"text {k}", "en", ["a", "b", None][k % 3], 6) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    weights = {"a": 7, "b": 2, None: 1}
+    mixing.stage(df, weights, block=10).write.parquet(str(tmp_path / "mixed"))
+    docs = spark.read.parquet(str(tmp_path / "mixed"))
+    assert docs.columns == df.columns
+    got = corpus_pipeline.pieces(spark, docs.repartition(3), "").select("doc_id", *mixing.PLACES)
+    want = mixing.mix(df, weights, block=10).select("doc_id", *mixing.PLACES)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    with pytest.raises(ValueError, match="no schedule"):
+        corpus_pipeline.pieces(spark, df, "")
+    other = docs.unionByName(spark.createDataFrame([(600, "t", "en", "new", 1)], df.schema))
+    with pytest.raises(Exception, match="not in the schedule: the source new"):
+        mixing.places(other).collect()
