@@ -5,8 +5,9 @@ import re
 import pytest
 from conftest import DATA
 
-from parcelforge.operators import attributes, matching
+from parcelforge.operators import attributes, graph, matching
 from parcelforge.plans import catalog, catalog_files, catalog_wide
+from parcelforge.session import stored
 
 
 def exchanges(spark, df):
@@ -53,3 +54,20 @@ def test_stored_records_are_not_broadcast(spark, name):
     # Decisions, by a_id, are a table of their own.
     query = catalog_files.QUERIES[name] if name in catalog_files.QUERIES else catalog_wide.QUERIES[name]
     assert "BroadcastHashJoin" not in query(spark, DATA)._jdf.queryExecution().executedPlan().toString().replace("BroadcastHashJoin [a_id", "")
+
+
+#: Queries over pairs of boxes, whose sides are as large as the rows that their cells make.
+OVER_PAIRS = [
+    "candidate_pairs_within",
+]
+
+
+@pytest.mark.parametrize("name", OVER_PAIRS)
+def test_nothing_is_broadcast_where_pairs_are_made(spark, monkeypatch, name):
+    """The driver would hold what is broadcast; files tell little of its size."""
+    made = []
+    monkeypatch.setattr(graph, "stored", lambda df, label: made.append(df) or stored(df, label))
+    made.append(catalog_wide.QUERIES[name](spark, DATA))
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in made]
+    over_pairs = [p for p in plans if "_cell_x" in p]
+    assert over_pairs and not any("Broadcast" in p for p in over_pairs)
