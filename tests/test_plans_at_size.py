@@ -59,6 +59,7 @@ def test_stored_records_are_not_broadcast(spark, name):
 #: Queries over pairs of boxes, whose sides are as large as the rows that their cells make.
 OVER_PAIRS = [
     "candidate_pairs_within",
+    "centroid_candidates",
 ]
 
 
