@@ -60,6 +60,7 @@ def test_stored_records_are_not_broadcast(spark, name):
 OVER_PAIRS = [
     "candidate_pairs_within",
     "centroid_candidates",
+    "component_members",
 ]
 
 
