@@ -61,6 +61,7 @@ OVER_PAIRS = [
     "candidate_pairs_within",
     "centroid_candidates",
     "component_members",
+    "components",
 ]
 
 
