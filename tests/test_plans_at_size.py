@@ -62,6 +62,7 @@ OVER_PAIRS = [
     "centroid_candidates",
     "component_members",
     "components",
+    "components_assigned",
 ]
 
 
@@ -74,3 +75,11 @@ def test_nothing_is_broadcast_where_pairs_are_made(spark, monkeypatch, name):
     plans = [df._jdf.queryExecution().executedPlan().toString() for df in made]
     over_pairs = [p for p in plans if "_cell_x" in p]
     assert over_pairs and not any("Broadcast" in p for p in over_pairs)
+
+
+def test_components_and_records_are_not_broadcast_to_each_other(spark):
+    found = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (5, 5)], "node bigint, component bigint")
+    earlier = spark.createDataFrame([(2, "R2"), (1, "R1"), (4, "R4")], "node bigint, record string")
+    out = graph.assign(found, earlier)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [(1, "R1", 1), (3, "R4", 0), (5, None, 0)]
