@@ -63,6 +63,7 @@ OVER_PAIRS = [
     "component_members",
     "components",
     "components_assigned",
+    "demo_review_seed",
 ]
 
 
