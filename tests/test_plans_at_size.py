@@ -64,6 +64,7 @@ OVER_PAIRS = [
     "components",
     "components_assigned",
     "demo_review_seed",
+    "explanation_text",
 ]
 
 
