@@ -65,6 +65,7 @@ OVER_PAIRS = [
     "components_assigned",
     "demo_review_seed",
     "explanation_text",
+    "match_best_page",
 ]
 
 
