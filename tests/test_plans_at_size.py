@@ -66,6 +66,7 @@ OVER_PAIRS = [
     "demo_review_seed",
     "explanation_text",
     "match_best_page",
+    "match_filtered_page",
 ]
 
 
