@@ -67,6 +67,7 @@ OVER_PAIRS = [
     "explanation_text",
     "match_best_page",
     "match_filtered_page",
+    "match_list_page",
 ]
 
 
