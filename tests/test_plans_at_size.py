@@ -68,6 +68,7 @@ OVER_PAIRS = [
     "match_best_page",
     "match_filtered_page",
     "match_list_page",
+    "match_ranked",
 ]
 
 
