@@ -69,6 +69,7 @@ OVER_PAIRS = [
     "match_filtered_page",
     "match_list_page",
     "match_ranked",
+    "match_scored",
 ]
 
 
