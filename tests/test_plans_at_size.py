@@ -70,6 +70,7 @@ OVER_PAIRS = [
     "match_list_page",
     "match_ranked",
     "match_scored",
+    "match_scored_stage",
 ]
 
 
