@@ -71,6 +71,7 @@ OVER_PAIRS = [
     "match_ranked",
     "match_scored",
     "match_scored_stage",
+    "match_signals",
 ]
 
 
