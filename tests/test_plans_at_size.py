@@ -72,6 +72,7 @@ OVER_PAIRS = [
     "match_scored",
     "match_scored_stage",
     "match_signals",
+    "match_table_page",
 ]
 
 
