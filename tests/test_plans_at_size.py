@@ -73,6 +73,7 @@ OVER_PAIRS = [
     "match_scored_stage",
     "match_signals",
     "match_table_page",
+    "pair_lookup",
 ]
 
 
