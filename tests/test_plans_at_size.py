@@ -74,6 +74,7 @@ OVER_PAIRS = [
     "match_signals",
     "match_table_page",
     "pair_lookup",
+    "pair_metrics",
 ]
 
 
