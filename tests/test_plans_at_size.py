@@ -75,6 +75,7 @@ OVER_PAIRS = [
     "match_table_page",
     "pair_lookup",
     "pair_metrics",
+    "polygon_overlap",
 ]
 
 
