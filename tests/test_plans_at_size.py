@@ -96,3 +96,9 @@ def test_components_and_records_are_not_broadcast_to_each_other(spark):
     out = graph.assign(found, earlier)
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, out.collect())) == [(1, "R1", 1), (3, "R4", 0), (5, None, 0)]
+
+
+@pytest.mark.parametrize("name", ["unified_list_page", "unified_geometry_status", "adjudication_queue"])
+def test_decisions_are_not_broadcast(spark, name):
+    """A tenth of a large table's files looked small enough, and its rows were ten times as large."""
+    assert "Broadcast" not in catalog_wide.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
