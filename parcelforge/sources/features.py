@@ -29,7 +29,7 @@ def geometry(wkt: str | Column) -> Column:
     kind, body = F.upper(F.regexp_extract(w, r"^\s*([A-Za-z]+)", 1)), F.regexp_extract(w, r"(\(.*\))", 1)
     number = r"([-+.\deE]+)"
     pairs = F.regexp_replace(body, number + r"\s+" + number + r"(?:\s+[-+.\deE]+)*", "[$1,$2]")
-    lists = F.regexp_replace(F.translate(pairs, "()", "[]"), r"\s*,\s*", ",")
+    lists = F.regexp_replace(F.translate(pairs, "()", "[]"), r"\s+", "")
     held = F.when(kind == "POINT", F.regexp_extract(lists, r"^\[(.*)\]$", 1)).otherwise(lists)
     name = None
     for k, v in KINDS.items():

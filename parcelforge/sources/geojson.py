@@ -20,6 +20,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ FEATURE = "type string, id string, geometry struct<type string, coordinates stri
 IN_COLLECTION, AS_ROOT = 3, 1
 _CRS = re.compile(rb'"crs"\s*:\s*\{[^{}]*"properties"\s*:\s*\{[^{}]*"name"\s*:\s*"([^"]*)"')
 _EDGE = 400
+#: Bytes that are looked at one after the other before a place.
+_STEPS = 64
 _SUMMARY = "file string, start bigint, size bigint, parity int, delta array<bigint>, low array<bigint>, opened array<map<bigint,bigint>>, many boolean, crs string, head string, tail string"
 
 
@@ -37,16 +40,24 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", "}").text(path).select(F.col("value").cast("binary").alias("value"), at.file_path.alias("file"), at.file_block_start.alias("start"), at.file_block_length.alias("size"))
 
 
+def last_other(mask: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each place the last one before it that is not of the mask, or -1."""
+    before = at - 1
+    for _ in range(_STEPS):
+        on = mask[before] & (before >= 0)
+        if not on.any():
+            return before
+        before = before - on
+    # A long run of them: all places at once.
+    other = np.maximum.accumulate(np.where(mask, -1, np.arange(len(mask))))
+    return np.where(at > 0, other[at - 1], -1)
+
+
 def quotes(b: np.ndarray) -> np.ndarray:
     """Places of quotes that begin or end strings."""
     at = np.flatnonzero(b == 34)
     slashes = b == 92
-    if slashes.any():
-        place = np.arange(len(b))
-        other = np.maximum.accumulate(np.where(slashes, -1, place))  # the last byte that is no backslash
-        before = np.where(at > 0, other[at - 1], -1)
-        at = at[(at - 1 - before) % 2 == 0]
-    return at
+    return at[(at - 1 - last_other(slashes, at)) % 2 == 0] if slashes.any() else at
 
 
 def brackets(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -60,8 +71,7 @@ def brackets(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
 def elements(text: bytes, at: np.ndarray) -> np.ndarray:
     """Which of the braces there begin no member's value: the last byte before, but for white space, is no colon."""
     b = np.frombuffer(text, np.uint8)
-    shown = np.maximum.accumulate(np.where((b == 32) | ((b >= 9) & (b <= 13)), -1, np.arange(len(b))))
-    before = np.where(at > 0, shown[at - 1], -1)
+    before = last_other((b == 32) | ((b >= 9) & (b <= 13)), at)
     return (before < 0) | (b[before] != 58)
 
 
@@ -72,11 +82,15 @@ def by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterato
         for batch in batches:
             if not len(batch):
                 continue
-            key = list(zip(*(batch.column(c).to_pylist() for c in ("file", "start", "size"))))
-            value = batch.column("value").to_pylist()
-            cuts = [0, *(k for k in range(1, len(key)) if key[k] != key[k - 1]), len(key)]
+            value = batch.column("value").to_numpy(zero_copy_only=False).tolist()
+            other = np.zeros(len(value) - 1, bool)
+            for c in ("file", "start", "size"):
+                column = batch.column(c)
+                other |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(other) + 1).tolist(), len(value)]
             for a, b in zip(cuts, cuts[1:]):
-                yield key[a], b"}".join(value[a:b]) + b"}", batch.slice(a, 1).to_pylist()[0]
+                row = {c: batch.column(c)[a].as_py() for c in batch.schema.names if c != "value"}
+                yield (row["file"], row["start"], row["size"]), b"}".join(value[a:b]) + b"}", row
 
     for key, some in groupby(rows(), lambda r: r[0]):
         yield key, ((text, row) for _, text, row in some)
@@ -89,14 +103,14 @@ def summaries(pieces: DataFrame) -> DataFrame:
             many, crs, head, tail = False, None, b"", b""
             for text, _ in texts:
                 at, change, before, odd = brackets(text)
+                objects = np.frombuffer(text, np.uint8)[at] == 123
+                objects[objects] = elements(text, at[objects])
                 for s in (0, 1):
                     mine = (before ^ parity) == s  # outside of strings, had the split begun with s of them
                     levels = depth[s] + np.cumsum(change[mine])
                     if len(levels):
                         depth[s], low[s] = int(levels[-1]), min(low[s], int(levels.min()))
-                        curly = np.frombuffer(text, np.uint8)[at[mine]] == 123
-                        objects = np.flatnonzero(curly)[elements(text, at[mine][curly])]
-                        opened[s].update(dict(zip(*(x.tolist() for x in np.unique(levels[objects], return_counts=True)))))
+                        opened[s].update(dict(zip(*(x.tolist() for x in np.unique(levels[objects[mine]], return_counts=True)))))
                 parity ^= odd
                 many |= b'"FeatureCollection"' in text
                 if crs is None and (m := _CRS.search(text)):
@@ -111,8 +125,8 @@ def summaries(pieces: DataFrame) -> DataFrame:
 
 
 def states(summary: DataFrame) -> DataFrame:
-    """A row for each split: whether it begins in a string, its depth, how many objects come before, and the split
-    where the object began that is open at its start."""
+    """A row for each split: whether it begins in a string, its depth, how many objects come before, the split where
+    the object began that is open at its start, and whether one is open at its start or its end."""
     file = Window.partitionBy("file")
     before = file.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     lagged = lambda c: F.lag(c).over(file.orderBy("start"))
@@ -125,7 +139,8 @@ def states(summary: DataFrame) -> DataFrame:
     # Objects of the level that begin here; the text of one that is open at the end began at the last split that was not
     # inside one throughout.
     out = out.withColumns({"opened": F.coalesce(F.try_element_at("opened", F.col("level") - F.col("depth")), F.lit(0)), "fresh": F.when((F.col("depth") < F.col("level")) | (F.col("depth") + F.col("low") < F.col("level")), F.col("start"))})
-    return out.select("file", "start", "size", "inside", "depth", "level", so_far("opened").alias("ahead"), F.last_value("fresh", ignoreNulls=True).over(before).alias("owner"), "crs")
+    crosses = (F.col("depth") >= F.col("level")) | (F.col("depth") + F.col("delta") >= F.col("level"))
+    return out.select("file", "start", "size", "inside", "depth", "level", so_far("opened").alias("ahead"), F.last_value("fresh", ignoreNulls=True).over(before).alias("owner"), "crs", crosses.alias("crosses"))
 
 
 _PIECES = "file string, crs string, owner bigint, start bigint, number bigint, whole boolean, text binary"
@@ -157,10 +172,9 @@ def cut(pieces: DataFrame) -> DataFrame:
                         out.append((file, crs, start if owner is None else owner, start, began, owner is None, b"".join(held)))
                         closes, held, owner = closes[1:], None, None
                 element = elements(text, opens).tolist()
-                for a, b, ok in zip(opens.tolist(), closes.tolist(), element):
-                    if ok:
-                        out.append((file, crs, start, start, number, True, text[a : b + 1]))
-                        number += 1
+                own = [text[a : b + 1] for a, b, ok in zip(opens.tolist(), closes.tolist(), element) if ok]
+                out.extend((file, crs, start, start, number + k, True, t) for k, t in enumerate(own))
+                number += len(own)
                 if len(opens) > len(closes):
                     # A member's value goes on as well, and is left out when it is read.
                     held, owner, began = [text[int(opens[-1]) :]], None, number if element[-1] else -1
@@ -179,12 +193,15 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["file", "crs", "owner", "start", "number", "whole", "text"])
 
 
-def wkt(geometry: Column) -> Column:
-    """Well-known text of a geometry's type and coordinates, which are JSON text."""
-    number = r"\s*([-+.\deE]+)\s*"
-    pairs = F.regexp_replace(geometry.coordinates, r"\[" + number + "," + number + r"(?:,[^\[\]]*)?\]", "$1 $2")
-    body = F.regexp_replace(F.translate(pairs, "[]", "()"), r"\s*,\s*", ", ")
-    kind = F.upper(geometry.type)
+def shape(geometry: Column) -> Column:
+    """The brackets of a well-known text for a geometry's coordinates, which are JSON text; white space means nothing there."""
+    number = r"([-+.\deE]+)"
+    pairs = F.regexp_replace(F.regexp_replace(geometry.coordinates, r"\s+", ""), r"\[" + number + "," + number + r"(?:,[^\[\]]*)?\]", "$1 $2")
+    return F.replace(F.translate(pairs, "[]", "()"), F.lit(","), F.lit(", "))
+
+
+def wkt(kind: Column, body: Column) -> Column:
+    """Well-known text of a kind and its brackets."""
     return F.when(F.length(body) > 2, F.concat(kind, F.lit(" "), F.when(kind == "POINT", F.concat(F.lit("("), body, F.lit(")"))).otherwise(body))).when(body.isNotNull(), F.concat(kind, F.lit(" EMPTY")))
 
 
@@ -195,9 +212,9 @@ def objects(spark: SparkSession, path: str) -> DataFrame:
     known = states(summaries(pieces))
     stated = pieces.join(F.broadcast(known), ["file", "start", "size"], "left")
     sure = stated.withColumn("level", F.coalesce("level", F.raise_error(F.lit("the splits of a file have changed between two reads")).cast("int")))
-    found = cut(sure)
-    whole = found.where("whole").select("file", "number", "crs", "text")
-    joined = found.where("not whole").groupBy("file", "owner").agg(F.max("number").alias("number"), F.first("crs", True).alias("crs"), F.array_sort(F.collect_list(F.struct("start", "text"))).alias("parts"))
+    whole = cut(sure).where("whole").select("file", "number", "crs", "text")
+    # Only splits in which an object begins or goes on that another one ends are cut a second time.
+    joined = cut(sure.where("crosses")).where("not whole").groupBy("file", "owner").agg(F.max("number").alias("number"), F.first("crs", True).alias("crs"), F.array_sort(F.collect_list(F.struct("start", "text"))).alias("parts"))
     parts = F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x.text))
     return whole.unionByName(joined.select("file", "number", "crs", parts.alias("text")))
 
@@ -205,9 +222,12 @@ def objects(spark: SparkSession, path: str) -> DataFrame:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(file, number, id, kind, wkt, properties, crs) of every feature; crs is the collection's name, or null."""
     feature = F.from_json(F.col("text").cast("string"), FEATURE, {"mode": "FAILFAST"})
-    rows = objects(spark, path).withColumn("feature", feature).where("feature.type = 'Feature'")
-    shape = F.col("feature.geometry")
+    # A text is parsed once: the test of the type is not pushed through what follows.
+    rows = objects(spark, path).select("file", "number", "crs", F.explode(F.array(feature)).alias("feature")).where("feature.type = 'Feature'")
+    geometry = F.col("feature.geometry")
+    # Made before the text, which has it in several places.
+    rows = rows.withColumns({"kind": F.upper(geometry.type), "body": shape(geometry)})
     held = F.coalesce("feature.properties", F.create_map().cast("map<string,string>"))
     # Numbers that are none come with quotes, other than texts.
     properties = F.transform_values(held, lambda _, v: F.when(~v.isin('"NaN"', '"Infinity"', '"-Infinity"'), v))
-    return rows.select("file", "number", F.col("feature.id").alias("id"), F.upper(shape.type).alias("kind"), wkt(shape).alias("wkt"), properties.alias("properties"), "crs")
+    return rows.select("file", "number", F.col("feature.id").alias("id"), "kind", wkt(F.col("kind"), F.col("body")).alias("wkt"), properties.alias("properties"), "crs")

@@ -68,6 +68,44 @@ def test_geojson_of_one_task_is_split(spark, tmp_path, splits):
     assert {r.feature_id for r in df.collect()} == {f"feat_{k}" for k in range(500)}
 
 
+def test_geojson_is_cut_twice_only_where_features_cross_splits(spark, tmp_path):
+    features = [{"type": "Feature", "geometry": None, "properties": {"k": k, "pad": "x" * 200}} for k in range(60)]
+    for name in "abc":
+        (tmp_path / f"{name}.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    crossing = lambda: [r.crosses for r in geojson.states(geojson.summaries(geojson.records(spark, str(tmp_path)))).collect()]
+    assert crossing() == [False] * 3
+    # A feature that no split ends is still met, and refused.
+    (tmp_path / "d.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features})[:-20])
+    assert sorted(crossing()) == [False] * 3 + [True]
+    with pytest.raises(Exception, match="MALFORMED|parse"):
+        geojson.read(spark, str(tmp_path)).collect()
+
+
+def test_geojson_texts_are_parsed_once(spark, tmp_path):
+    (tmp_path / "a.geojson").write_text(json.dumps(feature(random.Random(1), 1)))
+    plan = geojson.read(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "from_json" in plan and not any("Filter" in row and "from_json" in row for row in plan.split("\n"))
+    # Nor are coordinates' brackets made in several places of one row.
+    assert max(row.count("regexp_replace") for row in plan.split("\n")) == 2
+
+
+def test_white_space_of_coordinates_means_nothing(spark, tmp_path):
+    texts = ["[ [\n[ 0 ,0], [1 , 0.5,7 ],\t[1,1], [0,0]\n] ]", "[[[0,0],[1,0.5],[1,1],[0,0]]]", "[ ]"]
+    got = '{"type": "FeatureCollection", "features": [%s]}' % ", ".join('{"type": "Feature", "properties": {}, "geometry": {"type": "Polygon", "coordinates": %s}}' % t for t in texts)
+    (tmp_path / "a.geojson").write_text(got)
+    assert [r.wkt for r in geojson.read(spark, str(tmp_path)).orderBy("number").collect()] == ["POLYGON ((0 0, 1 0.5, 1 1, 0 0))"] * 2 + ["POLYGON EMPTY"]
+
+
+def test_last_place_before_a_run():
+    import numpy as np
+
+    draw = np.random.default_rng(1)
+    for n, share in ((0, 0.5), (50, 0.5), (500, 0.97), (3000, 0.999)):
+        mask = draw.random(n) < share
+        at = np.flatnonzero(draw.random(n) < 0.5)
+        assert geojson.last_other(mask, at).tolist() == [max((k for k in range(a) if not mask[k]), default=-1) for a in at.tolist()]
+
+
 def test_malformed_geojson_fails(spark, tmp_path):
     (tmp_path / "a.geojson").write_text('{"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"a": tru}}]}')
     with pytest.raises(Exception, match="MALFORMED|parse"):
