@@ -14,7 +14,8 @@ are first split by equal parts of the other half (of ``max_distance`` + 1 parts
 
 Defined results: a null or empty text has the fingerprint zero, which links like any other; a document without id
 gets its fingerprint, no component, and links nothing; repeated rows are returned one by one; the columns of the
-result are named here, so that no extra column of the input can clash.
+result are named here, so that no extra column of the input can clash.  No join broadcasts a side that grows with the
+input.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelforge.llm.common import materialize, pieces, quoted, unused
+from parcelforge.llm.common import among, materialize, pieces, quoted
 from parcelforge.llm.components import components
 
 SEED = 42
@@ -203,10 +204,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     # One row for each fingerprint, with its smallest document.
     fps = materialize(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-fps", True)
     roots = components(link(replicate(fps, max_distance), max_distance).distinct())
-    rooted = materialize(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-roots", True)
+    rooted = materialize(fps.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-roots", True)
     least = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-least", True)
-    of = materialize(rooted.join(least, "root").select("fp", "component_id"), "simhash-of", True)
-    return marked.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    of = materialize(rooted.join(least.hint("merge"), "root").select("fp", "component_id"), "simhash-of", True)
+    return marked.join(of.hint("merge"), "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", also: Callable[[DataFrame], DataFrame] | None = None, **options) -> DataFrame:
@@ -215,12 +216,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", also: Callable[[DataFrame]
     also: gives further links (u, v) of documents, which join components of the fingerprints' ones.
     """
     links = near_duplicates(docs, key, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
-    gone = unused(docs, "pf_doc")[0]
-    if also is None:
-        drop = links.select(F.col("u").alias(gone)).distinct()
-    else:
-        drop = components(links.unionByName(also(docs))).where("node <> root").select(F.col("node").alias(gone))
-    return docs.join(drop, quoted(key) == F.col(gone), "left_anti")
+    drop = materialize(links.select("u").distinct(), "simhash-gone", True) if also is None else components(links.unionByName(also(docs))).where("node <> root").select("node")
+    return among(docs, key, drop, False)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

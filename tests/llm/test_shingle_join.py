@@ -1,11 +1,15 @@
 """Near-duplicates by shingles, against all pairs."""
 
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from parcelforge.llm import shingle_join
+from parcelforge.llm import components, shingle_join, simhash
+from parcelforge.llm.common import among, materialize
 
 
 def words_of(text):
@@ -119,3 +123,41 @@ def test_pipeline_stage_drops_copies_with_edited_words(spark):
     stay = corpus_pipeline.near_duplicates(spark, df, "")
     assert stay.columns == df.columns
     assert {r.doc_id for r in stay.collect()} == {0, 21}
+
+
+def test_stage_broadcasts_nothing_that_grows(spark, monkeypatch):
+    """Labels, marks and ids are small in their files; the driver would hold what is broadcast of them."""
+    import corpus_pipeline
+
+    made = []
+    for module in (simhash, components, shingle_join):
+        monkeypatch.setattr(module, "materialize", lambda df, *more: made.append(df) or materialize(df, *more))
+    texts = copies(random.Random(8), per_base=5)
+    df = materialize(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string"), "texts")
+    stay = corpus_pipeline.near_duplicates(spark, df, "")
+    nodes = [x for d in [*made, stay] for x in re.findall(r"Broadcast(?!Exchange|QueryStage)\w*Join.*", d._jdf.queryExecution().executedPlan().toString())]
+    # A bitmap of bounded size, and the groups of several blocks.
+    assert len(made) > 12 and all("[pf_bucket#" in x or "[group#" in x for x in nodes)
+    roots = plain_components(dict(enumerate(texts)))
+    assert {r.doc_id for r in stay.collect()} <= {k for k, r in roots.items() if k == r}
+
+
+def test_rows_among_ids_and_beside_them(spark):
+    rows = spark.createDataFrame([(k if k % 7 else None, k, "x") for k in range(3000)], "k int, pf_bucket long, pf_map string").repartition(3)
+    ids = materialize(spark.range(0, 9000, 5).selectExpr("id as pf_id"), "ids", True)
+    expected = {k for k in range(3000) if k % 7 and k % 5 == 0}
+    for there, wanted in ((True, expected), (False, set(range(3000)) - expected)):
+        got = among(rows, "k", ids, there)
+        assert got.columns == rows.columns and sorted(r.pf_bucket for r in got.collect()) == sorted(wanted)
+        assert among(rows, "k", materialize(ids.limit(0), "none", True), there).count() == (0 if there else 3000)
+
+
+def test_links_that_differ_each_time_they_are_made(spark):
+    """The links of a group are a star around whichever of its rows is read first."""
+    def star(table):
+        ids = table.column("id").to_pylist()
+        first = random.SystemRandom().choice(ids)
+        return pa.table({"u": [x for x in ids if x != first], "v": [first] * (len(ids) - 1)})
+
+    links = spark.range(200).groupBy((F.col("id") % 5).alias("g")).applyInArrow(star, "u bigint, v bigint")
+    assert {(r.node, r.root) for r in components.components(links).collect()} == {(k, k % 5) for k in range(200)}
