@@ -132,6 +132,7 @@ def test_stage_broadcasts_nothing_that_grows(spark, monkeypatch):
     made = []
     for module in (simhash, components, shingle_join):
         monkeypatch.setattr(module, "materialize", lambda df, *more: made.append(df) or materialize(df, *more))
+    monkeypatch.setattr(shingle_join, "FEW", 0)
     texts = copies(random.Random(8), per_base=5)
     df = materialize(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string"), "texts")
     stay = corpus_pipeline.near_duplicates(spark, df, "")
